@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from musterroll import fixed_values as V
 from musterroll.contract import BY_NAME, CONTRACT, NAMES, REQUIRED, Field
 from musterroll.functions import text as X
+from musterroll.runtime import one_row_each
 
 
 def headers_of(header_rows: DataFrame) -> DataFrame:
@@ -74,21 +75,33 @@ def match_unmatched(headers: DataFrame, exact: DataFrame) -> DataFrame:
     return headers.filter(F.col("header") != "").join(exact.select("file", "header"), ["file", "header"], "left_anti")
 
 
-def _score(field: Field, norm: Column, words: Column) -> Column:
-    known = _known(field)
-    size = F.length(norm)
-    partial = None
-    for alias in dict.fromkeys(known):
-        hit = F.lit(alias).contains(norm) | norm.contains(alias)
-        n = F.lit(len(alias))
-        ratio = F.least(size, n) / F.greatest(size, n) * 0.8
-        partial = F.when(hit, ratio) if partial is None else partial.when(hit, ratio)
-    overlaps = []
-    for bag in dict.fromkeys(frozenset(k.split()) for k in known):
-        lit = F.array(*[F.lit(w) for w in sorted(bag)])
-        overlaps.append(F.size(F.array_intersect(words, lit)) / F.size(F.array_union(words, lit)) * 0.6)
-    overlap = F.greatest(*overlaps) if len(overlaps) > 1 else overlaps[0]
-    return F.when(norm.isin(*known), F.lit(1.0)).otherwise(F.coalesce(partial, F.when(F.size(words) > 0, overlap), F.lit(0.0)))
+def _spellings_literal() -> Column:
+    """The contract's known spellings as one constant array of structs."""
+
+    def entry(f: Field) -> Column:
+        known = list(dict.fromkeys(_known(f)))
+        bags = list(dict.fromkeys(frozenset(k.split()) for k in known))
+        return F.struct(
+            F.lit(f.pos).alias("field_pos"),
+            F.lit(f.name).alias("field"),
+            F.array(*[F.lit(k) for k in known]).alias("known"),
+            F.array(*[F.array(*[F.lit(w) for w in sorted(b)]) for b in bags]).alias("bags"),
+        )
+
+    return F.array(*[entry(f) for f in CONTRACT])
+
+
+def _score(entry: Column, norm: Column, words: Column) -> Column:
+    part = F.get(F.filter(entry.known, lambda k: k.contains(norm) | norm.contains(k)), F.lit(0))
+    ratio = F.least(F.length(norm), F.length(part)) / F.greatest(F.length(norm), F.length(part)) * 0.8
+    share = lambda bag: F.size(F.array_intersect(words, bag)) / F.size(F.array_union(words, bag)) * 0.6
+    overlap = F.array_max(F.transform(entry.bags, share))
+    return (
+        F.when(F.array_contains(entry.known, norm), F.lit(1.0))
+        .when(part.isNotNull(), ratio)
+        .when(F.size(words) > 0, overlap)
+        .otherwise(F.lit(0.0))
+    )
 
 
 def match_score(headers: DataFrame) -> DataFrame:
@@ -101,17 +114,11 @@ def match_score(headers: DataFrame) -> DataFrame:
     staged = headers.withColumn("_norm", header_norm(F.col("header"))).withColumn(
         "_words", F.array_distinct(F.filter(F.split("_norm", " "), lambda w: w != ""))
     )
-    scores = F.array(
-        *[
-            F.struct(
-                F.lit(f.pos).alias("field_pos"),
-                F.lit(f.name).alias("field"),
-                _score(f, F.col("_norm"), F.col("_words")).alias("score"),
-            )
-            for f in CONTRACT
-        ]
+    scores = F.transform(
+        _spellings_literal(),
+        lambda f: F.struct(f.field_pos.alias("field_pos"), f.field.alias("field"), _score(f, F.col("_norm"), F.col("_words")).alias("score")),
     )
-    return staged.select("file", "pos", "header", F.explode(scores).alias("s")).select("file", "pos", "header", "s.*")
+    return one_row_each(staged, ["file", "pos", "header"], scores, "s").select("file", "pos", "header", "s.*")
 
 
 def match_best(scores: DataFrame, min_confidence: float = V.MIN_CONFIDENCE) -> DataFrame:
@@ -191,11 +198,7 @@ def missing_fields(positions: DataFrame, required: bool) -> DataFrame:
             for f in wanted
         ]
     )
-    return (
-        positions.select("file", F.explode(entries).alias("m"))
-        .filter(F.col("m").isNotNull())
-        .select("file", "m.*")
-    )
+    return one_row_each(positions, ["file"], entries, "m").select("file", "m.*")
 
 
 def missing_default(positions: DataFrame, defaults: dict[str, str]) -> DataFrame:

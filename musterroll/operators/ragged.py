@@ -34,10 +34,6 @@ def check_width(df: DataFrame, expected: Column | int = WIDTH) -> DataFrame:
     )
 
 
-def _cell(pos: Column) -> Column:
-    return F.coalesce(F.get(F.col("merged"), pos), F.lit(""))
-
-
 def suggested_merge(medical_pos: Column) -> Column:
     """The cells that belong together, joined as text."""
     return F.array_join(F.slice("cells", medical_pos + 1, F.col("extra_n") + 1), ", ")
@@ -86,20 +82,29 @@ def repair(
         df = df.withColumn("_given", F.lit(None).cast("string"))
 
     wide = (F.col("extra_n") > 0) & med.isNotNull() & (med + F.col("extra_n") + 1 <= F.size("cells"))
-    df = df.withColumn("merged", F.when(wide, _rebuilt(med, suggested_merge(med))))
-    if guard == "parity":
-        safe = looks_like_address(_cell(med + 1))
-    else:
-        safe = looks_like_date(_cell(day)) & looks_like_address(_cell(adr))
-
-    automatic = wide & (F.size("merged") == F.col("expected_n")) & safe
     by_hand = wide & F.col("_given").isNotNull()
-    narrow = F.col("extra_n") < 0
-    return df.select(
-        *[c for c in df.columns if c not in ("merged", "_given")],
-        F.when(automatic, F.col("merged")).when(by_hand, _rebuilt(med, F.col("_given"))).alias("repaired"),
-        F.when(automatic, "guard").when(by_hand, "patch").alias("repaired_by"),
-        F.when(narrow, "too_few").when((F.col("extra_n") > 0) & ~automatic & ~by_hand, "unsafe_merge").alias("reason"),
+
+    def verdict(merged: Column) -> Column:
+        cell = lambda pos: F.coalesce(F.get(merged, pos), F.lit(""))
+        safe = looks_like_address(cell(med + 1))
+        if guard == "shape":
+            safe = looks_like_date(cell(day)) & looks_like_address(cell(adr))
+        automatic = merged.isNotNull() & (F.size(merged) == F.col("expected_n")) & safe
+        return F.struct(
+            F.when(automatic, merged).when(by_hand, _rebuilt(med, F.col("_given"))).alias("repaired"),
+            F.when(automatic, "guard").when(by_hand, "patch").alias("repaired_by"),
+            F.when(F.col("extra_n") < 0, "too_few")
+            .when((F.col("extra_n") > 0) & ~automatic & ~by_hand, "unsafe_merge")
+            .alias("reason"),
+        )
+
+    merged = F.when(wide, _rebuilt(med, suggested_merge(med)))
+    judged = df.withColumn("_r", F.when(F.col("extra_n") != 0, X.let(merged, verdict)))
+    return judged.select(
+        *[c for c in df.columns if c != "_given"],
+        F.col("_r.repaired").alias("repaired"),
+        F.col("_r.repaired_by").alias("repaired_by"),
+        F.col("_r.reason").alias("reason"),
         F.when(wide, suggested_merge(med)).alias("suggestion"),
     )
 

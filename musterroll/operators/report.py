@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from musterroll.contract import CONTRACT
 from musterroll.operators.corrections import KEY
+from musterroll.runtime import one_row_each
 
 TOPK_SALTS = 64
 
@@ -14,7 +15,7 @@ TOPK_SALTS = 64
 def change_log(df: DataFrame, columns: tuple[str, ...] = ("changes", "fixes")) -> DataFrame:
     """One row per logged change."""
     entries = F.concat(*[F.col(c) for c in columns]) if len(columns) > 1 else F.col(columns[0])
-    return df.select(*KEY, F.explode(entries).alias("c")).select(*KEY, "c.*")
+    return one_row_each(df, KEY, entries, "c").select(*KEY, "c.*")
 
 
 def stats_total(log: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from musterroll.contract import CONTRACT
 from musterroll.functions import checks, normal, text as X
 from musterroll.operators.normalize import with_all_fields
+from musterroll.runtime import one_row_each
 
 
 def _checked(df: DataFrame, skip_fields: Iterable[str], iso_dayfirst: bool, into: str) -> DataFrame:
@@ -67,4 +68,4 @@ def row_label() -> Column:
 
 def error_table(df: DataFrame) -> DataFrame:
     """One row per problem."""
-    return df.select("file", "row_idx", F.explode("errors").alias("e")).select("file", "row_idx", "e.*")
+    return one_row_each(df, ["file", "row_idx"], "errors", "e").select("file", "row_idx", "e.*")

@@ -68,3 +68,13 @@ def with_file_facts(rows: DataFrame, per_file: DataFrame, last_row: str, how: st
     """Attach per-file columns to rows that carry ``file`` and ``row_idx``."""
     facts = per_chunk(per_file, last_row)
     return rows.withColumn("chunk", chunk_of(F.col("row_idx"))).join(facts, ["file", "chunk"], how).drop("chunk")
+
+
+def one_row_each(df: DataFrame, keep: list[str], items: str | Column, name: str = "item") -> DataFrame:
+    """One row per array item.
+
+    The outer form is used on purpose: for a plain ``explode`` Catalyst adds a
+    filter on the array's size and pushes it below the projections that make
+    the array, which then compute everything twice.
+    """
+    return df.select(*keep, F.explode_outer(items).alias(name)).filter(F.col(name).isNotNull())

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from musterroll.runtime import written
 
-BOM = "﻿"
+BOM = "\ufeff"
 
 # One cell after a comma: quoted (with doubled quotes), or plain.  Possessive
 # repeats keep the matcher from using the stack for long cells.
@@ -64,7 +64,7 @@ def split_facts(lines: DataFrame) -> DataFrame:
     per_split = lines.groupBy("file", "split").agg(
         F.min("line_id").alias("first_id"),
         F.count("*").alias("n_lines"),
-        F.max(ends_inside(F.col("line"), False)).alias("has_open"),
+        F.max(ends_inside(F.ltrim(F.col("line"), F.lit(BOM)), False)).alias("has_open"),
     )
     before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("file")

@@ -12,19 +12,31 @@ from musterroll.sources.workbook import scan_workbooks
 READERS = {"csv": scan_delimited, "xlsx": scan_workbooks}
 
 
+def with_reader(files: DataFrame) -> DataFrame:
+    """Choose a reader by suffix; ``reason`` says why there is none."""
+    suffix = F.lower(F.regexp_extract("file", r"(\.[^./\\]*)$", 1))
+    staged = files.withColumn("suffix", suffix)
+    known = F.col("suffix").isin(*[f".{k}" for k in READERS])
+    return staged.withColumns(
+        {
+            "reader": F.when(known, F.substring("suffix", 2, 10)),
+            "reason": F.when(~known, F.concat(F.lit("Unsupported file format: "), F.col("suffix"))),
+        }
+    )
+
+
 def list_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """``file, suffix, size`` of every file; contents are not read."""
+    """``file, size`` of every file and its reader; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    suffix = F.lower(F.regexp_extract("path", r"(\.[^./\\]*)$", 1))
-    return files.select(F.col("path").alias("file"), suffix.alias("suffix"), F.col("length").alias("size"))
+    return with_reader(files.select(F.col("path").alias("file"), F.col("length").alias("size")))
 
 
 def scan_folder(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Rows of all files with a known suffix (any case)."""
-    present = {r.suffix for r in list_files(spark, path).select("suffix").distinct().collect()}
+    files = list_files(spark, path)
     out = None
     for kind, reader in READERS.items():
-        if f".{kind}" not in present:
+        if files.filter(F.col("reader") == kind).isEmpty():
             continue
         glob = "*." + "".join(f"[{c.lower()}{c.upper()}]" for c in kind)
         rows = reader(spark, path, glob)
@@ -32,21 +44,14 @@ def scan_folder(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return out if out is not None else spark.createDataFrame([], "file string, row_idx bigint, cells array<string>")
 
 
-def rejected_by_suffix(files: DataFrame) -> DataFrame:
-    known = [f".{k}" for k in READERS]
-    return files.filter(~F.col("suffix").isin(*known)).select(
-        "file", F.concat(F.lit("Unsupported file format: "), F.col("suffix")).alias("reason")
-    )
+def rejected_files(files: DataFrame, with_rows: DataFrame) -> DataFrame:
+    """Files without a reader, and files without any row.
 
-
-def rejected_empty(files: DataFrame, with_rows: DataFrame) -> DataFrame:
-    """Known files without any row (``with_rows`` has one row per file that has)."""
-    known = [f".{k}" for k in READERS]
-    return (
-        files.filter(F.col("suffix").isin(*known))
-        .join(with_rows.select("file"), "file", "left_anti")
-        .select("file", F.lit("No data found").alias("reason"))
-    )
+    ``with_rows`` has one row per file that has rows.
+    """
+    unknown = files.filter(F.col("reason").isNotNull()).select("file", "reason")
+    empty = files.filter(F.col("reason").isNull()).join(with_rows.select("file"), "file", "left_anti")
+    return unknown.unionByName(empty.select("file", F.lit("No data found").alias("reason")))
 
 
 def output_columns(df: DataFrame) -> DataFrame:

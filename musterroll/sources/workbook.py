@@ -117,12 +117,11 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.record_batch([pa.array([path] * len(part)), pa.array(index, pa.int64()), pa.array(part, pa.list_(pa.string()))], schema=_SCHEMA)
 
 
+def read_workbooks(files: DataFrame) -> DataFrame:
+    """Rows of workbooks given as ``path, content``."""
+    return files.select("path", "content").mapInArrow(_read, "file string, row_idx bigint, cells array<string>")
+
+
 def scan_workbooks(spark: SparkSession, path: str | list[str], glob: str = "*.xlsx") -> DataFrame:
-    files = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", glob)
-        .option("recursiveFileLookup", "true")
-        .load(path)
-        .select("path", "content")
-    )
-    return files.mapInArrow(_read, "file string, row_idx bigint, cells array<string>")
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
+    return read_workbooks(reader.load(path))
