@@ -55,6 +55,11 @@ def written(df: DataFrame, label: str, partition_by: list[str] | None = None) ->
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def file_uri(path: Column) -> Column:
+    """One spelling of local file names, which Spark writes in two ways."""
+    return F.regexp_replace(path, "^file:/+", "file:///")
+
+
 def chunk_of(row_idx: Column) -> Column:
     return F.shiftright(row_idx, CHUNK_BITS)
 

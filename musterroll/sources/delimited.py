@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from musterroll.runtime import written
+from musterroll.runtime import file_uri, written
 
 BOM = "\ufeff"
 
@@ -48,7 +48,7 @@ def read_lines(spark: SparkSession, path: str | list[str], glob: str = "*.csv")
     """``file, split, line_id, line`` in scan order within a split."""
     lines = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true").text(path)
     return lines.select(
-        F.col("_metadata.file_path").alias("file"),
+        file_uri(F.col("_metadata.file_path")).alias("file"),
         F.col("_metadata.file_block_start").alias("split"),
         F.monotonically_increasing_id().alias("line_id"),
         F.col("value").alias("line"),

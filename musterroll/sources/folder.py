@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from musterroll.contract import BY_NAME, CONTRACT
+from musterroll.runtime import file_uri
 from musterroll.sources.delimited import scan_delimited
 from musterroll.sources.workbook import scan_workbooks
 
+LINE_END = "\r\n"
 READERS = {"csv": scan_delimited, "xlsx": scan_workbooks}
 
 
@@ -26,9 +28,14 @@ def with_reader(files: DataFrame) -> DataFrame:
 
 
 def list_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """``file, size`` of every file and its reader; contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return with_reader(files.select(F.col("path").alias("file"), F.col("length").alias("size")))
+    """Every file and its reader; contents are not read.
+
+    Scans leave out files of zero bytes, so the names come from the listing
+    that Spark's file index holds anyway.
+    """
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    names = spark.createDataFrame([(name,) for name in listing.inputFiles()], "file string")
+    return with_reader(names.select(file_uri(F.col("file")).alias("file")))
 
 
 def scan_folder(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -63,18 +70,29 @@ class NothingToWrite(ValueError):
     pass
 
 
+def _quoted(value: Column) -> Column:
+    return F.concat(F.lit('"'), F.replace(value, F.lit('"'), F.lit('""')), F.lit('"'))
+
+
 def write_contract(valid: DataFrame, path: str, single_file: bool = False) -> None:
-    """Write every cell quoted, with a header, as comma-separated text.
+    """Write every cell quoted, under a header, as comma-separated text.
 
-    Refuses a table without rows.  ``single_file`` is for small outputs: it
-    sends all rows through one task.
+    Refuses a table without rows.  Lines are made here and written as text,
+    because the built-in writer changes line breaks inside cells to the line
+    end it is given.  Every part starts with the header: the low bits of the
+    row id are zero for the first row of a partition.  ``single_file`` is for
+    small outputs: it sends all rows through one task.
     """
     if valid.isEmpty():
         raise NothingToWrite("No valid rows to export")
     out = output_columns(valid)
     if single_file:
         out = out.coalesce(1)
-    out.write.csv(path, header=True, quoteAll=True, escape='"', emptyValue="", nullValue="", lineSep="\r\n")
+    header = ",".join('"' + h + '"' for h in out.columns)
+    line = F.concat_ws(",", *[_quoted(F.col(f"`{h}`")) for h in out.columns])
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    text = F.when(first, F.concat(F.lit(header + LINE_END), line)).otherwise(line)
+    out.select(text.alias("value")).write.text(path, lineSep=LINE_END)
 
 
 def read_contract(spark: SparkSession, path: str) -> DataFrame:

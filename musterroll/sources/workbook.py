@@ -15,6 +15,9 @@ from xml.etree import ElementTree as ET
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from musterroll.runtime import file_uri
 
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
@@ -124,4 +127,4 @@ def read_workbooks(files: DataFrame) -> DataFrame:
 
 def scan_workbooks(spark: SparkSession, path: str | list[str], glob: str = "*.xlsx") -> DataFrame:
     reader = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
-    return read_workbooks(reader.load(path))
+    return read_workbooks(reader.load(path).select(file_uri(F.col("_metadata.file_path")).alias("path"), "content"))

@@ -29,7 +29,7 @@ def by_library(path):
 TEXTS = {
     "plain.csv": "a,b,c\n1,2\n\n,,\n x ,y\n",
     "quoted.csv": 'a,"b, c",d\n"say ""hi""",,"""x"""\n"",b\n"a"b,c"d,"e"\n',
-    "breaks.csv": 'a,"line one\nline two",c\nnext,row\n"x\n\n""y"",z",2\nlast,"open\n',
+    "breaks.csv": 'a,"line one\nline two",c\nnext,row\n"x\n\n""y"",z",2\nlast,"open',
     "bom.csv": "﻿a,b\n1,2\n",
     "windows.csv": 'a,b\r\n"c\r\nd",e\r\n',
     "noend.csv": "a,b\n1,2",
@@ -74,7 +74,7 @@ def test_long_quoted_cells_do_not_overflow(spark):
 
 
 def test_dispatch_and_rejections(spark, tmp_path):
-    (tmp_path / "a.CSV").write_text("x,y\n1,2\n")
+    (tmp_path / "a b.CSV").write_text("x,y\n1,2\n")
     (tmp_path / "b.txt").write_text("no")
     (tmp_path / "empty.csv").write_text("")
     rows = folder.scan_folder(spark, str(tmp_path))
