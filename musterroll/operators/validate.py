@@ -13,7 +13,7 @@ from musterroll.operators.normalize import with_all_fields
 from musterroll.runtime import one_row_each
 
 
-def _checked(df: DataFrame, skip_fields: Iterable[str], iso_dayfirst: bool, into: str) -> DataFrame:
+def _checked(df: DataFrame, skip_fields: Iterable[str], iso_dayfirst: bool, into: str, normalized: bool = False) -> DataFrame:
     """Add the row's problems in contract order, at most one per field.
 
     Stripped text is a projection of its own, so that it is made once per
@@ -23,24 +23,32 @@ def _checked(df: DataFrame, skip_fields: Iterable[str], iso_dayfirst: bool, into
     skip = set(skip_fields)
     kinds = {f.name: f.dataType for f in df.schema.fields}
     todo = [f for f in CONTRACT if f.name not in skip and checks.can_fail(f)]
-    texts = {f"_v_{f.name}": X.as_text(F.col(f.name), kinds[f.name]) for f in todo}
-    forms = {f"_w_{f.name}": checks.prepared(f, F.col(f"_v_{f.name}")) for f in todo}
+    texts = {} if normalized else {f"_v_{f.name}": X.as_text(F.col(f.name), kinds[f.name]) for f in todo}
+    text = lambda f: F.col(f.name if normalized else f"_v_{f.name}")
+    forms = {f"_w_{f.name}": checks.prepared(f, text(f)) for f in todo}
     forms = {n: c for n, c in forms.items() if c is not None}
 
     def one(field) -> Column:
-        col, dtype, value = F.col(field.name), kinds[field.name], F.col(f"_v_{field.name}")
+        col, dtype, value = F.col(field.name), kinds[field.name], text(field)
         if field.kind == "date" and normal.typed_date(col, dtype) is not None:
             return checks.check_typed_date(field, value, col, dtype)
         form = F.col(f"_w_{field.name}") if f"_w_{field.name}" in forms else None
         return checks.check(field, value, form, iso_dayfirst)
 
     found = F.concat(checks.none(), *[one(f) for f in todo])
-    return df.withColumns(texts).withColumns(forms).withColumn(into, found).drop(*texts, *forms)
+    staged = df.withColumns(texts) if texts else df
+    return staged.withColumns(forms).withColumn(into, found).drop(*texts, *forms)
 
 
-def validate_table(df: DataFrame, skip_fields: Iterable[str] = (), iso_dayfirst: bool = False) -> DataFrame:
-    """Add ``errors``; narrow projections only."""
-    return _checked(with_all_fields(df), skip_fields, iso_dayfirst, "errors")
+def validate_table(
+    df: DataFrame, skip_fields: Iterable[str] = (), iso_dayfirst: bool = False, normalized: bool = False
+) -> DataFrame:
+    """Add ``errors``; narrow projections only.
+
+    ``normalized`` says that the table comes from ``normalize_table``, whose
+    values are text without blanks at the ends, so none are cut again.
+    """
+    return _checked(with_all_fields(df), skip_fields, iso_dayfirst, "errors", normalized)
 
 
 def revalidate_where(df: DataFrame, cond: Column, skip_fields: Iterable[str] = ()) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from musterroll.contract import CONTRACT, HEADERS, NAMES
+from musterroll.runtime import spread
 
 ROWS_PER_FILE = 60
 TOP_ROWS = ["Club register", "Exported for the membership team", ""]
@@ -90,7 +91,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(members_sql(), customer=table(spark, sf_dir, "customer"), nation=table(spark, sf_dir, "nation"))
+    people = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    return spark.sql(members_sql(), customer=spread(people), nation=table(spark, sf_dir, "nation"))
 
 
 def line_members(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +103,7 @@ def line_members(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_suppkey") % 25).cast("int").alias("c_nationkey"),
         F.col("l_returnflag").alias("c_mktsegment"),
     )
-    return spark.sql(members_sql(), customer=lines, nation=table(spark, sf_dir, "nation"))
+    return spark.sql(members_sql(), customer=spread(lines), nation=table(spark, sf_dir, "nation"))
 
 
 # --- files: raw cells, with titles, headers and footers ---------------------

@@ -177,7 +177,7 @@ def clean_cells(cells: DataFrame, options: Options = Options(), answers: Answers
     fields = align.with_missing_defaults(fields, options.overrides).drop(*positions_kept)
     checked = written(
         validate.validate_table(
-            normalize.normalize_table(fields, options.iso_dayfirst), options.overrides, options.iso_dayfirst
+            normalize.normalize_table(fields, options.iso_dayfirst), options.overrides, options.iso_dayfirst, normalized=True
         ),
         "checked",
     )

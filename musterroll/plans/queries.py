@@ -44,7 +44,7 @@ def _normal(spark, sf):
 
 
 def _checked(spark, sf):
-    return validate.validate_table(_normal(spark, sf))
+    return validate.validate_table(_normal(spark, sf), normalized=True)
 
 
 def _raw_checked(spark, sf):
@@ -543,7 +543,7 @@ def field_label(spark, sf):
 
 @query("val_skip_fields")
 def val_skip_fields(spark, sf):
-    rows = validate.validate_table(_normal(spark, sf), skip_fields=V.OVERRIDABLE_FIELDS)
+    rows = validate.validate_table(_normal(spark, sf), skip_fields=V.OVERRIDABLE_FIELDS, normalized=True)
     return validate.error_table(rows).drop("field_pos")
 
 
@@ -681,5 +681,5 @@ def full_run(spark, sf):
 @query("members_by_line")
 def members_by_line(spark, sf):
     """Error counts over the larger table: one member per order line."""
-    rows = validate.validate_table(normalize.normalize_table(D.line_members(spark, sf)))
+    rows = validate.validate_table(normalize.normalize_table(D.line_members(spark, sf)), normalized=True)
     return report.error_stats(validate.error_table(rows))

@@ -55,6 +55,16 @@ def written(df: DataFrame, label: str, partition_by: list[str] | None = None) ->
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Redistribute a table that is cut in fewer pieces than there are cores.
+
+    Only small tables are: a large one has more splits than cores and is left
+    as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def file_uri(path: Column) -> Column:
     """One spelling of local file names, which Spark writes in two ways."""
     return F.regexp_replace(path, "^file:/+", "file:///")
