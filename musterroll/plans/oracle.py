@@ -7,8 +7,10 @@ functions) and share only the fixed values with the Spark side.
 
 from __future__ import annotations
 
+import re
+
 from musterroll import fixed_values as V
-from musterroll.contract import CONTRACT, HEADERS, NAMES, REQUIRED
+from musterroll.contract import CONTRACT, NAMES
 from musterroll.plans import derived as D
 
 
@@ -282,10 +284,41 @@ CTES["rj"] = (
 )
 
 
+# Patched rows with a bad answer for one field, checked again.
+CTES["v_bad"] = (
+    "SELECT v.* REPLACE (CASE WHEN z.file IS NOT NULL THEN '99' ELSE school_year END AS school_year) FROM v "
+    "SEMI JOIN pa USING (file, row_idx) LEFT JOIN (SELECT file, row_idx FROM pa WHERE field = 'school_year') z USING (file, row_idx)"
+)
+CTES["e_bad"] = errors_from("v_bad", "")
+
+# The whole run: members as the mapping of their file sees them.
+_LOST = " OR ".join(f"count(*) FILTER (field = {q(f.name)}) = 0" for f in CONTRACT if f.required and f.name not in V.MISSING_FIELD_DEFAULTS)
+_TAKEN = ", ".join(
+    f"CASE WHEN p_{n} IS NOT NULL THEN cells[p_{n} + 1] ELSE {q(V.MISSING_FIELD_DEFAULTS.get(n, ''))} END AS {n}" for n in NAMES
+)
+CTES["usable"] = (
+    "SELECT file, " + ", ".join(f"max(pos) FILTER (field = {q(n)}) AS p_{n}" for n in NAMES) + f" FROM found GROUP BY file HAVING NOT ({_LOST})"
+)
+CTES["am"] = (
+    f"SELECT 0 AS k, c.file, c.row_idx, {_TAKEN} FROM cells c JOIN b ON b.file = c.file JOIN usable u ON u.file = c.file "
+    "WHERE row_idx > header_idx AND row_idx <= last_idx"
+)
+_RUN = ["n", "e", "fx", "o", "pa", "left_open", "v", "cnt"]
+
+
+def _for_run(text: str) -> str:
+    names = "|".join(_RUN)
+    text = re.sub(rf"\b(FROM|JOIN) ({names})\b", r"\1 run_\2", text)
+    text = re.sub(rf"\b({names})\.(?=[a-z*])", r"run_\1.", text)
+    return text.replace("FROM m) t", "FROM am) t")
+
+
+for _name in _RUN:
+    CTES[f"run_{_name}"] = _for_run(CTES[_name])
+
+
 def _uses(text: str, seen: list[str]) -> list[str]:
     """Names of the tables a text needs, each after those it needs itself."""
-    import re
-
     words = set(re.findall(r"(?:FROM|JOIN|,)\s+([a-z_]+)\b", text))
     for name in CTES:
         if name in words and name not in seen:
@@ -323,12 +356,6 @@ def _decided(policy: str) -> str:
     )
 
 
-_PATCH_BAD = (
-    "SELECT n.k, n.file, n.row_idx, " + ", ".join(
-        f"CASE WHEN {q(x)} = 'school_year' AND p_{x} IS NOT NULL THEN '99' ELSE coalesce(p_{x}, f_{x}, n.{x}) END AS {x}" for x in NAMES
-    )
-)
-
 _SUFFIX = "['.csv', '.XLSX', '.txt', '.xls']"
 _NAMED = f"(SELECT file_no, file[:14] || ({_SUFFIX})[file_no % 4 + 1] AS file FROM ff)"
 _REASON = "CASE WHEN lower(file[15:]) NOT IN ('.csv', '.xlsx') THEN 'Unsupported file format: ' || lower(file[15:]) END"
@@ -425,6 +452,8 @@ QUERIES: dict[str, str] = {
     "fix_type": f"SELECT file, row_idx, field, value, suggested, {FIX_TYPE} AS type FROM er WHERE auto_fixable",
     "fix_policy": _decided("accept") + " UNION ALL " + _decided("review"),
     "fix_manual": f"SELECT file, row_idx, {', '.join(NAMES)}, np AS n_patched, nl AS n_open FROM v JOIN cnt USING (file, row_idx)",
+    "fix_manual_revalidate": "SELECT file, row_idx, field, value, message FROM e_bad UNION ALL SELECT file, row_idx, field, value, message FROM left_open ANTI JOIN pa USING (file, row_idx)",
+    "full_run": f"SELECT file, row_idx, {', '.join(NAMES)} FROM run_v JOIN run_cnt USING (file, row_idx) WHERE outcome = 'valid'",
     "row_skip": "SELECT file, outcome, count(*) AS n FROM cnt GROUP BY ALL",
     "skip_filter": "SELECT n.file, n.row_idx, k FROM n ANTI JOIN s USING (file, row_idx)",
     "default_fill": "SELECT file, row_idx, CASE WHEN postcode = '' THEN 'SW1A 1AA' ELSE postcode END AS postcode, CASE WHEN email = '' THEN 'office@club.org' ELSE email END AS email, "
