@@ -386,7 +386,7 @@ QUERIES: dict[str, str] = {
     "WHERE row_idx < least(header_idx, 5) OR (row_idx > last_idx AND row_idx > end_idx - 5)) t",
     "trim_counts": "SELECT file, header_idx AS cut_top, end_idx - last_idx AS cut_bottom, last_idx - header_idx + 1 AS kept FROM b",
     "header_norm": f"SELECT file, pos, header, {_hnorm('header')} AS norm FROM h",
-    "match_exact": "SELECT file, field, header, tier, pos FROM exact",
+    "match_exact": "SELECT file, field, header, CAST(tier AS BIGINT) AS tier, pos FROM exact",
     "match_score": "SELECT file, pos, header, field, score FROM sc",
     "match_best": "SELECT file, header, field, score FROM best_all",
     "match_unmatched": "SELECT file, pos, header FROM un",
@@ -405,7 +405,7 @@ QUERIES: dict[str, str] = {
     "apply_mapping": "SELECT c.file, c.row_idx, " + ", ".join(f"CASE WHEN p_{n} IS NOT NULL THEN cells[p_{n} + 1] END AS {n}" for n in NAMES)
     + " FROM cells c JOIN b USING (file) LEFT JOIN (SELECT file, " + ", ".join(f"max(pos) FILTER (field = {q(n)}) AS p_{n}" for n in NAMES)
     + " FROM found GROUP BY file) f ON f.file = c.file WHERE row_idx > header_idx AND row_idx <= last_idx",
-    "check_width": "SELECT file, row_idx, 20 AS expected_n, len(cells) AS actual_n, extra_n FROM rx WHERE extra_n <> 0",
+    "check_width": "SELECT file, row_idx, CAST(20 AS BIGINT) AS expected_n, len(cells) AS actual_n, extra_n FROM rx WHERE extra_n <> 0",
     "repair_commas": f"SELECT file, row_idx, array_to_string(CASE WHEN extra_n > 0 THEN merged ELSE cells END, '|') AS row_text, extra_n > 0 AS repaired FROM rj WHERE extra_n = 0 OR shape_ok",
     "looks_like_address": f"SELECT k, {_ADR} FROM m",
     "repair_guard": "SELECT file, row_idx, shape_ok AS ok, 'shape' AS guard FROM rj WHERE extra_n > 0 UNION ALL SELECT file, row_idx, parity_ok, 'parity' FROM rj WHERE extra_n > 0",
@@ -468,7 +468,7 @@ QUERIES: dict[str, str] = {
     "stats_by_field": "SELECT field, count(*) AS n FROM log GROUP BY field",
     "stats_all": "SELECT type, field, count(*) AS n FROM log GROUP BY GROUPING SETS ((type), (field), ())",
     "error_stats": "SELECT field, message, auto_fixable, count(*) AS n FROM e GROUP BY ALL",
-    "summary": "SELECT (SELECT count(*) FROM n) AS rows, (SELECT count(*) FROM cnt WHERE outcome = 'skipped') AS skipped, (SELECT count(*) FROM log) AS automatic, 0 AS comma_repairs, (SELECT count(*) FROM pa) AS manual",
+    "summary": "SELECT (SELECT count(*) FROM n) AS rows, (SELECT count(*) FROM cnt WHERE outcome = 'skipped') AS skipped, (SELECT count(*) FROM log) AS automatic, CAST(0 AS BIGINT) AS comma_repairs, (SELECT count(*) FROM pa) AS manual",
     "skipped_list": "SELECT file, row_idx + 2 AS sheet_row FROM cnt WHERE outcome = 'skipped'",
     "log_sorted": f"SELECT file, row_idx, {POS.format(c='name')} AS field_pos, field, original, corrected, type FROM (SELECT *, "
     "CASE field " + " ".join(f"WHEN {q(f.label)} THEN {q(f.name)}" for f in CONTRACT) + " END AS name FROM log) t",
