@@ -27,12 +27,28 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+class NoSharedFolder(RuntimeError):
+    pass
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a fresh local one only if unset."""
+    """The folder that all executors share.
+
+    It is the one named by ``spark.checkpoint.dir``, or else the context's
+    checkpoint folder.  Only a master that runs in this one process may fall
+    back on a local folder; anywhere else each executor would write to a disk
+    of its own, so that is refused.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    app = spark.sparkContext.applicationId
+    context = spark.sparkContext
+    folder = context.getCheckpointDir()
+    if folder:
+        return folder.rstrip("/")
+    if context.master.partition("[")[0] != "local":
+        raise NoSharedFolder("Set spark.checkpoint.dir to a folder that the driver and all executors share")
+    app = context.applicationId
     if app not in _fallback_dirs:
         _fallback_dirs[app] = tempfile.mkdtemp(prefix="musterroll-")
     return _fallback_dirs[app]
