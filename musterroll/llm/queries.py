@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from musterroll.llm import bpe
+from musterroll.llm import bpe, mixing, shards, urls
 from musterroll.llm.common import table
 
 
@@ -12,6 +12,19 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
-CATALOGUE = {q.__name__: q for q in (op1_byte_bpe,)}
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
 
-ORACLE: dict[str, str] = {}
+
+def op6_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.sharded(table(spark, sf_dir, "documents"))
+
+
+def op10_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mixed(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+CATALOGUE = {q.__name__: q for q in (op1_byte_bpe, op3_url_filter, op6_virtual_slots, op10_fair_mix)}
+
+ORACLE = {"op10_fair_mix": mixing.SQL}
