@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from musterroll.llm import bpe, mixing, shards, urls
+from musterroll.llm import bpe, mixing, quality, shards, urls
 from musterroll.llm.common import table
 
 
@@ -20,11 +20,15 @@ def op6_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.sharded(table(spark, sf_dir, "documents"))
 
 
+def op7_certified_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mixed(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
-CATALOGUE = {q.__name__: q for q in (op1_byte_bpe, op3_url_filter, op6_virtual_slots, op10_fair_mix)}
+CATALOGUE = {q.__name__: q for q in (op1_byte_bpe, op3_url_filter, op6_virtual_slots, op7_certified_rules, op10_fair_mix)}
 
 ORACLE = {"op10_fair_mix": mixing.SQL}
