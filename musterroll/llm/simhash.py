@@ -87,6 +87,10 @@ def _postings(prints: DataFrame, width: int, agree: int) -> DataFrame:
     return prints.select(F.explode(F.array(*keys)).alias("key"), "fp")
 
 
+def differing_bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count((a ^ b).view(np.uint64))  # of signed numbers it would count the absolute value
+
+
 def linked_in_list(members: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Links that hold together what a list's pairs of at most so many differing bits connect."""
     left, right = [], []
@@ -95,7 +99,7 @@ def linked_in_list(members: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarr
         front, rest = rest[:1], rest[1:]
         while len(front) and len(rest):
             at, front = front[0], front[1:]
-            near = np.bitwise_count(rest ^ at) <= bits
+            near = differing_bits(rest, at) <= bits
             found, rest = rest[near], rest[~near]
             left.append(np.full(len(found), at))
             right.append(found)
@@ -118,7 +122,7 @@ class _Found:
         self.links(*linked_in_list(members, self.bits))
 
     def pairs(self, a: np.ndarray, b: np.ndarray) -> None:
-        near = np.bitwise_count(a ^ b) <= self.bits
+        near = differing_bits(a, b) <= self.bits
         self.links(a[near], b[near])
 
     def whole(self, key: int, members: np.ndarray) -> None:
