@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from musterroll.llm import bpe, lines, mixing, quality, shards, simhash, urls
+from musterroll.llm import bpe, lines, mixing, quality, secrets, shards, simhash, urls
 from musterroll.llm.common import table
 
 
@@ -35,11 +35,17 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    digest = F.sha2("base", 256).alias("base_sha256")
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", digest, "spans", "n_layers", "incomplete")
+
+
 def op10_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mixed(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
-CATALOGUE = {q.__name__: q for q in (op1_byte_bpe, op3_url_filter, op5_line_dedup, op6_virtual_slots, op7_certified_rules, op8_simhash_dedup, op10_fair_mix)}
+CATALOGUE = {q.__name__: q for q in (op1_byte_bpe, op3_url_filter, op5_line_dedup, op6_virtual_slots, op7_certified_rules, op8_simhash_dedup, op9_secret_scan, op10_fair_mix)}
 
 ORACLE = {"op5_line_dedup": lines.SQL, "op10_fair_mix": mixing.SQL}
