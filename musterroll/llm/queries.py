@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from musterroll.llm import bpe, lines, mixing, quality, secrets, shards, simhash, urls
+from musterroll.llm import bpe, lines, mixing, quality, secrets, shards, simhash, topk, urls
 from musterroll.llm.common import table
 
 
@@ -17,6 +17,11 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op4_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rest = lines.deduped(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rest.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -46,6 +51,6 @@ def op10_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
-CATALOGUE = {q.__name__: q for q in (op1_byte_bpe, op3_url_filter, op5_line_dedup, op6_virtual_slots, op7_certified_rules, op8_simhash_dedup, op9_secret_scan, op10_fair_mix)}
+CATALOGUE = {q.__name__: q for q in (op1_byte_bpe, op3_url_filter, op4_threshold_topk, op5_line_dedup, op6_virtual_slots, op7_certified_rules, op8_simhash_dedup, op9_secret_scan, op10_fair_mix)}
 
-ORACLE = {"op5_line_dedup": lines.SQL, "op10_fair_mix": mixing.SQL}
+ORACLE = {"op4_threshold_topk": topk.SQL, "op5_line_dedup": lines.SQL, "op10_fair_mix": mixing.SQL}
