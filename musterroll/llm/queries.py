@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from musterroll.llm import bpe, lines, mixing, quality, secrets, shards, simhash, topk, urls
+from musterroll.llm import bpe, lines, mixing, passages, quality, secrets, shards, simhash, topk, urls
 from musterroll.llm.common import table
 
 
@@ -13,6 +13,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op2_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
@@ -51,6 +55,6 @@ def op10_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
-CATALOGUE = {q.__name__: q for q in (op1_byte_bpe, op3_url_filter, op4_threshold_topk, op5_line_dedup, op6_virtual_slots, op7_certified_rules, op8_simhash_dedup, op9_secret_scan, op10_fair_mix)}
+CATALOGUE = {q.__name__: q for q in (op1_byte_bpe, op2_passage_dedup, op3_url_filter, op4_threshold_topk, op5_line_dedup, op6_virtual_slots, op7_certified_rules, op8_simhash_dedup, op9_secret_scan, op10_fair_mix)}
 
 ORACLE = {"op4_threshold_topk": topk.SQL, "op5_line_dedup": lines.SQL, "op10_fair_mix": mixing.SQL}
