@@ -127,7 +127,13 @@ def dropped_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFrame
     shares = [k / settings.batches for k in range(1, settings.batches)]
     cuts = sorted(set(lines.agg(F.percentile_approx("doc_id", shares, 1000)).first()[0] or [])) if shares else []
     runs = Runs(spark, int(spark.conf.get("spark.sql.shuffle.partitions")), settings.fan_out)
-    bounds = [None, *cuts, None]
+    try:
+        return _batched(runs, lines, [None, *cuts, None])
+    finally:
+        runs.close()
+
+
+def _batched(runs: Runs, lines: DataFrame, bounds: list[int | None]) -> DataFrame:
     shared = None
     for k, (low, high) in enumerate(zip(bounds, bounds[1:], strict=False)):
         batch = lines
@@ -135,39 +141,61 @@ def dropped_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFrame
             batch = batch.filter(F.col("doc_id") > low)
         if high is not None:
             batch = batch.filter(F.col("doc_id") <= high)
-        found = written(add_batch(runs, batch, k == len(cuts)), "line-shared")
+        found = written(add_batch(runs, batch, k == len(bounds) - 2), "line-shared")
         hit = batch.join(found, _HASH).filter(F.col("doc_id") != F.col("owner")).select("doc_id", "text_hash", "line_no")
         shared = hit if shared is None else shared.unionByName(hit)
-    runs.close()
     return shared
 
 
+def _rested(docs: DataFrame, settings: Settings) -> DataFrame:
+    """``docs`` with ``__rest``, ``__n_lines`` and ``__n_dropped``."""
+    gone = dropped_lines(docs, settings).groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.collect_set("line_no").alias("__gone"))
+    rows = docs.withColumn("__text_hash", F.xxhash64("text"))
+    joined = rows.join(gone, (F.col("doc_id") == F.col("__id")) & (F.col("__text_hash") == F.col("__hash")), "left")
+    lines = lines_of(F.col("text"))
+    places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
+    rest = F.array_join(F.transform(places, lambda k: F.get(lines, k)), "\n")
+    return joined.select(
+        *docs.columns,
+        F.when(F.col("__gone").isNull(), F.col("text")).otherwise(rest).alias("__rest"),
+        F.size(lines).cast("long").alias("__n_lines"),
+        F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("__n_dropped"),
+    )
+
+
 def deduped(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """``docs`` with ``kept_text``, ``n_lines`` (before) and ``n_dropped``.
+    """``doc_id, kept_text, n_lines`` (before) and ``n_dropped`` of every row of ``docs``.
 
     A key of at least ``min_key`` code points that two documents hold loses
     all its lines except in the smallest ``doc_id``; lines that repeat within
     one document only stay.  Rows without an id keep all lines and own none.
     Rows that repeat with the same id are one document: none loses a line to
-    the other.  A document whose lines all go keeps its row, with an empty
-    text.
+    the other.  A null text is kept as an empty one.
     """
-    gone = dropped_lines(docs, settings).groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.collect_set("line_no").alias("__gone"))
-    kept = [c for c in docs.columns if c not in ("kept_text", "n_lines", "n_dropped")]
-    rows = docs.select(*kept, F.xxhash64("text").alias("__text_hash"))
-    joined = rows.join(gone, (F.col("doc_id") == F.col("__id")) & (F.col("__text_hash") == F.col("__hash")), "left")
-    lines = lines_of(F.col("text"))
-    places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
-    rest = F.array_join(F.transform(places, lambda k: F.get(lines, k)), "\n")
-    text = F.when(F.col("__gone").isNull(), F.coalesce(F.col("text"), F.lit(""))).otherwise(rest)
-    return joined.select(
-        *kept,
-        text.alias("kept_text"),
-        F.size(lines).cast("long").alias("n_lines"),
-        F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_dropped"),
+    out = _rested(docs.select("doc_id", "text"), settings)
+    return out.select(
+        "doc_id",
+        F.coalesce("__rest", F.lit("")).alias("kept_text"),
+        F.col("__n_lines").alias("n_lines"),
+        F.col("__n_dropped").alias("n_dropped"),
     )
 
 
+def cleaned(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """``docs`` with the kept lines as ``text``, and ``n_chars`` to match.
+
+    Documents that lose no line are as they were; one whose lines all go
+    keeps its row, with an empty text.
+    """
+    out = _rested(docs, settings)
+    changed = F.col("__n_dropped") > 0
+    out = out.withColumn("text", F.col("__rest"))
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.when(changed, F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
 SQL = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,

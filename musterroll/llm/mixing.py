@@ -50,7 +50,7 @@ def _cell(cells: int) -> Column:
 
 
 def targets(sizes: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """``__src, source_no, source_size, target``, one row per source.
+    """``__src`` with number, size, target and budget, one row per source.
 
     Targets share the budget by weight; one that would be above ``repeats``
     times its source's size stops there, and the excess goes to the others by
@@ -60,18 +60,18 @@ def targets(sizes: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """
     weights = F.array(*[F.lit(w) for w in settings.weights])
     ordered = Window.orderBy(F.col("__src") == "", "__src")
-    known = sizes.withColumn("source_no", F.row_number().over(ordered))
-    known = known.withColumn("weight", F.get(weights, (F.col("source_no") - 1) % len(settings.weights)))
-    known = known.withColumn("most", F.col("source_size") * settings.repeats)
-    by_room = Window.orderBy(F.col("most") / F.col("weight"), "source_no")
+    known = sizes.withColumn("__source_no", F.row_number().over(ordered))
+    known = known.withColumn("weight", F.get(weights, (F.col("__source_no") - 1) % len(settings.weights)))
+    known = known.withColumn("most", F.col("__source_size") * settings.repeats)
+    by_room = Window.orderBy(F.col("most") / F.col("weight"), "__source_no")
     all_rows = Window.partitionBy()
     stopped = F.coalesce(F.sum("most").over(by_room.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rest = F.sum("weight").over(by_room.rowsBetween(0, Window.unboundedFollowing))
-    budget = F.sum("source_size").over(all_rows) * F.lit(float(settings.share))
-    known = known.withColumn("level", (budget - stopped) / rest).withColumn("budget", budget)
+    budget = F.sum("__source_size").over(all_rows) * F.lit(float(settings.share))
+    known = known.withColumn("level", (budget - stopped) / rest).withColumn("__budget", budget)
     level = F.max("level").over(all_rows)
     target = F.least(F.col("most").cast("double"), level * F.col("weight"))
-    return known.select("__src", "source_no", "source_size", target.alias("target"), "budget")
+    return known.select("__src", "__source_no", "__source_size", target.alias("__target"), "__budget")
 
 
 def _finished(rows: DataFrame, offsets: DataFrame) -> DataFrame:
@@ -82,11 +82,11 @@ def _finished(rows: DataFrame, offsets: DataFrame) -> DataFrame:
 
 def _finish(copy: Column | int) -> Column:
     """Virtual finish time of a row's copy; null where the target is 0."""
-    run = F.col("__run") + F.col("source_size") * copy
-    return F.when(F.col("target") > 0, run / F.col("target"))
+    run = F.col("__run") + F.col("__source_size") * copy
+    return F.when(F.col("__target") > 0, run / F.col("__target"))
 
 
-_PLACE = ["finish", "source_no", *_ORDER, "copy"]
+_PLACE = ["finish", "__source_no", *_ORDER, "copy"]
 
 
 def _cut(finished: DataFrame, cells: int, settings: Settings) -> tuple | None:
@@ -98,14 +98,14 @@ def _cut(finished: DataFrame, cells: int, settings: Settings) -> tuple | None:
     copies = finished.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(settings.repeats - 1))))
     copies = copies.withColumn("finish", _finish(F.col("copy"))).filter(F.col("finish").isNotNull())
     copies = copies.withColumn("slice", F.least(F.floor(F.col("finish") * cells), F.lit(4 * cells)))
-    per_slice = copies.groupBy("slice").agg(F.sum("__size").alias("words"), F.max("budget").alias("budget"))
+    per_slice = copies.groupBy("slice").agg(F.sum("__size").alias("words"), F.max("__budget").alias("__budget"))
     upto = F.sum("words").over(Window.orderBy("slice"))
-    ends = per_slice.withColumn("upto", upto).filter((F.col("upto") > F.col("budget")))
+    ends = per_slice.withColumn("upto", upto).filter((F.col("upto") > F.col("__budget")))
     last = ends.orderBy("slice").limit(1).first()
     if last is None:
         inside, room = copies, None
     else:
-        inside, room = copies.filter(F.col("slice") == last["slice"]), last["budget"] - (last["upto"] - last["words"])
+        inside, room = copies.filter(F.col("slice") == last["slice"]), last["__budget"] - (last["upto"] - last["words"])
     if room is not None:
         running = F.sum("__size").over(Window.partitionBy("slice").orderBy(*_PLACE).rowsBetween(Window.unboundedPreceding, 0))
         taken = inside.withColumn("running", running).filter(F.col("running") <= room)
@@ -128,47 +128,58 @@ def _not_after(copy: int, cut: tuple) -> Column:
     return F.coalesce(_finish(copy).isNotNull() & out, F.lit(False))
 
 
-def mixed(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """``docs`` with ``size, source_size, target, copies, taken`` and the mix's order in ``finish``.
-
-    ``docs`` needs ``doc_id, text, source``; a null text has no words, null
-    sources form one source, the last.  Documents are shuffled by a hash of
-    their id, so reruns agree; rows that are equal take places next to each
-    other.  A source without words has target 0 and none of its documents is
-    taken.  A document without words is taken where the mix passes it.
-
-    A source may hold any share of the rows: its queue is cut into cells by
-    the shuffle hash, about as many as the square root of the number of rows,
-    and words are added up by cell first.
-    """
+def _queued(docs: DataFrame, settings: Settings) -> DataFrame:
+    """``docs`` with columns of the queues and ``__copies``, how often the mix takes a row."""
     rows = _prepared(docs)
     slim = written(rows.select("__src", *_ORDER), "mix-rows")
     cells = max(1, int(slim.count() ** 0.5))
     celled = slim.withColumn("__cell", _cell(cells))
     per_cell = written(celled.groupBy(*_KEYS).agg(F.sum("__size").alias("words")), "mix-cells")
-    sizes = per_cell.groupBy("__src").agg(F.sum("words").alias("source_size"))
+    sizes = per_cell.groupBy("__src").agg(F.sum("words").alias("__source_size"))
     aims = written(targets(sizes, settings), "mix-targets")
     along = Window.partitionBy("__src").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
     before = per_cell.select(*_KEYS, F.coalesce(F.sum("words").over(along), F.lit(0)).alias("__before"))
     offsets = written(before.join(aims, "__src"), "mix-offsets")
     cut = _cut(_finished(celled, offsets), cells, settings)
-    kept = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies", "taken", "finish", "source_no", "budget")]
-    out = _finished(rows.select(*kept, "__src", *_ORDER, _cell(cells).alias("__cell")), offsets)
+    out = _finished(rows.withColumn("__cell", _cell(cells)), offsets)
     copies = F.lit(0)
     if cut is not None:
         for copy in range(settings.repeats):
             copies = copies + _not_after(copy, cut).cast("int")
-    out = out.withColumn("copies", copies)
-    taken = (F.col("copies") * F.col("__size")).alias("taken")
-    return out.select(*kept, F.col("__size").alias("size"), "source_size", "target", "copies", taken, _finish(0).alias("finish"), "source_no")
+    return out.withColumn("__copies", copies)
+
+
+def mixed(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """``doc_id, size, source_size, target, copies, taken`` of every row of ``docs``.
+
+    ``docs`` needs ``doc_id, text, source``; a null text has no words, null
+    sources form one source, the last.  Documents are shuffled by a hash of
+    their id, so reruns agree; rows that are equal take places next to each
+    other.  A source without words has target 0 and none of its documents is
+    taken.  A document without words is taken where the mix passes it.
+
+    A source may hold any share of the rows: its queue is cut into cells by
+    the shuffle hash, about as many as the square root of the number of rows,
+    and words are added up by cell first.
+    """
+    out = _queued(docs.select("doc_id", "text", "source"), settings)
+    return out.select(
+        "doc_id",
+        F.col("__size").alias("size"),
+        F.col("__source_size").alias("source_size"),
+        F.col("__target").alias("target"),
+        F.col("__copies").alias("copies"),
+        (F.col("__copies") * F.col("__size")).alias("taken"),
+    )
 
 
 def stream(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The mix itself: rows of ``docs`` as often as they are taken, in order of finish time."""
-    rows = mixed(docs, settings).filter(F.col("copies") > 0)
-    each = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    each = each.withColumn("at", F.col("finish") + F.col("copy") * F.col("source_size") / F.col("target"))
-    return each.repartitionByRange("at", "source_no", "doc_id").sortWithinPartitions("at", "source_no", "doc_id").select(*docs.columns)
+    rows = _queued(docs, settings).filter(F.col("__copies") > 0)
+    each = rows.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)))
+    each = each.withColumn("__at", _finish(F.col("__copy")))
+    order = ["__at", "__source_no", "__shuffle", "__id"]
+    return each.repartitionByRange(*order).sortWithinPartitions(*order).select(*docs.columns)
 
 
 # The plain form: one running sum over everything.

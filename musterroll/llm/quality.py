@@ -102,12 +102,12 @@ def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
     return (n_words < MIN_WORDS) | (100 * n_repeat_words > MAX_REPEATED * n_words)
 
 
-def signals() -> dict[str, Column]:
+def signals(at: str = "") -> dict[str, Column]:
     """Shares between 0 and 1, larger for worse; 0 for texts without words."""
-    marks = F.col("n_symbols") + F.col("n_shouted")
+    marks = F.col(f"{at}n_symbols") + F.col(f"{at}n_shouted")
     return {
-        "marks": F.coalesce(F.least(marks / F.col("n_words"), F.lit(1.0)), F.lit(0.0)),
-        "upper": F.coalesce(F.col("n_upper") / F.col("word_chars"), F.lit(0.0)),
+        "marks": F.coalesce(F.least(marks / F.col(f"{at}n_words"), F.lit(1.0)), F.lit(0.0)),
+        "upper": F.coalesce(F.col(f"{at}n_upper") / F.col(f"{at}word_chars"), F.lit(0.0)),
     }
 
 
@@ -187,27 +187,48 @@ def cutoffs(counted: DataFrame, labels: DataFrame, settings: Settings = Settings
     return counts.groupBy("stratum", "signal").applyInPandas(lambda rows: chosen(rows, risk, level, steps, cost), CUTOFFS)
 
 
+def _stratum() -> Column:
+    return F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit(""))
+
+
+def certified_cutoffs(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
+    """Counts of every row of ``docs``, and the table of cutoffs, both written."""
+    slim = docs.select("doc_id", _stratum().alias("stratum"), text_counts(F.col("text")).alias("c"))
+    counted = written(slim.select("doc_id", "stratum", "c.*"), "quality-counted")
+    return counted, written(cutoffs(counted, labels, settings), "quality-cutoffs")
+
+
+def with_verdict(counted: DataFrame, found: DataFrame, stratum: str, at: str = "") -> DataFrame:
+    """Adds ``__failed`` and ``__kept``; the table of cutoffs has a few rows per stratum."""
+    wide = found.groupBy(F.col("stratum").alias("__cut_of")).agg(
+        *[F.max(F.when(F.col("signal") == k, F.col("cutoff"))).alias(f"__most_{k}") for k in signals()]
+    )
+    failed = base_failed(F.col(f"{at}n_words"), F.col(f"{at}n_repeat_words"))
+    over = F.lit(False)
+    for k, v in signals(at).items():
+        over = over | F.coalesce(v > F.col(f"__most_{k}"), F.lit(False))
+    out = counted.join(wide, F.col(stratum) == F.col("__cut_of"), "left")
+    return out.withColumn("__failed", failed).withColumn("__kept", ~failed & ~over)
+
+
 def judged(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """``doc_id``, the counts, ``base_failed`` and ``kept`` for every row of ``docs``.
 
     ``docs`` needs ``doc_id, text, lang``.  A null text has no words and fails
     the base rules.  Rows without a language form a stratum; a stratum with
     too few labels gets no cutoff and keeps all that the base rules pass.
-    Repeated rows are judged alike.
+    Rows without an id have no label; repeated rows are judged alike.
     """
-    stratum = F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit(""))
-    slim = docs.select("doc_id", stratum.alias("stratum"), text_counts(F.col("text")).alias("c"))
-    counted = written(slim.select("doc_id", "stratum", "c.*"), "quality-counted")
-    found = written(cutoffs(counted, labels, settings), "quality-cutoffs")
-    return counted_verdict(counted, found)
+    counted, found = certified_cutoffs(docs, labels, settings)
+    out = with_verdict(counted, found, "stratum")
+    return out.select("doc_id", *NAMES[:5], F.col("__failed").alias("base_failed"), F.col("__kept").alias("kept"))
 
 
-def counted_verdict(counted: DataFrame, found: DataFrame) -> DataFrame:
-    """Apply a table of cutoffs, one small row per stratum, to counted documents."""
-    wide = found.groupBy("stratum").agg(*[F.max(F.when(F.col("signal") == k, F.col("cutoff"))).alias(f"most_{k}") for k in signals()])
-    failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
-    over = F.lit(False)
-    for k, v in signals().items():
-        over = over | F.coalesce(v > F.col(f"most_{k}"), F.lit(False))
-    out = counted.join(wide, "stratum", "left")
-    return out.select("doc_id", *NAMES[:5], failed.alias("base_failed"), (~failed & ~over).alias("kept"))
+def accepted(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """The rows of ``docs`` that :func:`judged` keeps, with all their columns.
+
+    Counting twice is cheaper than shuffling all texts to join a verdict.
+    """
+    _, found = certified_cutoffs(docs, labels, settings)
+    rows = docs.withColumn("__stratum", _stratum()).withColumn("__c", text_counts(F.col("text")))
+    return with_verdict(rows, found, "__stratum", "__c.").filter("__kept").select(*docs.columns)

@@ -27,7 +27,7 @@ def op4_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rest = lines.deduped(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rest = lines.deduped(table(spark, sf_dir, "documents"))
     return rest.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
@@ -51,8 +51,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mixing.mixed(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 CATALOGUE = {q.__name__: q for q in (op1_byte_bpe, op2_passage_dedup, op3_url_filter, op4_threshold_topk, op5_line_dedup, op6_virtual_slots, op7_certified_rules, op8_simhash_dedup, op9_secret_scan, op10_fair_mix)}

@@ -196,21 +196,36 @@ def links_of(prints: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """``doc_id, fp, component_id`` for every row of ``docs``, which needs ``doc_id, text``.
+    """``doc_id, text_hash, fp, root, component_id`` for every row of ``docs (doc_id, text)``.
 
     Exact copies share a fingerprint and are reduced to it before anything is
     compared.  ``component_id`` is the smallest id reachable over links, the
-    row's own included; a component of rows without ids has none.  Rows that
-    repeat give a row each.  Empty and null texts have fingerprint 0, which
-    links like any other.
+    row's own included; a component of rows without ids has none, and is told
+    by ``root``, its smallest fingerprint.  Rows that repeat give a row each.
+    Empty and null texts have fingerprint 0, which links like any other.
     """
-    marked = written(docs.select("doc_id", fingerprint(F.col("text"), settings.words).alias("fp")), "simhash-prints")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), fingerprint(F.col("text"), settings.words).alias("fp"))
+    marked = written(rows, "simhash-prints")
     prints = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
     rooted = components(links_of(prints.select("fp"), settings))
     classes = prints.join(rooted, prints["fp"] == rooted["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = classes.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_print = written(classes.join(least, "root").select("fp", "component_id"), "simhash-classes")
-    return marked.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    by_print = written(classes.join(least, "root").select("fp", "root", "component_id"), "simhash-classes")
+    return marked.join(by_print, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
+
+
+def one_of_each(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """One row of ``docs`` per component, with all its columns.
+
+    That is the row with the smallest id (rows without an id come last), and
+    of rows that repeat it, one.
+    """
+    found = near_duplicates(docs.select("doc_id", "text"), settings)
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_hash"))).alias("k")
+    kept = written(found.groupBy("root").agg(first).select(F.col("k.doc_id").alias("__id"), F.col("k.text_hash").alias("__hash")), "simhash-kept")
+    rows = docs.withColumn("__text_hash", F.xxhash64("text"))
+    here = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash"))
+    return rows.join(kept, here, "left_semi").dropDuplicates(["doc_id", "__text_hash"]).select(*docs.columns)
 
 
 def fingerprint_hex(fp: Column) -> Column:
