@@ -21,7 +21,7 @@ PROBLEMS = "array<struct<field_pos:int,field:string,value:string,message:string,
 
 
 def matches(value: Column, pattern: str) -> Column:
-    return value.rlike("(?i)" + pattern)
+    return value.rlike("(?i)" + X.whole(pattern))
 
 
 def none() -> Column:
@@ -60,7 +60,7 @@ def prepared(field: Field, v: Column) -> Column | None:
     if field.kind == "integer":
         return X.to_double(v)
     if field.kind == "phone":
-        return F.regexp_replace(v, r"[\s\-()+]", "")
+        return F.regexp_replace(v, rf"[{X.BLANK}\-()+]", "")
     return None
 
 
@@ -110,7 +110,7 @@ def _integer(field: Field, v: Column, number: Column) -> list:
 def _phone(field: Field, v: Column, digits: Column) -> list:
     return [
         (F.length(digits) < 10, _problem(field, v, V.MSG_PHONE_SHORT)),
-        (~digits.rlike(r"^[0-9]+$"), _problem(field, v, V.MSG_PHONE_CHARS)),
+        (~digits.rlike(r"^[0-9]+\z"), _problem(field, v, V.MSG_PHONE_CHARS)),
     ]
 
 

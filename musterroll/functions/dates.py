@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from musterroll.functions import text as X
 
-UK_SHAPE = r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$"
-UK_PADDED = r"^[0-9]{2}/[0-9]{2}/[0-9]{4}$"
+UK_SHAPE = r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}\z"
+UK_PADDED = r"^[0-9]{2}/[0-9]{2}/[0-9]{4}\z"
 
 # Day exists: any month up to 28, then 29/30, then 31, then leap days.
 _LEAP = r"(?:[0-9]{2}(?:0[48]|[2468][048]|[13579][26])|(?:[02468][048]|[13579][26])00)"
@@ -22,22 +22,24 @@ EXISTS = (
     r"^(?!.*/0000)(?:(?:0[1-9]|1[0-9]|2[0-8])/(?:0[1-9]|1[0-2])/[0-9]{4}"
     r"|(?:29|30)/(?:0[13-9]|1[0-2])/[0-9]{4}"
     r"|31/(?:0[13578]|1[02])/[0-9]{4}"
-    rf"|29/02/{_LEAP})$"
+    rf"|29/02/{_LEAP})\z"
 )
 
 _CLOCK = (
     r"[ T](?:[01]?[0-9]|2[0-3]):[0-5][0-9](?::[0-5][0-9](?:\.[0-9]+)?)?"
-    r"(?: ?[AaPp][Mm]|Z)?$"
+    r"(?: ?[AaPp][Mm]|Z)?\z"
 )
-_DAY_FIRST = r"^[0-9]{1,2}[/. -][0-9]{1,2}[/. -](?:[0-9]{4}|[0-9]{2})$"
-_YEAR_FIRST = r"^([0-9]{4})[/.-]([0-9]{1,2})[/.-]([0-9]{1,2})$"
-_COMPACT = r"^([0-9]{4})([0-9]{2})([0-9]{2})$"
+_DAY_FIRST = r"^[0-9]{1,2}[/. -][0-9]{1,2}[/. -](?:[0-9]{4}|[0-9]{2})\z"
+_YEAR_FIRST = r"^([0-9]{4})[/.-]([0-9]{1,2})[/.-]([0-9]{1,2})\z"
+_COMPACT = r"^([0-9]{4})([0-9]{2})([0-9]{2})\z"
 _MONTH = (
     r"(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?"
     r"|sep(?:t(?:ember)?)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
 )
-_DAY_NAMED = rf"(?i)^([0-9]{{1,2}})(?:st|nd|rd|th)?[ -]+{_MONTH}[ ,-]+([0-9]{{4}})$"
-_NAMED_DAY = rf"(?i)^{_MONTH} +([0-9]{{1,2}})(?:st|nd|rd|th)?,? +([0-9]{{4}})$"
+_WEEKDAY = r"(?:(?:mon|tue(?:s)?|wed(?:nes)?|thu(?:rs)?|fri|sat(?:ur)?|sun)(?:day)?[ ,.]+)?"
+_YEAR = r"([0-9]{4}|[0-9]{2})"
+_DAY_NAMED = rf"(?i)^{_WEEKDAY}([0-9]{{1,2}})(?:st|nd|rd|th)?(?: of)?[ /.-]+{_MONTH}\.?[ ,/.-]+{_YEAR}\z"
+_NAMED_DAY = rf"(?i)^{_WEEKDAY}{_MONTH}\.? +([0-9]{{1,2}})(?:st|nd|rd|th)?,? +{_YEAR}\z"
 _MONTH_ORDER = "janfebmaraprmayjunjulaugsepoctnovdec"
 
 SERIAL_EPOCH = "1899-12-30"
@@ -72,12 +74,13 @@ def _full_year(text: Column) -> Column:
 def _named(text: Column, pattern: str, day: int, month: int) -> Column:
     name = F.lower(F.left(F.regexp_extract(text, pattern, month), F.lit(3)))
     number = (F.instr(F.lit(_MONTH_ORDER), name) + 2) / 3
-    return F.concat_ws(
+    shown = F.concat_ws(
         "/",
         F.lpad(F.regexp_extract(text, pattern, day), 2, "0"),
         F.lpad(number.cast("int").cast("string"), 2, "0"),
         F.regexp_extract(text, pattern, 3),
     )
+    return X.let(shown, _full_year)
 
 
 def _laid_out(text: Column, after_year: str) -> Column:

@@ -29,12 +29,12 @@ def email(value: Column) -> Column:
 
 
 def postcode(value: Column) -> Column:
-    return spaced_postcode(F.regexp_replace(F.upper(value), r"\s+", ""))
+    return spaced_postcode(F.regexp_replace(F.upper(value), f"{X.BLANK}+", ""))
 
 
 def spaced_postcode(tight: Column) -> Column:
     """Put a blank before the last three of five or more characters."""
-    return F.regexp_replace(tight, r"(?s)^(.{2,})(.{3})$", "$1 $2")
+    return F.regexp_replace(tight, r"(?s)^(.{2,})(.{3})\z", "$1 $2")
 
 
 def date(value: Column, iso_dayfirst: bool = False) -> Column:
@@ -44,9 +44,23 @@ def date(value: Column, iso_dayfirst: bool = False) -> Column:
 
 
 def integer(value: Column) -> Column:
-    """Whole part of a number as text; other text is kept."""
-    whole = X.to_double(value).try_cast("bigint").cast("string")
-    return F.when(value.rlike("^[1-9][0-9]{0,15}$"), value).otherwise(F.coalesce(whole, value))
+    """Whole part of a number, read as a double, as text; other text is kept.
+
+    Numbers of 38 digits and more, and infinite ones, are kept as they are.
+    The first case is a shortcut: doubles hold fifteen digits exactly.
+    """
+    short = value.rlike(r"^[1-9][0-9]{0,14}\z")
+    return F.when(short, value).otherwise(F.coalesce(X.let(X.to_double(value), _whole_part), value))
+
+
+def _whole_part(number: Column) -> Column:
+    """All digits of a double's whole part; above 2^63 in two exact halves."""
+    unit = float(1 << 60)
+    high = F.floor(F.abs(number) / unit)
+    low = F.abs(number) - high * F.lit(unit)
+    digits = high.cast("decimal(19,0)") * F.lit(1 << 60).cast("decimal(19,0)") + low.cast("bigint").cast("decimal(19,0)")
+    shown = F.concat(F.when(number < 0, "-").otherwise(""), digits.cast("string"))
+    return F.when(F.abs(number) < float(1 << 62), number.cast("bigint").cast("string")).when(F.abs(number) < 1e37, shown)
 
 
 def typed_date(col: Column, dtype: T.DataType) -> Column | None:

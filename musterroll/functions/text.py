@@ -17,12 +17,25 @@ BLANKS = (
 
 # Decimal text: sign, digits (single underscores between them), point, exponent.
 _DIGITS = r"[0-9]+(?:_[0-9]+)*"
-NUMBER = rf"^[+-]?(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?$"
-NOT_FINITE = r"(?i)^[+-]?(?:nan|inf|infinity)$"
+NUMBER = rf"^[+-]?(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?\z"
+NOT_FINITE = r"(?i)^[+-]?(?:nan|inf|infinity)\z"
+
+# A blank of any kind inside a pattern.
+BLANK = r"\p{IsWhite_Space}"
 
 _CASED = r"\p{Lu}\p{Ll}\p{Lt}"
 
 
+def whole(pattern: str) -> str:
+    """A shared pattern as this engine needs it.
+
+    Here ``$`` also matches before a last line end, and ``\\s`` knows ASCII
+    blanks only; spreadsheets export others.
+    """
+    ended = pattern[:-1] + r"\z" if pattern.endswith("$") else pattern
+    return ended.replace(r"\s", BLANK)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and use it many times in ``body``.
 
@@ -38,7 +51,7 @@ def strip(col: Column) -> Column:
     Most cells have printable ASCII at both ends, which one cheap pattern
     shows; only the others pay for the search in a set of characters.
     """
-    return F.when((col == "") | col.rlike(r"^[!-~](?:.*[!-~])?$"), col).otherwise(F.trim(col, F.lit(BLANKS)))
+    return F.when((col == "") | col.rlike(r"(?s)^[!-~](?:.*[!-~])?\z"), col).otherwise(F.trim(col, F.lit(BLANKS)))
 
 
 def as_text(col: Column, dtype: T.DataType) -> Column:
@@ -96,4 +109,4 @@ def title(text: Column) -> Column:
     """
     runs = F.regexp_extract_all(text, F.lit(rf"([{_CASED}]+|[^{_CASED}]+)"), F.lit(1))
     by_run = F.array_join(F.transform(runs, F.initcap), "")
-    return F.when(text.rlike(r"^[A-Za-z]+$"), F.initcap(text)).otherwise(by_run)
+    return F.when(text.rlike(r"^[A-Za-z]+\z"), F.initcap(text)).otherwise(by_run)

@@ -25,13 +25,13 @@ def headers_of(header_rows: DataFrame) -> DataFrame:
 
 
 def _unstarred(header: Column) -> Column:
-    return F.regexp_replace(header, r"\*+$", "")
+    return F.regexp_replace(header, r"\*+\z", "")
 
 
 def header_norm(header: Column) -> Column:
     """Trim, drop closing stars, lower, and make separators one blank."""
     bare = F.lower(_unstarred(X.strip(header)))
-    return X.strip(F.regexp_replace(bare, r"[_\-\s]+", " "))
+    return X.strip(F.regexp_replace(bare, rf"[_\-{X.BLANK}]+", " "))
 
 
 def _norm_literal(spelling: str) -> str:

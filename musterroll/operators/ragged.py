@@ -17,7 +17,7 @@ def looks_like_address(value: Column) -> Column:
     v = F.lower(X.strip(value))
     hit = v == ""
     for pattern in V.ADDRESS_PATTERNS:
-        hit = hit | v.rlike("(?i)" + pattern)
+        hit = hit | v.rlike("(?i)" + X.whole(pattern))
     return hit
 
 

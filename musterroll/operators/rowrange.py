@@ -60,7 +60,7 @@ def looks_like_header(cells: Column) -> Column:
 
     def wordy(c: Column) -> Column:
         number = X.reads_as_float(X.strip(F.replace(c, F.lit(","), F.lit(""))))
-        date = c.rlike(r"^[0-9]{1,2}[/-][0-9]{1,2}[/-][0-9]{2,4}$")
+        date = c.rlike(r"^[0-9]{1,2}[/-][0-9]{1,2}[/-][0-9]{2,4}\z")
         return ~number & ~date & (F.length(c) > 2) & (X.is_title(c) | X.is_upper(c) | c.contains(" "))
 
     n = F.size(filled)

@@ -30,22 +30,26 @@ def _text(*values: str) -> list[str]:
     return ["'" + v.replace("'", "''") + "'" for v in values]
 
 
-_PHONES = _text("07700123456", "0121 456 7890", "(0121) 4567", "01onal2345678", "")
+# Blanks that spreadsheets leave behind: at ends, and inside values.
+NBSP = "\u00a0"
+_PHONES = _text("07811204516", "01632 960 001", "(01632) 96", "0163x960001", "", f"07811{NBSP}204516", "07811204516\n")
 
 
 def _member_fields(k: str, name: str, segment: str, nation: str) -> dict[str, str]:
     return {
         "sport_passport_id": "''",
-        "first_name": _pick(k, _text("  john ", "MARY-JANE", "o'brien", "Anna", "McDonald", "")),
-        "surname": _pick(k, [name, *_text("SMITH", "doe", "Van Dyk", "lee")]),
-        "gender": _pick(k, _text("Male", "female", "M", "f", "o", "Invalid", "", "OTHER")),
-        "classified_as_disabled": _pick(k, _text("Yes", "no", "YES", "n", "", "Maybe")),
+        "first_name": _pick(k, _text("  noor ", "ANNE-LISE", "d'arcy", "Petra", "MacLeod", "", f"Tove{NBSP}")),
+        "surname": _pick(k, [name, *_text("OKAFOR", "lund", "De Wit", "rao", "Byrne\n")]),
+        "gender": _pick(k, _text("Male", "female", "M", "f", "o", "Unsaid", "", "OTHER", "Male\n")),
+        "classified_as_disabled": _pick(k, _text("Yes", "no", "YES", "n", "", "Perhaps", "No\n")),
         "medical_conditions": _pick(k, _text("", "Diabetes, asthma", "Epilepsy")),
         "date_of_birth": _pick(
             k,
             _text(
-                "16/12/2001", "12/31/2001", "05/06/2001", "2001-12-25", "2001-06-05",
-                "16-12-2001", "not-a-date", "32/13/2001", "",
+                "04/11/1998", "11/24/1998", "03/05/2002", "1998-11-24", "2002-05-03",
+                "24-11-1998", "unknown", "41/17/1998", "", "04/11/1998\n",
+                "24 Nov 1998", "7th of March 2004", "Sunday 3 May 2009", "9/Aug/2011", "5-Sep-03",
+                "24/11/1998 10:30", "3rd of",
             ),
         ),
         "address1": _pick(k, [*_text("12 High Street"), segment, "''"]),
@@ -53,17 +57,17 @@ def _member_fields(k: str, name: str, segment: str, nation: str) -> dict[str, st
         "phone_number": _pick(k, _PHONES),
         "town_city": nation,
         "county": "'Avon'",
-        "postcode": _pick(k, _text("e1 9br", "M11AA", "SW1A 1AA", "INVALID", "", "cf10  1aa")),
+        "postcode": _pick(k, _text("ab1 2cd", "EH12NG", "N1C 4AG", "NOPE", "", "gl50  3lp", f"W1T{NBSP}3JH", "N1C 4AG\n")),
         "country": "'England'",
         "emergency_contact_name": _pick(k, _text("Jane Smith", "")),
         "emergency_contact_phone": _pick(f"({k} + 1)", _PHONES),
         "emergency_contact_phone2": _pick(f"({k} + 2)", _PHONES),
         "email": _pick(
             k,
-            [f"concat('User', CAST({k} AS STRING), '@Example.com')", *_text("missing@domain", "spaces in@x.com", "a@b.co", "")],
+            [f"concat('User', CAST({k} AS STRING), '@Example.com')", *_text("nobody@nowhere", "two words@x.org", "q@r.st", "", "q@r.st\n")],
         ),
-        "school_year": _pick(k, _text("7", "7.9", "0", "14", "abc", "", "1e1", "13")),
-        "course_id": _pick(k, _text("101", "5.0", "x", "")),
+        "school_year": _pick(k, _text("7", "7.9", "0", "14", "abc", "", "1e1", "13", "9\n", "98765432109876543210")),
+        "course_id": _pick(k, _text("101", "5.0", "x", "", "9999999999999999")),
     }
 
 

@@ -11,6 +11,7 @@ import re
 
 from musterroll import fixed_values as V
 from musterroll.contract import CONTRACT, NAMES
+from musterroll.functions.text import BLANKS
 from musterroll.plans import derived as D
 
 
@@ -34,9 +35,17 @@ def label(col: str) -> str:
 # --- rules ------------------------------------------------------------------------
 
 
+# Blanks of every kind, which this engine's own class leaves out.
+_BLANK = r"[\s\x{0b}\x{85}\p{Z}]"
+
+
 def parse(v: str, iso_dayfirst: bool = False) -> str:
+    """A date in one of the spellings that the derived members use."""
     iso = "'%Y-%d-%m', '%Y-%m-%d'" if iso_dayfirst else "'%Y-%m-%d'"
-    return f"try_strptime({v}, ['%d/%m/%Y', {iso}, '%d-%m-%Y'])"
+    bare = f"regexp_replace({v}, '^[A-Z][a-z]+day ', '')"
+    bare = f"regexp_replace({bare}, '^([0-9]+)(st|nd|rd|th)( of)? ', '\\1 ')"
+    named = "'%d %b %Y', '%d %B %Y', '%d/%b/%Y', '%d-%b-%y', '%d/%m/%Y %H:%M'"
+    return f"try_strptime({bare}, ['%d/%m/%Y', {iso}, '%d-%m-%Y', {named}])"
 
 
 def uk(expr: str) -> str:
@@ -47,12 +56,12 @@ def norm(f, v: str, iso_dayfirst: bool = False) -> str:
     if f.kind == "email":
         return f"lower({v})"
     if f.kind == "postcode":
-        t = f"regexp_replace(upper({v}), '\\s+', '', 'g')"
+        t = f"regexp_replace(upper({v}), '{_BLANK}+', '', 'g')"
         return f"CASE WHEN length({t}) >= 5 THEN {t}[:-4] || ' ' || {t}[-3:] ELSE {t} END"
     if f.kind == "date":
         return f"CASE WHEN regexp_full_match({v}, '\\d\\d/\\d\\d/\\d{{4}}') THEN {v} ELSE coalesce({uk(parse(v, iso_dayfirst))}, {v}) END"
     if f.kind == "integer":
-        return f"coalesce(CAST(CAST(trunc(try_cast({v} AS DOUBLE)) AS BIGINT) AS VARCHAR), {v})"
+        return f"coalesce(CAST(CAST(trunc(try_cast({v} AS DOUBLE)) AS HUGEINT) AS VARCHAR), {v})"
     if f.allowed:
         return "CASE " + " ".join(f"WHEN lower({v}) = {q(a.lower())} THEN {q(a)}" for a in f.allowed) + f" ELSE {v} END"
     if f.name in V.NAME_CASE_FIELDS:
@@ -62,7 +71,9 @@ def norm(f, v: str, iso_dayfirst: bool = False) -> str:
 
 
 def full(v: str, pattern: str) -> str:
-    return f"regexp_matches({v}, {q(pattern)}, 'i')"
+    inner = _BLANK[1:-1]
+    wide = pattern.replace(r"[\d\s", "[\\d\0").replace(r"\s", _BLANK).replace("\0", inner)
+    return f"regexp_matches({v}, {q(wide)}, 'i')"
 
 
 def rule(f, v: str) -> tuple[str, str]:
@@ -96,7 +107,7 @@ def rule(f, v: str) -> tuple[str, str]:
             arms += f" WHEN {i} > {f.highest} THEN {q(V.MSG_AT_MOST.format(limit=f.highest))}"
         return f"CASE {arms} END", none
     if f.kind == "phone":
-        d = f"regexp_replace({v}, '[\\s\\-()+]', '', 'g')"
+        d = f"regexp_replace({v}, '[{_BLANK[1:-1]}\\-()+]', '', 'g')"
         return (
             f"CASE WHEN length({d}) < 10 THEN {q(V.MSG_PHONE_SHORT)} WHEN NOT regexp_full_match({d}, '[0-9]+') THEN {q(V.MSG_PHONE_CHARS)} END",
             none,
@@ -328,9 +339,23 @@ def _uses(text: str, seen: list[str]) -> list[str]:
     return seen
 
 
+def _wide_trim(text: str) -> str:
+    """Let every ``trim`` cut blanks of all kinds, not spaces alone."""
+    out = []
+    for m in re.finditer(r"\btrim\(", text):
+        depth, end = 1, m.end()
+        while depth:
+            depth += {"(": 1, ")": -1}.get(text[end], 0)
+            end += 1
+        out.append((end - 1, f", {q(BLANKS)}"))
+    for end, added in sorted(out, reverse=True):
+        text = text[:end] + added + text[end:]
+    return text
+
+
 def sql(text: str) -> str:
     names = _uses(text, [])
-    return "WITH " + ", ".join(f"{n} AS ({CTES[n]})" for n in names) + " " + text if names else text
+    return _wide_trim("WITH " + ", ".join(f"{n} AS ({CTES[n]})" for n in names) + " " + text if names else text)
 
 
 _ROW_TEXT = "array_to_string(cells, '|') AS row_text"
