@@ -43,7 +43,7 @@ def _build() -> tuple[Field, ...]:
             required,
             tuple(V.ALLOWED_VALUES.get(name, ())),
             *V.VALUE_RANGE.get(name, (None, None)),
-            tuple(V.HEADER_SPELLINGS[name].split(" | ")),
+            tuple(V.HEADER_SPELLINGS[name]),
         )
         for pos, (name, header, kind, required) in enumerate(V.FIELDS)
     )

@@ -201,16 +201,24 @@ def missing_fields(positions: DataFrame, required: bool) -> DataFrame:
     return one_row_each(positions, ["file"], entries, "m").select("file", "m.*")
 
 
-def missing_default(positions: DataFrame, defaults: dict[str, str]) -> DataFrame:
+def missing_default(positions: DataFrame, defaults: dict[str, str], decisions: DataFrame | None = None) -> DataFrame:
     """Per file: the first required field that is absent and has no default.
 
     ``unfilled`` is its label, or null where the file can go on; ``defaulted``
-    lists the fields that will be filled by a constant.
+    lists the fields that will be filled by a constant.  A default that
+    ``decisions`` (``file, field, accept``) declines is none for that file.
     """
     known = {**V.MISSING_FIELD_DEFAULTS, **{k: v for k, v in defaults.items() if v}}
+    none = F.array().cast("array<string>")
+    if decisions is None:
+        positions = positions.withColumn("_declined", none)
+    else:
+        declined = decisions.filter(~F.col("accept")).groupBy("file").agg(F.collect_set("field").alias("_declined"))
+        positions = positions.join(declined, "file", "left").withColumn("_declined", F.coalesce("_declined", none))
     absent = lambda f: F.col(f"p_{f.name}").isNull()
-    lost = [F.when(absent(f), F.lit(f.label)) for f in REQUIRED if f.name not in known]
-    filled = [F.when(absent(BY_NAME[n]), F.lit(n)) for n in NAMES if n in known]
+    refused = lambda f: F.array_contains("_declined", f.name) if f.name in known else F.lit(True)
+    lost = [F.when(absent(f) & refused(f), F.lit(f.label)) for f in REQUIRED]
+    filled = [F.when(absent(BY_NAME[n]) & ~F.array_contains("_declined", n), F.lit(n)) for n in NAMES if n in known]
     return positions.select(
         "file",
         F.coalesce(*lost).alias("unfilled"),

@@ -90,19 +90,35 @@ def apply_fixes(df: DataFrame, policy: str = "accept", decisions: DataFrame | No
     )
 
 
-def apply_patches(df: DataFrame, patches: DataFrame | None, revalidate: bool = False, skip_fields=()) -> DataFrame:
+def patch_conflicts(patches: DataFrame) -> DataFrame:
+    """Cells for which people gave different values, with all of them."""
+    several = patches.groupBy(*KEY, "field").agg(F.sort_array(F.collect_set("value")).alias("values"))
+    return several.filter(F.size("values") > 1)
+
+
+def _agreed(value: Column) -> Column:
+    """The one value of a group, or null where there are several."""
+    return F.when(F.min(value) == F.max(value), F.max(value))
+
+
+def apply_patches(df: DataFrame, patches: DataFrame | None, revalidate: bool = False, skip_fields=(), iso_dayfirst: bool = False) -> DataFrame:
     """Answer open errors with values supplied by people.
 
-    A patch counts only for a field with an open error.  Patched values are
-    taken as they are, unless ``revalidate`` checks the patched row again.
-    Adds ``patched``.
+    A patch counts only for a field with an open error, and only where all
+    patches of the cell agree (:func:`patch_conflicts` lists the others).
+    Patched values are taken as they are, unless ``revalidate`` checks the
+    patched row again.  Adds ``patched``.
+
+    Only rows with open errors meet the patches; the others pass by.
     """
     if patches is None:
         return df.withColumn("patched", F.array().cast(CHANGE))
     per_row = patches.groupBy(*KEY).agg(
-        *[F.max(F.when(F.col("field") == n, F.col("value"))).alias(f"_patch_{n}") for n in NAMES]
+        *[_agreed(F.when(F.col("field") == n, F.col("value"))).alias(f"_patch_{n}") for n in NAMES]
     )
-    joined = df.join(per_row, KEY, "left")
+    is_open = F.size("errors") > 0
+    settled = df.filter(~is_open).withColumn("patched", F.array().cast(CHANGE))
+    joined = df.filter(is_open).join(per_row, KEY, "left")
 
     answers = F.create_map(*[x for n in NAMES for x in (F.lit(n), F.col(f"_patch_{n}"))])
     joined = joined.withColumn("_answers", F.map_filter(answers, lambda _, v: v.isNotNull()))
@@ -131,8 +147,8 @@ def apply_patches(df: DataFrame, patches: DataFrame | None, revalidate: bool = F
         patched.alias("patched"),
     )
     if revalidate:
-        out = revalidate_where(out, F.size("patched") > 0, skip_fields)
-    return out
+        out = revalidate_where(out, F.size("patched") > 0, skip_fields, iso_dayfirst)
+    return out.unionByName(settled)
 
 
 def drop_skipped(df: DataFrame, skips: DataFrame | None) -> DataFrame:

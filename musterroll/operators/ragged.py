@@ -63,7 +63,7 @@ def repair(
     the address cell an address (or nothing).  ``'parity'`` looks for an
     address in the cell right after the medical one.  A row of
     ``medical_patches`` (``file, row_idx, text``) gives the text for a row
-    that is too wide, without a guard.
+    that is too wide, without a guard; texts that differ for one row are none.
 
     Adds ``repaired`` (the new cells or null), ``repaired_by``, ``reason`` for
     rows left over, and ``suggestion``.
@@ -76,7 +76,8 @@ def repair(
 
     df = check_width(df, expected)
     if medical_patches is not None:
-        given = medical_patches.groupBy(*KEY).agg(F.max("text").alias("_given"))
+        agreed = F.when(F.min("text") == F.max("text"), F.max("text"))
+        given = medical_patches.groupBy(*KEY).agg(agreed.alias("_given"))
         df = df.join(given, KEY, "left")
     else:
         df = df.withColumn("_given", F.lit(None).cast("string"))

@@ -13,9 +13,11 @@ from musterroll.operators.normalize import with_all_fields
 from musterroll.runtime import one_row_each
 
 
-def _checked(df: DataFrame, skip_fields: Iterable[str], iso_dayfirst: bool, into: str, normalized: bool = False) -> DataFrame:
+def _checked(df: DataFrame, skip_fields: Iterable[str], iso_dayfirst: bool, into: str, normalized: bool = False, where: Column | None = None) -> DataFrame:
     """Add the row's problems in contract order, at most one per field.
 
+    Rows outside ``where`` are not looked at and get null.
+
     Stripped text is a projection of its own, so that it is made once per
     field.  Fields in ``skip_fields`` are left out of the expression: their
     rules are never run.
@@ -36,6 +38,9 @@ def _checked(df: DataFrame, skip_fields: Iterable[str], iso_dayfirst: bool, into
         return checks.check(field, value, form, iso_dayfirst)
 
     found = F.concat(checks.none(), *[one(f) for f in todo])
+    if where is not None:
+        texts, forms = ({n: F.when(where, c) for n, c in some.items()} for some in (texts, forms))
+        found = F.when(where, found)
     staged = df.withColumns(texts) if texts else df
     return staged.withColumns(forms).withColumn(into, found).drop(*texts, *forms)
 
@@ -51,9 +56,12 @@ def validate_table(
     return _checked(with_all_fields(df), skip_fields, iso_dayfirst, "errors", normalized)
 
 
-def revalidate_where(df: DataFrame, cond: Column, skip_fields: Iterable[str] = ()) -> DataFrame:
-    """Check rows again where ``cond`` holds; other rows keep their errors."""
-    again = _checked(df, skip_fields, False, "_again")
+def revalidate_where(df: DataFrame, cond: Column, skip_fields: Iterable[str] = (), iso_dayfirst: bool = False) -> DataFrame:
+    """Check rows again where ``cond`` holds; other rows keep their errors.
+
+    Values are checked as they are, not normalised first.
+    """
+    again = _checked(df, skip_fields, iso_dayfirst, "_again", where=cond)
     return again.withColumn("errors", F.when(cond, F.col("_again")).otherwise(F.col("errors"))).drop("_again")
 
 
