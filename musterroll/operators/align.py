@@ -24,6 +24,11 @@ def headers_of(header_rows: DataFrame) -> DataFrame:
     )
 
 
+def header_lists(header_rows: DataFrame) -> DataFrame:
+    """The header row of each file as one array."""
+    return header_rows.select("file", F.transform("cells", lambda c: X.strip(F.coalesce(c, F.lit("")))).alias("headers"))
+
+
 def _unstarred(header: Column) -> Column:
     return F.regexp_replace(header, r"\*+\z", "")
 
@@ -291,7 +296,8 @@ def suggest_headers(header_lists: DataFrame, missing: DataFrame, k: int = 3, at_
     for f in CONTRACT:
         cond = F.col("field") == f.name
         out = F.when(cond, ranked(f)) if out is None else out.when(cond, ranked(f))
-    return wanted.select("file", "field_pos", "field", out.alias("suggestions"))
+    carried = [c for c in ("label", "headers") if c in wanted.columns]
+    return wanted.select("file", "field_pos", "field", *carried, out.alias("suggestions"))
 
 
 def mapping_report(headers: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -308,11 +314,6 @@ def mapping_report(headers: DataFrame, mapping: DataFrame) -> DataFrame:
 
 def missing_report(positions: DataFrame, header_lists: DataFrame) -> DataFrame:
     """Missing required fields with the headers found and the nearest ones."""
-    missing = missing_fields(positions, required=True)
-    near = suggest_headers(header_lists, missing)
+    near = suggest_headers(header_lists, missing_fields(positions, required=True))
     found = F.array_join(F.filter("headers", lambda h: h != ""), ", ")
-    return (
-        near.join(header_lists.select("file", found.alias("found")), "file")
-        .join(missing.select("file", "field", "label"), ["file", "field"])
-        .select("file", "field_pos", "label", F.array_join("suggestions", ", ").alias("suggestions"), "found")
-    )
+    return near.select("file", "field_pos", "label", F.array_join("suggestions", ", ").alias("suggestions"), found.alias("found"))

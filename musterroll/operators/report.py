@@ -61,7 +61,10 @@ def top_k(df: DataFrame, group: list[str], order: list[str], k: int) -> DataFram
 
 
 def review(log: DataFrame, k: int = 10) -> DataFrame:
-    """For each type: its count, the first ``k`` examples, and how many more."""
+    """For each type: its count, the first ``k`` examples, and how many more.
+
+    The log is used twice, so give it as a written table where it is long.
+    """
     totals = log.groupBy("type").agg(F.count("*").alias("type_total"))  # one row per kind of fix
     shown = top_k(log, ["type"], [*KEY, "field_pos"], k)
     return shown.join(totals, "type").withColumn("more", F.greatest(F.col("type_total") - k, F.lit(0)))
@@ -87,26 +90,44 @@ def skipped_list(skipped: DataFrame) -> DataFrame:
     return skipped.select("file", (F.col("row_idx") + 2).alias("sheet_row")).orderBy("file", "sheet_row")
 
 
-def summary(final: DataFrame, repaired: Column | None = None) -> DataFrame:
-    """Counts of a run from rows that carry ``changes, fixes, patched, outcome``."""
-    is_repaired = F.lit(False) if repaired is None else repaired
-    return final.agg(
+def _with_widths(final: DataFrame, widths: DataFrame | None, keep: list[str]) -> DataFrame:
+    """Rows of a run, those of the wrong width included (``outcome`` is ``width``)."""
+    rows = final.select(*keep)
+    if widths is None:
+        return rows
+    return rows.unionByName(widths.select("file", F.lit("width").alias("outcome")), allowMissingColumns=True)
+
+
+def summary(final: DataFrame, repaired: Column | None = None, widths: DataFrame | None = None) -> DataFrame:
+    """Counts of a run from rows that carry ``changes, fixes, patched, outcome``.
+
+    Rows of the wrong width (``widths``) count as rows, and as skipped.
+    """
+    is_repaired = F.coalesce(F.col("is_repaired"), F.lit(False))
+    given = F.lit(False) if repaired is None else repaired
+    marked = final.withColumn("is_repaired", given)
+    everything = _with_widths(marked, widths, ["file", "outcome", "changes", "fixes", "patched", "is_repaired"])
+    return everything.agg(
         F.count("*").alias("rows"),
-        F.count_if(F.col("outcome") == "skipped").alias("skipped"),
+        F.count_if(F.col("outcome").isin("skipped", "width")).alias("skipped"),
         F.coalesce(F.sum((F.size("changes") + F.size("fixes")).cast("long")), F.lit(0)).alias("automatic"),
         F.count_if(is_repaired).alias("comma_repairs"),
         F.coalesce(F.sum(F.size("patched").cast("long")), F.lit(0)).alias("manual"),
     )
 
 
-def export_decision(final: DataFrame, max_error_rate: float = 1.0, reviewed: bool = True) -> DataFrame:
-    """Per file: what would be written, what changed, and whether to write it."""
+def export_decision(final: DataFrame, max_error_rate: float = 1.0, reviewed: bool = True, widths: DataFrame | None = None) -> DataFrame:
+    """Per file: what would be written, what changed, and whether to write it.
+
+    Rows of the wrong width (``widths``) are bad rows like any other.
+    """
     changed = (F.size("fixes") + F.size("patched")).cast("long")
-    per_file = final.groupBy("file").agg(
+    everything = _with_widths(final, widths, ["file", "outcome", "fixes", "patched"])
+    per_file = everything.groupBy("file").agg(
         F.count("*").alias("rows"),
         F.count_if(F.col("outcome") == "valid").alias("valid_rows"),
-        F.count_if(F.col("outcome") == "quarantine").alias("bad_rows"),
-        F.sum(changed).alias("total_changes"),
+        F.count_if(F.col("outcome").isin("quarantine", "width")).alias("bad_rows"),
+        F.coalesce(F.sum(changed), F.lit(0)).alias("total_changes"),
     )
     rate = F.col("bad_rows") / F.col("rows")
     return per_file.withColumn(

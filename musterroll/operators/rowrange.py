@@ -131,6 +131,15 @@ def trim_rows(cells: DataFrame, bounds: DataFrame) -> DataFrame:
     )
 
 
+def removed_rows(cells: DataFrame, bounds: DataFrame) -> DataFrame:
+    """Rows above the header and below the last data row, whole, with the side they were cut from."""
+    i = F.col("row_idx")
+    joined = with_file_facts(cells, bounds.select("file", "header_idx", "last_idx", "end_idx"), "end_idx")
+    side = F.when(i < F.col("header_idx"), "top").when(i > F.col("last_idx"), "bottom")
+    reason = F.when(has_summary_word(F.col("cells")), "footer word").when(is_empty_row(F.col("cells")), "empty").otherwise("outside the data")
+    return joined.withColumn("side", side).filter(F.col("side").isNotNull()).select("file", "row_idx", "side", "cells", reason.alias("reason"))
+
+
 def header_rows(cells: DataFrame, bounds: DataFrame) -> DataFrame:
     """The header row of each file."""
     return with_file_facts(cells, bounds, "end_idx").filter(F.col("row_idx") == F.col("header_idx")).select("file", "cells")

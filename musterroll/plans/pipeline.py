@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from musterroll import fixed_values as V
-from musterroll.contract import NAMES, WIDTH
+from musterroll.contract import BY_NAME, NAMES, REQUIRED, WIDTH
 from musterroll.operators import align, corrections, normalize, ragged, report, rowrange, validate
 from musterroll.runtime import tune, with_file_facts, written
 from musterroll.sources import folder
@@ -40,6 +40,7 @@ class Answers:
     mappings: DataFrame | None = None  # file, header, field
     medical: DataFrame | None = None  # file, row_idx, text
     decisions: DataFrame | None = None  # file, row_idx, field, accept
+    defaults: DataFrame | None = None  # file, field, accept: constants for absent required fields
     patches: DataFrame | None = None  # file, row_idx, field, value
     skips: DataFrame | None = None  # file, row_idx
 
@@ -54,6 +55,9 @@ class Result:
     positions: DataFrame
     rejected: DataFrame
     options: Options
+    cells: DataFrame
+    header_lists: DataFrame
+    answers: Answers
 
     @property
     def valid(self) -> DataFrame:
@@ -81,10 +85,27 @@ class Result:
         return report.change_log(self.final, ("patched",))
 
     def summary(self) -> DataFrame:
-        return report.summary(self.final, F.col("repaired_by").isNotNull())
+        return report.summary(self.final, F.col("repaired_by").isNotNull(), self.widths)
 
     def export_decision(self) -> DataFrame:
-        return report.export_decision(self.final, self.options.max_error_rate)
+        return report.export_decision(self.final, self.options.max_error_rate, widths=self.widths)
+
+    @property
+    def removed(self) -> DataFrame:
+        """Rows outside the data, which no other table has."""
+        return rowrange.removed_rows(self.cells, self.bounds)
+
+    @property
+    def patch_conflicts(self) -> DataFrame:
+        """Cells for which people gave different values; their rows stay in quarantine."""
+        none = self.cells.sparkSession.createDataFrame([], "file string, row_idx bigint, field string, values array<string>")
+        given = self.answers
+        if given.patches is not None:
+            none = none.unionByName(corrections.patch_conflicts(given.patches))
+        if given.medical is not None:
+            texts = given.medical.select(*KEY, F.lit("medical_conditions").alias("field"), F.col("text").alias("value"))
+            none = none.unionByName(corrections.patch_conflicts(texts))
+        return none
 
 
 class BadOverride(ValueError):
@@ -93,6 +114,9 @@ class BadOverride(ValueError):
 
 def checked_options(spark: SparkSession, options: Options) -> Options:
     """Bring override settings to their normal form, or refuse them."""
+    unknown = sorted(set(options.overrides) - set(V.OVERRIDABLE_FIELDS))
+    if unknown:
+        raise BadOverride(f"Not a field with a default: {', '.join(unknown)}")
     given = {k: v for k, v in options.overrides.items() if v}
     if not given:
         return options
@@ -119,7 +143,7 @@ def file_mapping(headers: DataFrame, options: Options, answers: Answers) -> Data
 def apply_answers(checked: DataFrame, options: Options, answers: Answers) -> DataFrame:
     """Fixes, then patches, then the outcome of each row."""
     fixed = corrections.apply_fixes(checked, options.fix_policy, answers.decisions)
-    done = corrections.apply_patches(fixed, answers.patches, options.revalidate, options.overrides)
+    done = corrections.apply_patches(fixed, answers.patches, options.revalidate, options.overrides, options.iso_dayfirst)
     skipped: Column = F.lit(False)
     if answers.skips is not None:
         done = done.join(answers.skips.select(*KEY).distinct().withColumn("_skip", F.lit(True)), KEY, "left")
@@ -128,6 +152,20 @@ def apply_answers(checked: DataFrame, options: Options, answers: Answers) -> Dat
     return done.withColumn("outcome", outcome).drop("_skip")
 
 
+def _logged_merge(final: DataFrame) -> DataFrame:
+    """Log rows that were put together by a person's text as manual changes."""
+    field = BY_NAME["medical_conditions"]
+    entry = F.struct(
+        F.lit(field.pos).alias("field_pos"),
+        F.lit(field.label).alias("field"),
+        F.col("_merged").alias("original"),
+        F.col("medical_conditions").alias("corrected"),
+        F.lit(corrections.PATCH_NOTE).alias("type"),
+    )
+    merge = F.when(F.col("repaired_by") == "patch", F.array(entry)).otherwise(F.array()).cast(normalize.CHANGE)
+    return final.withColumn("patched", F.concat(merge, F.col("patched"))).drop("_merged")
+
+
 def clean_cells(cells: DataFrame, options: Options = Options(), answers: Answers = Answers()) -> Result:
     """Run all stages on ``file, row_idx, cells``.
 
@@ -148,12 +186,16 @@ def clean_cells(cells: DataFrame, options: Options = Options(), answers: Answers
     # skip all row groups below.
     deepest = bounds.agg(F.max("header_idx")).first()[0] or 0
     head = rowrange.header_rows(cells.filter(F.col("row_idx") <= deepest), bounds)
+    lists = written(align.header_lists(head), "header-lists")
     headers = written(align.headers_of(head), "headers")
     mapping = written(file_mapping(headers, options, answers), "mapping")
     positions = written(align.field_positions(headers, mapping), "positions")
-    verdict = align.missing_default(positions, options.overrides)
+    verdict = align.missing_default(positions, options.overrides, answers.defaults)
 
-    plan = written(bounds.join(positions, "file").join(verdict, "file"), "plan")
+    # A header row without cells gives no positions, but its file is in the plan all the same.
+    nothing = F.when(F.col("width").isNull(), F.lit(REQUIRED[0].label))
+    plan = bounds.join(positions, "file", "left").join(verdict, "file", "left")
+    plan = written(plan.withColumn("unfilled", F.coalesce("unfilled", nothing)), "plan")
     rejected = plan.filter(F.col("unfilled").isNotNull()).select(
         "file", F.concat(F.lit("Missing mandatory field: "), F.col("unfilled")).alias("reason")
     )
@@ -162,18 +204,20 @@ def clean_cells(cells: DataFrame, options: Options = Options(), answers: Answers
     data = with_file_facts(cells, usable, "end_idx").filter(
         (F.col("row_idx") > F.col("header_idx")) & (F.col("row_idx") <= F.col("last_idx"))
     )
+    # A sheet's rows are all as wide as the sheet, so only text files have a width to keep.
+    contract_width = F.when(F.lower("file").endswith(".xlsx"), F.col("width")).otherwise(F.lit(WIDTH))
     mended = ragged.repair(
         data,
-        F.col("width") if options.expected_width == "header" else WIDTH,
+        F.col("width") if options.expected_width == "header" else contract_width,
         options.guard,
         answers.medical,
         F.col("p_medical_conditions"),
         F.col("p_date_of_birth"),
         F.col("p_address1"),
     )
-    rows = ragged.repaired_rows(mended)
+    rows = ragged.repaired_rows(mended).withColumnRenamed("suggestion", "_merged")
     positions_kept = [c for c in usable.columns if c.startswith("p_")]
-    fields = rows.select(*KEY, "repaired_by", *positions_kept, *[F.get("cells", F.col(f"p_{n}")).alias(n) for n in NAMES])
+    fields = rows.select(*KEY, "repaired_by", "_merged", *positions_kept, *[F.get("cells", F.col(f"p_{n}")).alias(n) for n in NAMES])
     fields = align.with_missing_defaults(fields, options.overrides).drop(*positions_kept)
     checked = written(
         validate.validate_table(
@@ -182,31 +226,65 @@ def clean_cells(cells: DataFrame, options: Options = Options(), answers: Answers
         "checked",
     )
     return Result(
-        final=apply_answers(checked, options, answers),
-        widths=ragged.width_quarantine(mended).select(*KEY, "reason", "cells", "suggestion"),
+        final=written(_logged_merge(apply_answers(checked, options, answers)), "final"),
+        widths=written(ragged.width_quarantine(mended).select(*KEY, "reason", "cells", "suggestion"), "widths"),
         bounds=bounds,
         headers=headers,
         mapping=mapping,
         positions=positions,
         rejected=rejected,
         options=options,
+        cells=cells,
+        header_lists=lists,
+        answers=answers,
     )
 
 
 def clean_folder(spark: SparkSession, path: str, options: Options = Options(), answers: Answers = Answers()) -> Result:
-    """Scan a folder and run all stages; unreadable and empty files are rejected."""
-    result = clean_cells(folder.scan_folder(spark, path), options, answers)
-    lost = folder.rejected_files(folder.list_files(spark, path), result.bounds)
+    """Scan a folder and run all stages; unreadable and empty files are rejected.
+
+    Every row of every listed file is then a header, removed, valid, in
+    quarantine, skipped, or in a rejected file.
+    """
+    files = folder.list_files(spark, path)
+    scan = folder.scan_folder(spark, path, files)
+    result = clean_cells(scan.cells, options, answers)
+    lost = folder.rejected_files(files, result.bounds, scan.rejected)
     return Result(**{**result.__dict__, "rejected": result.rejected.unionByName(lost)})
 
 
-def write_result(result: Result, path: str) -> None:
-    """Write the contract rows and every report under ``path``."""
-    folder.write_contract(result.valid, f"{path}/valid")
-    result.quarantine.write.parquet(f"{path}/quarantine")
-    log = report.all_changes(result.automatic_log, result.manual_log)
-    log.write.parquet(f"{path}/changes")
-    report.stats_all(log).write.parquet(f"{path}/stats")
-    report.error_stats(validate.error_table(result.final)).write.parquet(f"{path}/errors")
-    result.rejected.write.parquet(f"{path}/rejected_files")
-    result.summary().write.parquet(f"{path}/summary")
+def write_result(result: Result, path: str, by_file: bool = False) -> None:
+    """Write what people review, and then the contract rows, under ``path``.
+
+    A run keeps its intermediate tables in the shared folder; what is written
+    here is complete without them.  The reports come first, so that a run
+    without a valid row can be answered all the same; ``NothingToWrite`` is
+    raised last.  ``by_file`` gives one output per input file, in row order.
+    """
+    log = written(report.all_changes(result.automatic_log, result.manual_log), "log")
+    automatic = log.filter(F.col("origin") == "automatic").drop("origin")
+    tables = {
+        "quarantine": result.quarantine,
+        "removed_rows": result.removed,
+        "rejected_files": result.rejected,
+        "bounds": result.bounds,
+        "removed_preview": rowrange.trim_preview(result.cells, result.bounds),
+        "mapping": align.mapping_report(result.headers, result.mapping),
+        "open_choices": align.open_choices(result.headers, result.mapping),
+        "missing_columns": align.missing_report(result.positions, result.header_lists),
+        "changes": log,
+        "stats": report.stats_all(log),
+        "examples": report.review(automatic),
+        "errors": report.error_stats(validate.error_table(result.final)),
+        "skipped": report.skipped_list(result.final.filter(F.col("outcome") == "skipped")),
+        "patch_conflicts": result.patch_conflicts,
+        "export_decision": result.export_decision(),
+        "summary": result.summary(),
+    }
+    for name, table in tables.items():
+        table.write.parquet(f"{path}/{name}")
+    valid = result.valid
+    if by_file:
+        folder.write_contract_by_file(valid, f"{path}/valid")
+    else:
+        folder.write_contract(valid, f"{path}/valid")

@@ -82,7 +82,7 @@ def _headers(spark, sf):
 def _header_lists(spark, sf):
     cells = D.cells(spark, sf)
     rows = rowrange.header_rows(cells, _bounds(spark, sf, cells))
-    return rows.select("file", F.transform("cells", X.strip).alias("headers"))
+    return written(align.header_lists(rows), "header-lists")
 
 
 def _file_parity(files: DataFrame) -> Column:
@@ -99,8 +99,9 @@ def _written_headers(spark, sf):
     return written(_headers(spark, sf), "headers")
 
 
-def _positions(spark, sf):
-    headers = _written_headers(spark, sf)
+def _positions(spark, sf, lists=None):
+    """Positions of the fields, from header lists that are written already or from the cells."""
+    headers = _written_headers(spark, sf) if lists is None else align.headers_of(lists.withColumnRenamed("headers", "cells"))
     return align.field_positions(headers, _mapping(spark, sf, headers))
 
 
@@ -189,7 +190,7 @@ def scan_xlsx(spark, sf):
     """Build workbooks of at most 16384 rows each, then read them."""
     rows = D.cells(spark, sf).withColumn("sheet", F.shiftright("row_idx", _SHEET_BITS))
     books = rows.groupBy("file", "sheet").applyInPandas(_workbook, "path string, content binary")
-    read = workbook.read_workbooks(books)
+    read = workbook.read_workbooks(books).filter(F.col("problem").isNull())
     base = F.substring_index("file", "#", -1).cast("long")
     return read.select(
         F.substring_index("file", "#", 1).alias("file"), (base + F.col("row_idx")).alias("row_idx"), _row_text()
@@ -371,7 +372,7 @@ def missing_default(spark, sf):
 @query("suggest_headers")
 def suggest_headers(spark, sf):
     lists = _header_lists(spark, sf)
-    missing = align.missing_fields(_positions(spark, sf), True)
+    missing = align.missing_fields(_positions(spark, sf, lists), True)
     return align.suggest_headers(lists, missing).select("file", "field", F.array_join("suggestions", "|").alias("suggestions"))
 
 
@@ -644,13 +645,13 @@ query("manual_log_sorted")(lambda spark, sf: report.sorted_manual_log(report.cha
 
 @query("review_topk")
 def review_topk(spark, sf):
-    log = report.change_log(_fixed(spark, sf), ("fixes",))
+    log = written(report.change_log(_fixed(spark, sf), ("fixes",)), "log")
     return report.review(log).withColumn("place", F.col("place").cast("long")).drop("field_pos")
 
 
 @query("changes_union")
 def changes_union(spark, sf):
-    final = _final(spark, sf)
+    final = written(_final(spark, sf), "final")
     both = report.all_changes(report.change_log(final, ("fixes",)), report.change_log(final, ("patched",)))
     return both.groupBy("origin", "field").agg(F.count("*").alias("n"))
 
@@ -663,7 +664,8 @@ def mapping_report(spark, sf):
 
 @query("missing_report")
 def missing_report(spark, sf):
-    return align.missing_report(_positions(spark, sf), _header_lists(spark, sf)).drop("field_pos")
+    lists = _header_lists(spark, sf)
+    return align.missing_report(written(_positions(spark, sf, lists), "positions"), lists).drop("field_pos")
 
 
 @query("export_decision")

@@ -1,12 +1,16 @@
 """Scan comma-separated files into ``file, row_idx, cells``.
 
-Files are read as split text, so that one very large file is shared by many
-tasks.  Two facts are worked out per split and summed along the file: how many
-records it starts with, and whether it begins inside a quoted cell.
+Files are read once, as split text, so that one very large file is shared by
+many tasks; the lines are written with the split that they came in, because
+another read may cut the files elsewhere.  Two facts are worked out per split
+and summed along the file: how many records it starts with, and whether it
+begins inside a quoted cell.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +18,18 @@ from musterroll.runtime import file_uri, written
 
 BOM = "\ufeff"
 
+# Longer cells are not data but a quote that was never closed; readers of
+# such files refuse them at this size.
+LONGEST_CELL = 131_072
+LONGEST_RECORD = 64 * LONGEST_CELL  # what is put together in one task at most
+NOT_TEXT = "Not UTF-8 text"
+TOO_LONG = f"A cell has more than {LONGEST_CELL} characters (unclosed quote?)"
+
+
+class Scan(NamedTuple):
+    cells: DataFrame  # file, row_idx, cells
+    rejected: DataFrame  # file, reason
+
 # One cell after a comma: quoted (with doubled quotes), or plain.  Possessive
 # repeats keep the matcher from using the stack for long cells.
 _CELL = r'(?s),("(?:[^"]++|"")*+(?:"[^,]*+)?|[^,]*+)'
@@ -65,6 +81,8 @@ def split_facts(lines: DataFrame) -> DataFrame:
         F.min("line_id").alias("first_id"),
         F.count("*").alias("n_lines"),
         F.max(ends_inside(F.ltrim(F.col("line"), F.lit(BOM)), False)).alias("has_open"),
+        F.max(~F.is_valid_utf8("line")).alias("not_text"),
+        F.max(F.char_length("line")).alias("longest"),
     )
     before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("file")
@@ -74,6 +92,8 @@ def split_facts(lines: DataFrame) -> DataFrame:
         "first_id",
         F.coalesce(F.sum("n_lines").over(before), F.lit(0)).alias("lines_before"),
         F.max("has_open").over(whole).alias("file_open"),
+        F.max("not_text").over(whole).alias("not_text"),
+        F.max("longest").over(whole).alias("longest"),
     )
 
 
@@ -86,8 +106,8 @@ def number_lines(lines: DataFrame, facts: DataFrame) -> DataFrame:
     )
 
 
-def join_quoted_lines(numbered: DataFrame) -> DataFrame:
-    """Put records together whose quoted cells hold line breaks.
+def place_quoted_lines(numbered: DataFrame) -> DataFrame:
+    """Give every line the position of its record, where quoted cells hold line breaks.
 
     Each line maps "began inside a quoted cell" to "ends inside one": it
     always closes, always opens, keeps, or flips.  Within a split the state is
@@ -143,24 +163,44 @@ def join_quoted_lines(numbered: DataFrame) -> DataFrame:
     heads = heads.select("file", "split", F.coalesce(F.sum("n_heads").over(chain), F.lit(0)).alias("heads_before"))
     numbered = placed.withColumn("count", count).join(heads, ["file", "split"])
     record_no = F.col("heads_before") + F.col("count") - 1
-    pieces = numbered.select("file", record_no.alias("row_idx"), "line_no", "line")
+    return numbered.select("file", record_no.alias("row_idx"), "line_no", "line")
+
+
+def joined_records(pieces: DataFrame) -> DataFrame:
+    """Records from their lines, which must be known to be short enough."""
     joined = pieces.groupBy("file", "row_idx").agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("ls"))
     return joined.select("file", "row_idx", F.array_join(F.transform("ls", lambda x: x.line), "\n").alias("record"))
 
 
-def scan_delimited(spark: SparkSession, path: str | list[str], glob: str = "*.csv") -> DataFrame:
-    """Every record of every file under ``path`` as ``file, row_idx, cells``.
+def read_delimited(spark: SparkSession, path: str | list[str], glob: str = "*.csv") -> Scan:
+    """Every record of every file under ``path``, and the files that can't be read.
 
     Files without line breaks inside quotes (found in the first pass) are not
-    shuffled; only the others go through the quoted-line windows.
+    shuffled; only the others go through the quoted-line windows.  A file that
+    is not UTF-8, or that has a cell too long to be one, is rejected whole.
     """
-    lines = read_lines(spark, path, glob)
+    lines = written(read_lines(spark, path, glob), "lines")
     facts = written(split_facts(lines), "split-facts")
-    numbered = number_lines(lines, facts)
-    plain = numbered.filter(~F.col("file_open")).select(
-        "file", F.col("line_no").alias("row_idx"), F.col("line").alias("record")
-    )
-    records = plain
-    if not facts.filter("file_open").isEmpty():
-        records = plain.unionByName(join_quoted_lines(numbered.filter("file_open")))
-    return records.select("file", "row_idx", split_cells(F.col("record")).alias("cells"))
+    rejected = facts.filter("not_text").select("file", F.lit(NOT_TEXT).alias("reason")).distinct()
+    numbered = number_lines(lines, facts.filter(~F.col("not_text")))
+    records = numbered.filter(~F.col("file_open")).select("file", F.col("line_no").alias("row_idx"), F.col("line").alias("record"))
+    shape = facts.agg(F.max("file_open").alias("quoted"), F.max("longest").alias("longest")).first()
+    if shape.quoted:
+        pieces = written(place_quoted_lines(numbered.filter("file_open")), "quoted-lines")
+        sizes = pieces.groupBy("file", "row_idx").agg(F.sum(F.char_length("line") + 1).alias("size"))
+        endless = written(sizes.filter(F.col("size") > LONGEST_RECORD).select("file").distinct(), "endless")
+        records = records.unionByName(joined_records(pieces.join(endless, "file", "left_anti")))
+        rejected = rejected.unionByName(endless.select("file", F.lit(TOO_LONG).alias("reason")))
+    cells = records.select("file", "row_idx", split_cells(F.col("record")).alias("cells"))
+    if shape.quoted or (shape.longest or 0) > LONGEST_CELL:
+        long = records.filter(F.char_length("record") > LONGEST_CELL).select("file", split_cells(F.col("record")).alias("cells"))
+        over = long.filter(F.exists("cells", lambda c: F.char_length(c) > LONGEST_CELL)).select("file").distinct()
+        over = written(over, "long-cells")
+        cells = cells.join(over, "file", "left_anti")
+        rejected = rejected.unionByName(over.select("file", F.lit(TOO_LONG).alias("reason")))
+    return Scan(cells, rejected)
+
+
+def scan_delimited(spark: SparkSession, path: str | list[str], glob: str = "*.csv") -> DataFrame:
+    """``file, row_idx, cells`` of the files that can be read."""
+    return read_delimited(spark, path, glob).cells

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from musterroll.contract import BY_NAME, CONTRACT
-from musterroll.runtime import file_uri
-from musterroll.sources.delimited import scan_delimited
-from musterroll.sources.workbook import scan_workbooks
+from musterroll.runtime import chunk_of, file_uri, written
+from musterroll.sources.delimited import Scan, read_delimited
+from musterroll.sources.workbook import read_workbook_folder
 
 LINE_END = "\r\n"
-READERS = {"csv": scan_delimited, "xlsx": scan_workbooks}
+READERS = {"csv": read_delimited, "xlsx": read_workbook_folder}
 
 
 def with_reader(files: DataFrame) -> DataFrame:
@@ -28,36 +28,40 @@ def with_reader(files: DataFrame) -> DataFrame:
 
 
 def list_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Every file and its reader; contents are not read.
+    """Every file and its reader, as a written table; contents are not read.
 
     Scans leave out files of zero bytes, so the names come from the listing
-    that Spark's file index holds anyway.
+    that Spark's file index holds on the driver anyway.
     """
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     names = spark.createDataFrame([(name,) for name in listing.inputFiles()], "file string")
-    return with_reader(names.select(file_uri(F.col("file")).alias("file")))
+    return written(with_reader(names.select(file_uri(F.col("file")).alias("file"))), "listing")
 
 
-def scan_folder(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Rows of all files with a known suffix (any case)."""
-    files = list_files(spark, path)
-    out = None
+def scan_folder(spark: SparkSession, path: str | list[str], files: DataFrame | None = None) -> Scan:
+    """Rows of all files with a known suffix (any case), and the files that can't be read."""
+    files = list_files(spark, path) if files is None else files
+    cells = spark.createDataFrame([], "file string, row_idx bigint, cells array<string>")
+    rejected = spark.createDataFrame([], "file string, reason string")
     for kind, reader in READERS.items():
         if files.filter(F.col("reader") == kind).isEmpty():
             continue
         glob = "*." + "".join(f"[{c.lower()}{c.upper()}]" for c in kind)
-        rows = reader(spark, path, glob)
-        out = rows if out is None else out.unionByName(rows)
-    return out if out is not None else spark.createDataFrame([], "file string, row_idx bigint, cells array<string>")
+        scan = reader(spark, path, glob)
+        cells, rejected = cells.unionByName(scan.cells), rejected.unionByName(scan.rejected)
+    return Scan(cells, written(rejected, "unreadable"))
 
 
-def rejected_files(files: DataFrame, with_rows: DataFrame) -> DataFrame:
-    """Files without a reader, and files without any row.
+def rejected_files(files: DataFrame, with_rows: DataFrame, unreadable: DataFrame | None = None) -> DataFrame:
+    """Files without a reader, files that can't be read, and files without any row.
 
     ``with_rows`` has one row per file that has rows.
     """
     unknown = files.filter(F.col("reason").isNotNull()).select("file", "reason")
     empty = files.filter(F.col("reason").isNull()).join(with_rows.select("file"), "file", "left_anti")
+    if unreadable is not None:
+        unknown = unknown.unionByName(unreadable.select("file", "reason"))
+        empty = empty.join(unreadable.select("file"), "file", "left_anti")
     return unknown.unionByName(empty.select("file", F.lit("No data found").alias("reason")))
 
 
@@ -74,6 +78,29 @@ def _quoted(value: Column) -> Column:
     return F.concat(F.lit('"'), F.replace(value, F.lit('"'), F.lit('""')), F.lit('"'))
 
 
+def _quoted_line(df: DataFrame) -> tuple[str, Column]:
+    header = ",".join('"' + f.header + '"' for f in CONTRACT)
+    cells = [_quoted(F.coalesce(F.col(f.name), F.lit(""))) for f in CONTRACT]
+    return header, F.concat_ws(",", *cells)
+
+
+def write_contract_by_file(valid: DataFrame, path: str) -> None:
+    """One output per input file, in row order, under ``file=.../chunk=...``.
+
+    ``valid`` has ``file, row_idx`` and the fields.  A file's rows are dealt
+    out in chunks of 2^20, each written by one task as one part with the
+    header first, so that a very large file is many parts.
+    """
+    if valid.isEmpty():
+        raise NothingToWrite("No valid rows to export")
+    header, line = _quoted_line(valid)
+    rows = valid.select("file", chunk_of(F.col("row_idx")).alias("chunk"), "row_idx", line.alias("line"))
+    first = F.row_number().over(Window.partitionBy("file", "chunk").orderBy("row_idx")) == 1
+    text = F.when(first, F.concat(F.lit(header + LINE_END), F.col("line"))).otherwise(F.col("line"))
+    # The window leaves each chunk in one partition, in row order.
+    rows.select("file", "chunk", text.alias("value")).write.partitionBy("file", "chunk").text(path, lineSep=LINE_END)
+
+
 def write_contract(valid: DataFrame, path: str, single_file: bool = False) -> None:
     """Write every cell quoted, under a header, as comma-separated text.
 

@@ -1,5 +1,8 @@
 """Whole runs on small folders, in the shapes the job is meant for."""
 
+import csv
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,26 +10,26 @@ from musterroll.contract import HEADERS, NAMES
 from musterroll.operators import corrections, normalize, report, validate
 from musterroll.plans import pipeline
 from musterroll.plans.pipeline import Answers, Options
+from musterroll.sources import folder
 
 HEAD = ",".join(HEADERS)
 GOOD = [
     ',Ann,Archer,Female,No,"Hay fever, mild",03/11/2002,7 Mill Road,,07700900111,Leeds,,LS1 1AB,England,Bo Archer,07700900112,,ann@club.org,9,101',
     ",Ben,Baker,Male,No,,25/12/2001,5 Oak Road,Flat 2,07700900456,York,,M1 1AA,England,,,07700900789,ben@club.org,7,",
 ]
+# One broken phone; values to normalise only; two suggested fixes; four open errors each in the last two.
 ERRORS = [
-    ",Ann,Archer,Male,No,,16/12/2001,1 High Street,,01onal2345678,Hull,,E1 9BR,England,Bo,07700900123,,a@club.org,9,101",
-    ",jane,DOE,female,no,,2001-12-25,5 Oak Road,,07700900456,Hull,,m1 1aa,England,,,07700900789,jane@club.org,7,",
-    ",Bob,Hill,MALE,YES,,25/12/2001,,,invalid_phone,Hull,,B1 1AA,England,Sue,0121 456 7890,,bob@club,10,55",
-    ",Alice,Brown,Other,n,Heart,12/31/2001,10 Park Lane,,07700123456,Hull,,ls11ab,England,Tom,07700654321,,al@club.co.uk,11,",
-    ",Carl,Jones,m,yes,,16-12-2001,,,07700111222,Hull,,G1 1AB,Scotland,Emma,07700333444,,carl@club.net,13,200",
-    ",,,Male,No,,16/12/2001,,,,,,,,,,,missing@club.com,,",
-    ",David,Tyler,Invalid,Maybe,,not-a-date,20 Queen Street,,07700555666,Hull,,CF10 1AA,Wales,Lisa,07700777888,,d@club.com,15,",
-    ",EMMA,WILSON,Female,No,,2001/06/15,,,07700999000,Hull,,BS1 1AB,England,Mark,07700111222,,emma@club.uk,0,",
+    ",Ines,Marsh,Female,No,,04/11/1998,3 Quay Lane,,0163x960001,Truro,,TR1 2AA,England,Lou,07811204516,,ines@row.org,8,12",
+    ",piet,RAO,male,yes,,2002-05-03,9 Dyke Street,,07811204517,Truro,,tr12ab,England,,,,piet@Row.org,7,",
+    ",Wen,Lund,f,No,,11/24/1998,,,07811204518,Truro,,TR1 2AC,England,,,,wen@row.org,9,",
+    ",,,Other,No,,04/11/1998,,,,Truro,,TR1 2AD,England,,,,nobody@nowhere,14,",
+    ",Ola,Byrne,Male,Perhaps,,unknown,,,,Truro,,NOPE,England,,,,ola@row.org,abc,",
 ]
 SPLIT = [
-    ",Sara,Cook,Female,Yes,Diabetes,asthma,uses inhaler,16/12/1990,42 Main Street,,07700123456,Hull,,SW1A 1AA,England,Jo,07700654321,,sara@club.com,12,",
-    ",Mike,Dunn,Male,No,Peanut allergy,carries pen,no nuts,01/06/1985,100 Oak Avenue,Unit 5,07700999888,Hull,,M1 1AB,England,Li,07700777666,,mike@club.org,,50",
+    ",Kit,Moss,Female,Yes,Gluten,dust,wears lenses,09/02/1991,14 Canal Walk,,07811204520,Truro,,TR1 3AA,England,Jo,07811204521,,kit@row.org,12,",
+    ",Rui,Vale,Male,No,Bee stings,knee brace,left ear,21/08/1987,2 Pier Road,Flat 6,07811204522,Truro,,TR1 3AB,England,Al,07811204523,,rui@row.org,,50",
 ]
+KEY = "file string, row_idx bigint"
 
 
 @pytest.fixture
@@ -48,25 +51,32 @@ def test_valid_file(run):
 def test_file_with_errors(run, spark):
     r = run({"a.csv": [HEAD, *ERRORS]})
     types = {x.type: x.n for x in report.stats_by_type(r.automatic_log).collect()}
-    assert types == {"normalization": 14, "us_to_uk_date": 1, "gender_abbreviation": 1}
-    open_errors = validate.error_table(r.final)
-    assert open_errors.count() == 12
-    per_row = {x.row_idx: x["count"] for x in open_errors.groupBy("row_idx").count().collect()}
-    assert per_row == {1: 1, 3: 2, 4: 1, 6: 3, 7: 4, 8: 1}
-    assert r.valid.count() == 2 and r.quarantine.count() == 6
+    assert types == {"normalization": 7, "us_to_uk_date": 1, "gender_abbreviation": 1}
+    per_row = {x.row_idx: x["count"] for x in validate.error_table(r.final).groupBy("row_idx").count().collect()}
+    assert per_row == {1: 1, 4: 4, 5: 4}
+    assert r.valid.count() == 2 and r.quarantine.count() == 3
     s = r.summary().first()
-    assert (s["rows"], s.skipped, s.automatic, s.comma_repairs, s.manual) == (8, 0, 16, 0, 0)
+    assert (s["rows"], s.skipped, s.automatic, s.comma_repairs, s.manual) == (5, 0, 9, 0, 0)
 
 
 def test_extra_rows_are_cut(run):
-    r = run({"a.csv": ["School Information", "Student data", "Generated on 2024-01-01", "," * 18, HEAD, *GOOD, "," * 18, "Total: 2 students", "End of report"]})
+    r = run({"a.csv": ["Rowing club returns", "Season sheet", "Printed in March", "," * 18, HEAD, *GOOD, "," * 18, "Total: 2 rowers", "End of sheet"]})
     b = r.bounds.first()
     assert (b.header_idx, b.last_idx) == (4, 6) and r.valid.count() == 2
+    assert [(x.row_idx, x.side, x.reason) for x in r.removed.orderBy("row_idx").collect()] == [
+        (0, "top", "outside the data"), (1, "top", "outside the data"), (2, "top", "outside the data"), (3, "top", "empty"),
+        (7, "bottom", "empty"), (8, "bottom", "footer word"), (9, "bottom", "footer word"),
+    ]
+
+
+def test_a_member_who_looks_like_a_footer_is_kept_for_review(run):
+    r = run({"a.csv": [HEAD, GOOD[0], GOOD[1].replace("Baker", "Sumner")]})
+    assert r.valid.count() == 1 and [x.cells[2] for x in r.removed.collect()] == ["Sumner"]
 
 
 def test_split_cells_are_joined(run):
     r = run({"a.csv": [HEAD, *SPLIT]})
-    assert {x.medical_conditions for x in r.valid.collect()} == {"Diabetes, asthma, uses inhaler", "Peanut allergy, carries pen, no nuts"}
+    assert {x.medical_conditions for x in r.valid.collect()} == {"Gluten, dust, wears lenses", "Bee stings, knee brace, left ear"}
     assert r.summary().first().comma_repairs == 2
 
 
@@ -76,13 +86,22 @@ def test_parity_guard_repairs_none(run):
 
 
 def test_given_medical_text_repairs(run, spark):
-    given = lambda d: spark.createDataFrame([(f"file://{d}/a.csv", 1, "Asthma, mild")], "file string, row_idx bigint, text string")
+    given = lambda d: spark.createDataFrame([(f"file://{d}/a.csv", 1, "Dust, mild")], KEY + ", text string")
     r = run({"a.csv": [HEAD, *SPLIT]}, Options(guard="parity"), medical=given)
-    assert [x.medical_conditions for x in r.valid.collect()] == ["Asthma, mild"] and r.quarantine.count() == 1
+    assert [x.medical_conditions for x in r.valid.collect()] == ["Dust, mild"] and r.quarantine.count() == 1
+    assert [(x.field, x.original, x.corrected) for x in r.manual_log.collect()] == [("MedicalConditions", "Gluten, dust, wears lenses", "Dust, mild")]
+    s = r.summary().first()
+    assert (s["rows"], s.skipped, s.comma_repairs, s.manual) == (2, 1, 1, 1)
+
+
+def test_rows_of_wrong_width_count_as_bad(run):
+    r = run({"a.csv": [HEAD, GOOD[0], *["a,b,c"] * 9]}, Options(max_error_rate=0.5))
+    d = r.export_decision().first()
+    assert (d["rows"], d.bad_rows, d.decision) == (10, 9, "too many errors") and r.valid.isEmpty()
 
 
 SHORT = [h for h in HEADERS if h not in ("Sport Passport ID", "Postcode*", "Email*")]
-SHORT_ROW = 'Jo,Hill,Male,No,"Diabetes, asthma",16/12/2001,12 High Street,,07700123456,Leeds,,England,Jane,07700900123,,9,101'
+SHORT_ROW = 'Una,Holt,Other,No,"Pollen, cats",30/01/2004,8 Weir Close,,07811204530,Leeds,,England,Mo,07811204531,,9,101'
 
 
 def test_missing_required_columns(run):
@@ -103,8 +122,16 @@ def test_fixed_width_sends_short_rows_away(run):
 
 
 def test_bad_override_is_refused(run):
-    with pytest.raises(pipeline.BadOverride):
-        run({"a.csv": [HEAD, *GOOD]}, Options(overrides={"postcode": "nowhere"}))
+    for bad in ({"postcode": "nowhere"}, {"post_code": "SW1A 1AA"}, {"classified_as_disabled": "No"}):
+        with pytest.raises(pipeline.BadOverride):
+            run({"a.csv": [HEAD, *GOOD]}, Options(overrides=bad))
+
+
+def test_a_declined_default_rejects_the_file(run, spark):
+    head = HEAD.replace("ClassifiedAsDisabled*", "Extra")
+    declined = lambda d: spark.createDataFrame([(f"file://{d}/a.csv", "classified_as_disabled", False)], "file string, field string, accept boolean")
+    assert run({"a.csv": [head, *GOOD]}).valid.count() == 2
+    assert [x.reason for x in run({"a.csv": [head, *GOOD]}, defaults=declined).rejected.collect()] == ["Missing mandatory field: ClassifiedAsDisabled"]
 
 
 def test_spelling_of_headers(run):
@@ -117,21 +144,19 @@ def test_spelling_of_headers(run):
 
 
 def test_answers_of_people(run, spark):
-    key = "file string, row_idx bigint"
     f = lambda d: f"file://{d}/a.csv"
+    cell = KEY + ", field string, value string"
     r = run(
         {"a.csv": [HEAD, *ERRORS]},
-        patches=lambda d: spark.createDataFrame([(f(d), 1, "phone_number", "07700900000"), (f(d), 8, "school_year", "99"), (f(d), 2, "surname", "Ignored")], key + ", field string, value string"),
-        skips=lambda d: spark.createDataFrame([(f(d), 2)], key),
-        decisions=lambda d: spark.createDataFrame([(f(d), 5, "gender", False)], key + ", field string, accept boolean"),
+        patches=lambda d: spark.createDataFrame([(f(d), 1, "phone_number", "07811000000"), (f(d), 2, "surname", "Ignored"), (f(d), 4, "email", "a@b.org"), (f(d), 4, "email", "z@b.org")], cell),
+        skips=lambda d: spark.createDataFrame([(f(d), 5)], KEY),
+        decisions=lambda d: spark.createDataFrame([(f(d), 3, "gender", False)], KEY + ", field string, accept boolean"),
     )
-    got = {x.row_idx: x.outcome for x in r.final.collect()}
-    assert got == {1: "valid", 2: "skipped", 3: "quarantine", 4: "quarantine", 5: "quarantine", 6: "quarantine", 7: "quarantine", 8: "valid"}
-    assert r.manual_log.count() == 2
-    log = {(x.field, x.original, x.corrected) for x in r.manual_log.collect()}
-    assert ("SchoolYear", "0", "99") in log
-    checked = run({"a.csv": [HEAD, *ERRORS]}, Options(revalidate=True), patches=lambda d: spark.createDataFrame([(f(d), 8, "school_year", "99")], key + ", field string, value string"))
-    assert {x.row_idx: x.outcome for x in checked.final.collect()}[8] == "quarantine"
+    assert {x.row_idx: x.outcome for x in r.final.collect()} == {1: "valid", 2: "valid", 3: "quarantine", 4: "quarantine", 5: "skipped"}
+    assert [(x.field, x.original, x.corrected) for x in r.manual_log.collect()] == [("PhoneNumber", "0163x960001", "07811000000")]
+    assert [(x.row_idx, x["values"]) for x in r.patch_conflicts.collect()] == [(4, ["a@b.org", "z@b.org"])]
+    checked = run({"a.csv": [HEAD, *ERRORS]}, Options(revalidate=True), patches=lambda d: spark.createDataFrame([(f(d), 1, "phone_number", "12")], cell))
+    assert {x.row_idx: x.outcome for x in checked.final.collect()}[1] == "quarantine"
 
 
 def test_error_rate_holds_files_back(run):
@@ -140,14 +165,37 @@ def test_error_rate_holds_files_back(run):
     assert r.valid.count() == 2
 
 
-def test_write_result(run, spark, tmp_path_factory):
-    out = str(tmp_path_factory.mktemp("out") / "run")
-    r = run({"a.csv": [HEAD, *ERRORS], "note.txt": ["x"]})
-    pipeline.write_result(r, out)
-    stats = {(x.type, x.field): x.n for x in spark.read.parquet(f"{out}/stats").collect()}
-    assert stats[(None, None)] == 16
-    assert spark.read.parquet(f"{out}/rejected_files").count() == 1
-    assert spark.read.csv(f"{out}/valid", header=True).columns == HEADERS
+def test_write_result_and_second_run(run, spark, tmp_path_factory):
+    """A run without a valid row writes all reports; its answers make the next run write the file."""
+    out = str(tmp_path_factory.mktemp("out"))
+    with pytest.raises(folder.NothingToWrite):
+        pipeline.write_result(run({"a.csv": [HEAD, ERRORS[0]], "note.txt": ["x"]}), f"{out}/1")
+    read = lambda name, n=1: spark.read.parquet(f"{out}/{n}/{name}")
+    bad = read("quarantine").first()
+    assert [e.field for e in bad.errors] == ["phone_number"] and read("rejected_files").count() == 1
+    for name in ("removed_rows", "bounds", "removed_preview", "mapping", "open_choices", "missing_columns", "changes", "stats", "examples", "errors", "skipped", "patch_conflicts", "export_decision", "summary"):
+        read(name).count()
+    answer = spark.createDataFrame([(bad.file, bad.row_idx, "phone_number", "07811000000")], KEY + ", field string, value string")
+    second = run({"a.csv": [HEAD, ERRORS[0], GOOD[0], GOOD[1]]}, patches=lambda d: answer)
+    pipeline.write_result(second, f"{out}/2", by_file=True)
+    parts = [p for p in Path(f"{out}/2/valid").rglob("part-*") if "a.csv" in str(p)]
+    assert len(parts) == 1
+    with open(parts[0], newline="", encoding="utf-8") as f:
+        rows = list(csv.reader(f))
+    assert rows[0] == HEADERS and [x[1] for x in rows[1:]] == ["Ines", "Ann", "Ben"]
+
+
+def test_every_row_of_every_file_is_accounted_for(run, spark, tmp_path):
+    (tmp_path / "latin.csv").write_bytes((HEAD + "\n,Jos\u00e9,Sol\n").encode("latin-1"))
+    (tmp_path / "broken.xlsx").write_bytes(b"PK not a workbook")
+    (tmp_path / "open.csv").write_text(HEAD + '\n,"' + "x" * 140_000 + "\n" + "y\n" * 50)
+    (tmp_path / "none.csv").write_text("")
+    r = run({"a.csv": [HEAD, *ERRORS, *SPLIT, "a,b", "Total: 9"], "blank.csv": ["", "x,y", "z,w"]})
+    reasons = {x.file.rsplit("/", 1)[1]: x.reason for x in r.rejected.collect()}
+    assert reasons.keys() == {"latin.csv", "broken.xlsx", "open.csv", "none.csv", "blank.csv"}
+    assert reasons["latin.csv"] == "Not UTF-8 text" and "Unreadable workbook" in reasons["broken.xlsx"] and "unclosed quote" in reasons["open.csv"]
+    kept = r.final.count() + r.widths.count()
+    assert kept + r.removed.filter("file like '%/a.csv'").count() + 1 == len(ERRORS) + len(SPLIT) + 3
 
 
 def test_every_row_has_one_outcome_and_log_replays(spark):

@@ -8,6 +8,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from musterroll import runtime
 from musterroll.contract import HEADERS, NAMES
 from musterroll.sources import delimited, folder, workbook
 
@@ -77,7 +78,7 @@ def test_dispatch_and_rejections(spark, tmp_path):
     (tmp_path / "a b.CSV").write_text("x,y\n1,2\n")
     (tmp_path / "b.txt").write_text("no")
     (tmp_path / "empty.csv").write_text("")
-    rows = folder.scan_folder(spark, str(tmp_path))
+    rows = folder.scan_folder(spark, str(tmp_path)).cells
     assert rows.count() == 2
     lost = folder.rejected_files(folder.list_files(spark, str(tmp_path)), rows.select("file").distinct()).collect()
     assert {r.file.rsplit("/", 1)[1]: r.reason for r in lost} == {"b.txt": "Unsupported file format: .txt", "empty.csv": "No data found"}
@@ -130,3 +131,34 @@ def test_sink_refuses_no_rows(spark, tmp_path):
     empty = spark.createDataFrame([], ", ".join(f"{n} string" for n in NAMES))
     with pytest.raises(folder.NothingToWrite):
         folder.write_contract(empty, str(tmp_path / "out"))
+
+
+def test_splits_may_change_between_plan_and_run(spark, tmp_path):
+    """Positions come from lines that were written, so no later split setting can lose one."""
+    (tmp_path / "a.csv").write_text("".join(f"r{i},x\n" for i in range(20_000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    rows = delimited.scan_delimited(spark, str(tmp_path))
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+        places = rows.agg(F.count_distinct("row_idx").alias("n"), F.max("row_idx").alias("last"), F.count_if(F.col("cells")[0] == F.concat(F.lit("r"), F.col("row_idx"))).alias("right")).first()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert (places.n, places.last, places.right) == (20_000, 19_999, 20_000)
+
+
+def test_shared_folder_or_an_error(monkeypatch):
+    class Context:
+        master, applicationId = "spark://host:7077", "x"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = {}, Context()
+
+    with pytest.raises(runtime.NoSharedFolder):
+        runtime.shared_dir(Session())
+    monkeypatch.setattr(Context, "getCheckpointDir", lambda self: "hdfs:///x/")
+    assert runtime.shared_dir(Session()) == "hdfs:///x"
