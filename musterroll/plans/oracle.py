@@ -328,6 +328,25 @@ for _name in _RUN:
     CTES[f"run_{_name}"] = _for_run(CTES[_name])
 
 
+# A run over ragged rows: what the guard or a given text repairs goes on.
+CTES["rd"] = (
+    "SELECT k, file, row_idx, extra_n, parity_ok, coalesce(given, false) AS given, CASE WHEN extra_n = 0 THEN cells WHEN extra_n > 0 AND parity_ok THEN merged "
+    "WHEN extra_n > 0 AND given THEN cells[:5] || ['Asthma, mild'] || cells[7 + extra_n:] END AS c "
+    "FROM rj LEFT JOIN (SELECT file, row_idx, true AS given FROM s) g USING (file, row_idx)"
+)
+CTES["rrm"] = "SELECT k, file, row_idx, " + ", ".join(f"c[{i + 1}] AS {n}" for i, n in enumerate(NAMES)) + " FROM rd WHERE c IS NOT NULL"
+for _name in ("n", "e", "chg"):
+    _text = re.sub(r"\bFROM (n|e)\b", r"FROM rr_\1", CTES[_name])
+    CTES[f"rr_{_name}"] = _text.replace("FROM m) t", "FROM rrm) t")
+CTES["rr_fx"] = "SELECT * FROM rr_e WHERE auto_fixable"
+CTES["rr_cnt"] = (
+    "SELECT rd.file, rd.row_idx, CASE WHEN c IS NULL THEN 'width' WHEN coalesce(nl, 0) = 0 THEN 'valid' ELSE 'quarantine' END AS outcome, "
+    "coalesce(nf, 0) + CASE WHEN extra_n > 0 AND given AND NOT parity_ok THEN 1 ELSE 0 END AS nf FROM rd "
+    "LEFT JOIN (SELECT file, row_idx, count(*) AS nf FROM rr_fx GROUP BY ALL) a USING (file, row_idx) "
+    "LEFT JOIN (SELECT file, row_idx, count(*) AS nl FROM rr_e WHERE NOT auto_fixable GROUP BY ALL) b USING (file, row_idx)"
+)
+
+
 def _uses(text: str, seen: list[str]) -> list[str]:
     """Names of the tables a text needs, each after those it needs itself."""
     words = set(re.findall(r"(?:FROM|JOIN|,)\s+([a-z_]+)\b", text))
@@ -510,6 +529,19 @@ QUERIES: dict[str, str] = {
     "(SELECT file, count(*) AS rows, count(*) FILTER (outcome = 'valid') AS valid_rows, count(*) FILTER (outcome = 'quarantine') AS bad_rows, CAST(sum(nf + np) AS BIGINT) AS total_changes FROM cnt GROUP BY file) t",
 }
 
+QUERIES["row_accounting"] = "SELECT file, count(*) AS rows FROM cells GROUP BY file"
+QUERIES["summary_ragged"] = (
+    "SELECT (SELECT count(*) FROM rd) AS rows, (SELECT count(*) FROM rd WHERE c IS NULL) AS skipped, "
+    "(SELECT count(*) FROM rr_chg) + (SELECT count(*) FROM rr_fx) AS automatic, "
+    "(SELECT count(*) FROM rd WHERE extra_n > 0 AND c IS NOT NULL) AS comma_repairs, "
+    "(SELECT count(*) FROM rd WHERE extra_n > 0 AND given AND NOT parity_ok) AS manual"
+)
+QUERIES["export_decision_ragged"] = (
+    "SELECT file, rows, valid_rows, bad_rows, total_changes, CASE WHEN valid_rows = 0 THEN 'no valid rows' WHEN bad_rows / rows > 0.8 THEN 'too many errors' "
+    "ELSE 'export' END AS decision FROM (SELECT file, count(*) AS rows, count(*) FILTER (outcome = 'valid') AS valid_rows, "
+    "count(*) FILTER (outcome IN ('quarantine', 'width')) AS bad_rows, CAST(sum(nf) AS BIGINT) AS total_changes FROM rr_cnt GROUP BY file) t"
+)
+
 # The same error counts over one member per order line.
 _LINES = D.members_sql().format(
     customer="(SELECT l_orderkey * 8 + l_linenumber AS c_custkey, 'Part#' || l_partkey AS c_name, CAST(l_suppkey % 25 AS INT) AS c_nationkey, l_returnflag AS c_mktsegment FROM lineitem) l",

@@ -680,6 +680,33 @@ def full_run(spark, sf):
     return pipeline.clean_cells(D.cells(spark, sf), answers=answers).valid
 
 
+@query("row_accounting")
+def row_accounting(spark, sf):
+    """Rows of every file, added up over all tables in which a run leaves them."""
+    run = pipeline.clean_cells(D.cells(spark, sf))
+    one = F.lit(1).cast("long").alias("n")
+    parts = [t.select("file", one) for t in (run.final, run.widths, run.removed, run.bounds)]  # bounds: the header rows
+    held = run.bounds.join(run.rejected.select("file"), "file", "left_semi")
+    parts.append(held.select("file", (F.col("last_idx") - F.col("header_idx")).alias("n")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.groupBy("file").agg(F.sum("n").alias("rows"))
+
+
+def _ragged_run(spark, sf):
+    """A run over rows of which some are too wide or too narrow, with texts given for a few."""
+    rows = D.ragged(spark, sf).select(*KEY, "cells")
+    heads = rows.groupBy("file").agg((F.min("row_idx") - 1).alias("row_idx")).withColumn("cells", F.array(*[F.lit(f.header) for f in CONTRACT]))
+    given = D.skips(spark, sf).select(*KEY, F.lit("Asthma, mild").alias("text"))
+    options = pipeline.Options(guard="parity", expected_width="contract", max_error_rate=0.8)
+    return pipeline.clean_cells(rows.unionByName(heads), options, pipeline.Answers(medical=given))
+
+
+query("summary_ragged")(lambda spark, sf: _ragged_run(spark, sf).summary())
+query("export_decision_ragged")(lambda spark, sf: _ragged_run(spark, sf).export_decision())
+
+
 @query("members_by_line")
 def members_by_line(spark, sf):
     """Error counts over the larger table: one member per order line."""
