@@ -411,6 +411,7 @@ QUERIES: dict[str, str] = {
     "scan_dispatch": f"SELECT file, CASE WHEN lower(file[15:]) IN ('.csv', '.xlsx') THEN lower(file[16:]) END AS reader, {_REASON} AS reason FROM {_NAMED} t",
     "empty_input": f"SELECT file, coalesce({_REASON}, 'No data found') AS reason FROM {_NAMED} t WHERE {_REASON} IS NOT NULL OR file_no % 3 = 0",
     "sink_csv": f"SELECT {', '.join(NAMES)} FROM n",
+    "sink_by_file": f"SELECT file, {', '.join(NAMES)} FROM n",
     "sink_guard": "SELECT n.file, count(*) FILTER (z.file IS NULL) AS valid_rows, valid_rows = 0 AS refused FROM n "
     "LEFT JOIN (SELECT DISTINCT file, row_idx FROM e) z USING (file, row_idx) GROUP BY n.file",
     "header_score": "SELECT file, row_idx, score FROM scored_rows",

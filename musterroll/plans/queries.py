@@ -222,6 +222,14 @@ def sink_csv(spark, sf):
     return folder.read_contract(spark, where)
 
 
+@query("sink_by_file")
+def sink_by_file(spark, sf):
+    """One output per input file, read back with the file that each row came from."""
+    where = new_folder(spark, "by-file")
+    folder.write_contract_by_file(_normal(spark, sf), where)
+    return folder.read_contract(spark, where, by_file=True)
+
+
 @query("sink_guard")
 def sink_guard(spark, sf):
     """Files with and without rows to write."""

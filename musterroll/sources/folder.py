@@ -122,7 +122,7 @@ def write_contract(valid: DataFrame, path: str, single_file: bool = False) -> No
     out.select(text.alias("value")).write.text(path, lineSep=LINE_END)
 
 
-def read_contract(spark: SparkSession, path: str) -> DataFrame:
-    """Read back what :func:`write_contract` wrote, under field names."""
+def read_contract(spark: SparkSession, path: str, by_file: bool = False) -> DataFrame:
+    """Read back what :func:`write_contract` wrote, under field names, or what was written by file."""
     raw = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True, nullValue="\x00", emptyValue="")
-    return raw.select(*[F.coalesce(F.col(f"`{f.header}`"), F.lit("")).alias(f.name) for f in BY_NAME.values()])
+    return raw.select(*["file"] * by_file, *[F.coalesce(F.col(f"`{f.header}`"), F.lit("")).alias(f.name) for f in BY_NAME.values()])
