@@ -2,9 +2,13 @@
 
 Every text is a layer.  A layer is scanned, and what it encodes gives further
 layers: percent escapes, Unicode escapes, base64 tokens, and compressed data
-inside base64.  The worklist ends when no new layer appears; a layer that was
-seen before is not taken up again.  Each layer maps its spans to its parent's,
-so every find has a span in the text itself.
+inside base64.  Each layer maps its spans to its parent's, so every find has a
+span in the text itself.
+
+All that a base64 token holds maps to the token's span, so a token gives the
+kinds that its layers have, at every place where it stands; equal tokens are
+opened once.  Within a token, and among the unescaped forms of the whole text,
+a layer that was seen before is not taken up again, so the worklist ends.
 """
 
 from __future__ import annotations
@@ -70,14 +74,25 @@ _BREAKS = re.compile(r"[/_-]")
 
 @dataclass(frozen=True)
 class Settings:
-    inflated: int = 1 << 24  # characters that a document's layers may have together
+    inflated: int = 1 << 24  # bytes that a token's compressed data may have
     shortest: int = 8  # characters of a decoded token worth scanning
 
 
 @dataclass
 class Layer:
+    """An unescaped form of the whole text."""
+
     text: str
-    back: Callable[[int, int], Span]  # to a span of the text itself
+    parent: Layer | None = None
+    back: Callable[[int, int], Span] | None = None  # to a span of the parent
+
+    def found(self, start: int, kind: int, end: int) -> Find:
+        """A find with its span in the text itself."""
+        layer = self
+        while layer.parent:
+            start, end = layer.back(start, end)
+            layer = layer.parent
+        return start, kind, end
 
 
 def _unescaped(text: str, pattern: re.Pattern[str], decode: Callable[[str], str]) -> tuple[str, Callable[[int, int], Span]] | None:
@@ -179,13 +194,15 @@ def _from_base64(token: str, room: int) -> str | None:
     return _readable(data)
 
 
-def _layers_in(layer: Layer, room: int, shortest: int) -> Iterator[Layer]:
-    """Layers that a layer encodes, outermost first."""
-    text, outer = layer.text, layer.back
+def _unescaped_forms(text: str) -> Iterator[tuple[str, Callable[[int, int], Span]]]:
+    """A text with its percent escapes decoded, and with its Unicode escapes decoded."""
     for marks, pattern, decode in ((("%",), _PERCENT, _percent), (("\\u", "\\x", "&#"), _UNICODE, _code_point)):
         if any(m in text for m in marks) and (found := _unescaped(text, pattern, decode)):
-            plain, back = found
-            yield Layer(plain, lambda a, b, back=back: outer(*back(a, b)))
+            yield found
+
+
+def _tokens_in(text: str) -> Iterator[list[Span]]:
+    """Spans that may be base64, each with those inside it after it."""
     for m in _BASE64.finditer(text):
         pieces = [m.span()]
         if _BREAKS.search(m.group()):  # a path or a name may stand before the token
@@ -193,45 +210,86 @@ def _layers_in(layer: Layer, room: int, shortest: int) -> Iterator[Layer]:
             for part in _BREAKS.split(m.group()):
                 pieces.append((at, at + len(part)))
                 at += len(part) + 1
-        for a, b in pieces:
-            if b - a >= 16 and (plain := _from_base64(text[a:b], room)) is not None and len(plain) >= shortest:
-                yield Layer(plain, lambda _a, _b, a=a, b=b: outer(a, b))
+        yield [(a, b) for a, b in pieces if b - a >= 16]
+
+
+class _Document:
+    """What the tokens of one document hold."""
+
+    def __init__(self, settings: Settings):
+        self.settings, self.cut = settings, False
+        self.layers: set[int] = set()  # hashes of the layers' texts
+        self.opened: dict[str, frozenset[tuple[int, int]]] = {}  # by token
+
+    def opened_tokens(self, text: str) -> Iterator[Find]:
+        """Tokens of a text with each kind that their layers have.
+
+        A part of a token counts for the layers that the whole doesn't have.
+        """
+        for spans in _tokens_in(text):
+            known: set[tuple[int, int]] = set()
+            for a, b in spans:
+                found = self.found_in(text[a:b])
+                yield from ((a, kind, b) for kind in {kind for _, kind in found - known})
+                known |= found
+
+    def found_in(self, token: str) -> frozenset[tuple[int, int]]:
+        """The token's layers that have secrets, each with their kinds."""
+        if token not in self.opened:
+            found: set[tuple[int, int]] = set()
+            seen: set[int] = set()
+            work = [self._decoded(token)]
+            while work:
+                text = next(work[-1], None)
+                if text is None:
+                    work.pop()
+                elif (name := hash(text)) not in seen:
+                    seen.add(name)
+                    found.update((name, kind) for _, kind, _ in base_finds(text))
+                    work.append(self._inner(text, found))
+            self.layers |= seen
+            self.opened[token] = frozenset(found)
+        return self.opened[token]
+
+    def _inner(self, text: str, found: set[tuple[int, int]]) -> Iterator[str]:
+        """Layers that a token's layer encodes; what is known of a token is added to ``found``."""
+        yield from (plain for plain, _ in _unescaped_forms(text))
+        for a, b in (span for spans in _tokens_in(text) for span in spans):
+            if text[a:b] in self.opened:
+                found |= self.opened[text[a:b]]
+            else:
+                yield from self._decoded(text[a:b])
+
+    def _decoded(self, token: str) -> Iterator[str]:
+        try:
+            plain = _from_base64(token, self.settings.inflated)
+        except TooLarge:
+            self.cut = True
+            return
+        if plain is not None and len(plain) >= self.settings.shortest:
+            yield plain
 
 
 def all_finds(text: str, settings: Settings = Settings()) -> tuple[list[Find], list[Find], int, bool]:
-    """Base finds, all finds, the number of layers, and whether a layer was too large to open.
+    """Base finds, all finds, the number of different layers, and whether a layer was too large to open.
 
     Finds of decoded layers have the span of the text that encodes them.
     """
     base = base_finds(text)
     every = set(base)
-    seen = {text}
-    work, room, cut = [Layer(text, lambda a, b: (a, b))], settings.inflated, False
-    layers = 0
+    document = _Document(settings)
+    document.layers.add(hash(text))
+    seen, work = {hash(text)}, [Layer(text)]
     while work:
         layer = work.pop()
-        layers += 1
-        if layers > 1:
-            for start, kind, end in base_finds(layer.text):
-                low, high = layer.back(start, end)
-                every.add((low, kind, high))
-        inner = _layers_in(layer, room, settings.shortest)
-        while True:
-            try:
-                child = next(inner)
-            except StopIteration:
-                break
-            except TooLarge:
-                cut = True
-                break
-            if child.text not in seen:
-                room -= len(child.text)
-                if room < 0:
-                    cut = True
-                    break
-                seen.add(child.text)
-                work.append(child)
-    return base, sorted(every), layers, cut
+        if layer.parent:
+            every.update(layer.found(*find) for find in base_finds(layer.text))
+        every.update(layer.found(*find) for find in document.opened_tokens(layer.text))
+        for plain, back in _unescaped_forms(layer.text):
+            if hash(plain) not in seen:
+                seen.add(hash(plain))
+                work.append(Layer(plain, layer, back))
+    return base, sorted(every), len(document.layers | seen), document.cut
 
 
 def _written(finds: list[Find]) -> str:
@@ -267,8 +325,8 @@ def scan(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
     Counts and ``base`` are of the text as it stands; ``spans`` has the finds
     of all layers too, written as kind:start:end in code points.  A null or
-    empty text has none.  Layers of one document are opened up to
-    ``inflated`` characters together; ``incomplete`` tells where that was not
-    enough, as with a decompression bomb.  Rows that repeat give a row each.
+    empty text has none.  A token's compressed data is opened up to ``inflated``
+    bytes; ``incomplete`` tells where that was not enough, as with a
+    decompression bomb.  Rows that repeat give a row each.
     """
     return docs.select("doc_id", found_in(F.col("text"), settings).alias("f")).select("doc_id", "f.*")

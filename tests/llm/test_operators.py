@@ -391,6 +391,26 @@ def test_a_bomb_is_told_and_a_cycle_ends():
     assert secrets.all_finds("%2541 %25 %41")[2] >= 2
 
 
+def test_equal_layers_are_found_at_every_place():
+    import base64
+    import gzip
+
+    b64 = lambda b: base64.b64encode(b).decode()
+    for packed in (b64(b"password = hunter2222"), b64(gzip.compress(b"password = hunter2222"))):
+        escaped = "".join(f"%{ord(c):02x}" for c in packed)
+        outer = [b64(f"{k} outer {packed} token".encode()) for k in range(2)]
+        places = [packed, packed, escaped, *outer]
+        text, want = "", set()
+        for place in places:
+            text += " and then "
+            want.add((len(text), 0, len(text) + len(place)))
+            text += place
+        _, every, _, cut = secrets.all_finds(text)
+        assert set(every) == want and not cut
+    deep = "%" + "25" * 1500 + "70assword = hunter2222"
+    assert (0, 0, len(deep)) in secrets.all_finds(deep)[1]
+
+
 def test_secret_rows(docs, nothing):
     assert secrets.scan(docs).count() == len(ROWS) and secrets.scan(nothing).collect() == []
 
