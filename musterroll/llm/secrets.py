@@ -22,6 +22,7 @@ import zlib
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import pyarrow as pa
 import zstandard
@@ -74,7 +75,9 @@ _BREAKS = re.compile(r"[/_-]")
 
 @dataclass(frozen=True)
 class Settings:
-    inflated: int = 1 << 24  # bytes that a token's compressed data may have
+    inflated: int = 1 << 24  # bytes of decompressed data that are held and scanned at once
+    opened: int = 1 << 30  # bytes to which a token's compressed data is followed
+    window: int = 1 << 20  # characters of a text that are unescaped at once, and up to the next cut
     shortest: int = 8  # characters of a decoded token worth scanning
 
 
@@ -148,28 +151,82 @@ class TooLarge(Exception):
     pass
 
 
-def _inflated(data: bytes, room: int) -> bytes | None:
-    """Data decompressed by the format that its first bytes name; None for other data.
-
-    Raises ``TooLarge`` rather than give more than ``room`` bytes.
-    """
+# Blanks and marks which no secret, escape or token reaches across in any layer:
+# escapes end in other characters than those before, and begin with others than those after.
+_CUT = r"(?:[G-Zg-z.,)!?] |[,()!?<>|~*^@$]\n?)(?=[A-Za-z])"
+_CUT_TEXT, _CUT_BYTES = re.compile(_CUT), re.compile(_CUT.encode())
+_OVERLAP = 1 << 16  # of windows that have no such place
+_STEP = 1 << 20  # bytes
+
+
+def _format(data: bytes) -> Callable[[], object] | None:
+    """A decompressor for the format that the first bytes name."""
+    if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0:
+        return lambda: zlib.decompressobj(47)
+    if data[:4] == b"\x28\xb5\x2f\xfd":
+        return lambda: zstandard.ZstdDecompressor().decompressobj()
+    if data[:3] == b"BZh":
+        return bz2.BZ2Decompressor
+    if data[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor
+    return None
+
+
+def _steps(one: object, data: bytes) -> Iterator[bytes]:
+    """What a decompressor makes of some more input, about ``_STEP`` bytes at a time."""
+    if isinstance(one, _ZSTD):  # can't be bounded but by its input
+        for low in range(0, len(data), 1024):
+            if one.eof:
+                return
+            yield one.decompress(data[low : low + 1024])
+        return
+    yield one.decompress(data, _STEP)
+    if isinstance(one, bz2.BZ2Decompressor | lzma.LZMADecompressor):
+        while not one.eof and not one.needs_input:
+            yield one.decompress(b"", _STEP)
+    else:
+        while not one.eof and one.unconsumed_tail:
+            yield one.decompress(one.unconsumed_tail, _STEP)
+
+
+_ZLIB, _ZSTD = type(zlib.decompressobj()), type(zstandard.ZstdDecompressor().decompressobj())
+_BROKEN = (zlib.error, zstandard.ZstdError, OSError, EOFError, lzma.LZMAError, ValueError)
+
+
+def _inflated(data: Iterator[bytes], make: Callable[[], object]) -> Iterator[bytes]:
+    """Decompressed data in pieces; broken data ends it."""
+    one = make()
     try:
-        if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0:
-            out = zlib.decompressobj(47).decompress(data, room + 1)
-        elif data[:4] == b"\x28\xb5\x2f\xfd":
-            with zstandard.ZstdDecompressor().stream_reader(data) as reader:
-                out = reader.read(room + 1)
-        elif data[:3] == b"BZh":
-            out = bz2.BZ2Decompressor().decompress(data, room + 1)
-        elif data[:6] == b"\xfd7zXZ\x00":
-            out = lzma.LZMADecompressor().decompress(data, room + 1)
-        else:
-            return None
-    except (zlib.error, zstandard.ZstdError, OSError, EOFError, lzma.LZMAError, ValueError):
-        return None
-    if len(out) > room:
-        raise TooLarge
-    return out
+        for piece in data:
+            yield from filter(None, _steps(one, piece))
+            if one.eof:
+                return
+        if isinstance(one, _ZLIB):
+            yield one.flush()
+    except _BROKEN:
+        return
+
+
+def _windows(pieces: Iterator[bytes], most: int) -> Iterator[tuple[bytes, bool]]:
+    """Data cut in parts of up to ``most`` bytes, each with whether the cut may go through something."""
+    held = bytearray()
+    for piece in pieces:
+        held += piece
+        while len(held) > most:
+            cuts = [m.end() for m in _CUT_BYTES.finditer(held, most // 2, most)]
+            end = cuts[-1] if cuts else most
+            yield bytes(held[:end]), not cuts
+            del held[: end if cuts else end - min(_OVERLAP, end // 2)]
+    yield bytes(held), False
+
+
+def _text_windows(text: str, most: int) -> Iterator[tuple[int, str]]:
+    """Parts of a text with their starts, cut at the first place after ``most`` characters."""
+    start = 0
+    while len(text) - start > most and (cut := _CUT_TEXT.search(text, start + most)):
+        yield start, text[start : cut.end()]
+        start = cut.end()
+    yield start, text[start:]
 
 
 def _readable(data: bytes) -> str | None:
@@ -181,17 +238,14 @@ def _readable(data: bytes) -> str | None:
     return text if not re.search(r"[\x00-\x08\x0e-\x1f\x7f]", text) else None
 
 
-def _from_base64(token: str, room: int) -> str | None:
+def _from_base64(token: str) -> bytes | None:
     body = token.rstrip("=").replace("-", "+").replace("_", "/")
     if len(body) % 4 == 1:
         return None
     try:
-        data = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
+        return base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
     except (binascii.Error, ValueError):
         return None
-    while (more := _inflated(data, room)) is not None:
-        data = more
-    return _readable(data)
 
 
 def _unescaped_forms(text: str) -> Iterator[tuple[str, Callable[[int, int], Span]]]:
@@ -217,7 +271,7 @@ class _Document:
     """What the tokens of one document hold."""
 
     def __init__(self, settings: Settings):
-        self.settings, self.cut = settings, False
+        self.settings, self.cut, self.room = settings, False, settings.opened
         self.layers: set[int] = set()  # hashes of the layers' texts
         self.opened: dict[str, frozenset[tuple[int, int]]] = {}  # by token
 
@@ -238,6 +292,7 @@ class _Document:
         if token not in self.opened:
             found: set[tuple[int, int]] = set()
             seen: set[int] = set()
+            self.room = self.settings.opened
             work = [self._decoded(token)]
             while work:
                 text = next(work[-1], None)
@@ -261,35 +316,66 @@ class _Document:
                 yield from self._decoded(text[a:b])
 
     def _decoded(self, token: str) -> Iterator[str]:
+        """Texts that a token encodes: one, or one for each window of a long one."""
+        data = _from_base64(token)
+        if data is None:
+            return
         try:
-            plain = _from_base64(token, self.settings.inflated)
+            for part in self._plain(data):
+                if (text := _readable(part)) is not None and len(text) >= self.settings.shortest:
+                    yield text
         except TooLarge:
             self.cut = True
-            return
-        if plain is not None and len(plain) >= self.settings.shortest:
-            yield plain
+
+    def _plain(self, data: bytes) -> Iterator[bytes]:
+        """Windows of data that is decompressed as often as its first bytes name a format."""
+        seen, pieces = {data}, iter([data])
+        head = data
+        while make := _format(head):
+            pieces = self._charged(_inflated(pieces, make))
+            head = b""
+            while len(head) <= _STEP and (piece := next(pieces, None)) is not None:
+                head += piece
+            if head in seen or not head:  # data that decompresses to itself, or broken data
+                return
+            if len(head) <= _STEP:
+                seen.add(head)
+            pieces = chain([head], pieces)
+        for part, through in _windows(pieces, self.settings.inflated) if head is not data else [(data, False)]:
+            self.cut |= through
+            yield part
+
+    def _charged(self, pieces: Iterator[bytes]) -> Iterator[bytes]:
+        for piece in pieces:
+            self.room -= len(piece)
+            if self.room < 0:
+                raise TooLarge
+            yield piece
 
 
 def all_finds(text: str, settings: Settings = Settings()) -> tuple[list[Find], list[Find], int, bool]:
     """Base finds, all finds, the number of different layers, and whether a layer was too large to open.
 
-    Finds of decoded layers have the span of the text that encodes them.
+    Finds of decoded layers have the span of the text that encodes them.  The
+    windows of a long text or layer count as layers.
     """
     base = base_finds(text)
     every = set(base)
     document = _Document(settings)
-    document.layers.add(hash(text))
-    seen, work = {hash(text)}, [Layer(text)]
-    while work:
-        layer = work.pop()
-        if layer.parent:
-            every.update(layer.found(*find) for find in base_finds(layer.text))
-        every.update(layer.found(*find) for find in document.opened_tokens(layer.text))
-        for plain, back in _unescaped_forms(layer.text):
-            if hash(plain) not in seen:
-                seen.add(hash(plain))
-                work.append(Layer(plain, layer, back))
-    return base, sorted(every), len(document.layers | seen), document.cut
+    for offset, part in _text_windows(text, settings.window):
+        document.layers.add(hash(part))
+        seen, work = {hash(part)}, [Layer(part)]
+        while work:
+            layer = work.pop()
+            finds = base_finds(layer.text) if layer.parent else []
+            for start, kind, end in (layer.found(*find) for find in chain(finds, document.opened_tokens(layer.text))):
+                every.add((start + offset, kind, end + offset))
+            for plain, back in _unescaped_forms(layer.text):
+                if hash(plain) not in seen:
+                    seen.add(hash(plain))
+                    work.append(Layer(plain, layer, back))
+        document.layers |= seen
+    return base, sorted(every), len(document.layers), document.cut
 
 
 def _written(finds: list[Find]) -> str:
@@ -325,8 +411,10 @@ def scan(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
     Counts and ``base`` are of the text as it stands; ``spans`` has the finds
     of all layers too, written as kind:start:end in code points.  A null or
-    empty text has none.  A token's compressed data is opened up to ``inflated``
-    bytes; ``incomplete`` tells where that was not enough, as with a
-    decompression bomb.  Rows that repeat give a row each.
+    empty text has none.  Compressed data is scanned in windows of up to ``inflated``
+    bytes.  ``incomplete`` tells where a window could only be cut inside a run
+    that a secret or a token may reach across (windows overlap there), or where
+    a token's data went on for more than ``opened`` bytes; what comes after such
+    a token is scanned all the same.  Rows that repeat give a row each.
     """
     return docs.select("doc_id", found_in(F.col("text"), settings).alias("f")).select("doc_id", "f.*")
