@@ -20,7 +20,7 @@ import lzma
 import re
 import zlib
 from bisect import bisect_right
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Generator, Iterator
 from dataclasses import dataclass
 from itertools import chain
 
@@ -70,6 +70,8 @@ _LONG_HEX = re.compile(rf"{HEX.pattern[:-1]}{{{MIN_HEX},}}")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#x[0-9A-Fa-f]{1,6};|&#[0-9]{1,7};")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
+_WRAPPED = re.compile(r"[A-Za-z0-9+/_-]++(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]++)+={0,2}")
 _BREAKS = re.compile(r"[/_-]")
 
 
@@ -172,14 +174,14 @@ def _format(data: bytes) -> Callable[[], object] | None:
     return None
 
 
-def _steps(one: object, data: bytes) -> Iterator[bytes]:
-    """What a decompressor makes of some more input, about ``_STEP`` bytes at a time."""
+def _steps(one: object, data: bytes) -> Generator[bytes, None, bytes]:
+    """What a decompressor makes of some more input, about ``_STEP`` bytes at a time; returns what it left."""
     if isinstance(one, _ZSTD):  # can't be bounded but by its input
         for low in range(0, len(data), 1024):
-            if one.eof:
-                return
             yield one.decompress(data[low : low + 1024])
-        return
+            if one.eof:
+                return one.unused_data + data[low + 1024 :]
+        return b""
     yield one.decompress(data, _STEP)
     if isinstance(one, bz2.BZ2Decompressor | lzma.LZMADecompressor):
         while not one.eof and not one.needs_input:
@@ -187,24 +189,40 @@ def _steps(one: object, data: bytes) -> Iterator[bytes]:
     else:
         while not one.eof and one.unconsumed_tail:
             yield one.decompress(one.unconsumed_tail, _STEP)
+    return one.unused_data
 
 
 _ZLIB, _ZSTD = type(zlib.decompressobj()), type(zstandard.ZstdDecompressor().decompressobj())
 _BROKEN = (zlib.error, zstandard.ZstdError, OSError, EOFError, lzma.LZMAError, ValueError)
 
 
-def _inflated(data: Iterator[bytes], make: Callable[[], object]) -> Iterator[bytes]:
-    """Decompressed data in pieces; broken data ends it."""
-    one = make()
-    try:
-        for piece in data:
-            yield from filter(None, _steps(one, piece))
-            if one.eof:
-                return
-        if isinstance(one, _ZLIB):
-            yield one.flush()
-    except _BROKEN:
-        return
+def _inflated(data: Iterator[bytes]) -> Iterator[bytes]:
+    """Data in pieces with all its members, frames or streams decompressed, one after the other.
+
+    What follows the last of them, and the rest of broken data, stays as it is.
+    """
+    held = b""
+    while True:
+        while len(held) < 6 and (piece := next(data, None)) is not None:
+            held += piece
+        make = _format(held)
+        if make is None:
+            yield held
+            yield from data
+            return
+        one, piece = make(), held
+        try:
+            while not one.eof:
+                held = yield from _steps(one, piece)
+                if not one.eof and (piece := next(data, None)) is None:
+                    if isinstance(one, _ZLIB):
+                        yield one.flush()
+                    return
+        except _BROKEN:
+            yield piece
+            yield from data
+            return
+        held = held.lstrip(b"\0")  # padding
 
 
 def _windows(pieces: Iterator[bytes], most: int) -> Iterator[tuple[bytes, bool]]:
@@ -229,13 +247,23 @@ def _text_windows(text: str, most: int) -> Iterator[tuple[int, str]]:
     yield start, text[start:]
 
 
-def _readable(data: bytes) -> str | None:
-    """UTF-8 text without control characters other than blanks."""
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text if not re.search(r"[\x00-\x08\x0e-\x1f\x7f]", text) else None
+# Every secret, escape and token is of printable characters; the shortest secret has twelve.
+_CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
+_PRINTED = re.compile(rb"[\t-\r -~]{12}")
+_WIDE = re.compile(rb"(?:[\t-\r -~]\0){11,}[\t-\r -~]?")
+
+
+def _texts(data: bytes) -> Iterator[str]:
+    """Data as UTF-8, and its runs of UTF-16.
+
+    Bytes that are no text are U+FFFD.  Data with such bytes or with control
+    characters has a text only if it has a run that is long enough for a find.
+    """
+    text = data.decode("utf-8", "replace")
+    if "\ufffd" not in text and not _CONTROL.search(text) or _PRINTED.search(data):
+        yield text
+    if b"\0" in data:
+        yield from (m.group()[::2].decode("ascii") for m in _WIDE.finditer(data))
 
 
 def _from_base64(token: str) -> bytes | None:
@@ -255,8 +283,8 @@ def _unescaped_forms(text: str) -> Iterator[tuple[str, Callable[[int, int], Span
             yield found
 
 
-def _tokens_in(text: str) -> Iterator[list[Span]]:
-    """Spans that may be base64, each with those inside it after it."""
+def _tokens_in(text: str) -> Iterator[list[tuple[int, int, str]]]:
+    """Spans that may be base64 with their characters, each with those inside it after it."""
     for m in _BASE64.finditer(text):
         pieces = [m.span()]
         if _BREAKS.search(m.group()):  # a path or a name may stand before the token
@@ -264,7 +292,38 @@ def _tokens_in(text: str) -> Iterator[list[Span]]:
             for part in _BREAKS.split(m.group()):
                 pieces.append((at, at + len(part)))
                 at += len(part) + 1
-        yield [(a, b) for a, b in pieces if b - a >= 16]
+        yield [(a, b, text[a:b]) for a, b in pieces if b - a >= 16]
+    if "\n" in text:
+        for m in _WRAPPED.finditer(text):
+            lines = [(m.start() + line.start(), m.start() + line.end()) for line in _LINE.finditer(m.group())]
+            for first, last in _blocks([b - a for a, b in lines]):
+                joined = "".join(text[a:b] for a, b in lines[first : last + 1])
+                if len(joined) >= 16:
+                    yield [(lines[first][0], lines[last][1], joined)]
+
+
+def _blocks(widths: list[int]) -> Iterator[tuple[int, int]]:
+    """First and last of the lines that may be one wrapped token.
+
+    These are lines of one width, without and with a shorter one at their end,
+    and all lines together: a name may stand before the first one.
+    """
+    first, whole = 0, False
+    while first < len(widths):
+        last = first
+        while last + 1 < len(widths) and widths[last + 1] == widths[first]:
+            last += 1
+        shorter = last + 1 < len(widths) and widths[last + 1] < widths[first]
+        # Four characters are three bytes, so a shorter last line never changes what the others give.
+        if shorter and (sum(widths[first : last + 2]) % 4 != 1):
+            yield first, last + 1
+            whole |= first == 0 and last + 2 == len(widths)
+        elif last > first:
+            yield first, last
+            whole |= first == 0 and last + 1 == len(widths)
+        first = last + 1
+    if not whole:
+        yield 0, len(widths) - 1
 
 
 class _Document:
@@ -282,8 +341,8 @@ class _Document:
         """
         for spans in _tokens_in(text):
             known: set[tuple[int, int]] = set()
-            for a, b in spans:
-                found = self.found_in(text[a:b])
+            for a, b, token in spans:
+                found = self.found_in(token)
                 yield from ((a, kind, b) for kind in {kind for _, kind in found - known})
                 known |= found
 
@@ -309,11 +368,11 @@ class _Document:
     def _inner(self, text: str, found: set[tuple[int, int]]) -> Iterator[str]:
         """Layers that a token's layer encodes; what is known of a token is added to ``found``."""
         yield from (plain for plain, _ in _unescaped_forms(text))
-        for a, b in (span for spans in _tokens_in(text) for span in spans):
-            if text[a:b] in self.opened:
-                found |= self.opened[text[a:b]]
+        for _, _, token in chain.from_iterable(_tokens_in(text)):
+            if token in self.opened:
+                found |= self.opened[token]
             else:
-                yield from self._decoded(text[a:b])
+                yield from self._decoded(token)
 
     def _decoded(self, token: str) -> Iterator[str]:
         """Texts that a token encodes: one, or one for each window of a long one."""
@@ -322,8 +381,7 @@ class _Document:
             return
         try:
             for part in self._plain(data):
-                if (text := _readable(part)) is not None and len(text) >= self.settings.shortest:
-                    yield text
+                yield from (text for text in _texts(part) if len(text) >= self.settings.shortest)
         except TooLarge:
             self.cut = True
 
@@ -331,16 +389,15 @@ class _Document:
         """Windows of data that is decompressed as often as its first bytes name a format."""
         seen, pieces = {data}, iter([data])
         head = data
-        while make := _format(head):
-            pieces = self._charged(_inflated(pieces, make))
+        while _format(head):
+            pieces = self._charged(_inflated(pieces))
             head = b""
             while len(head) <= _STEP and (piece := next(pieces, None)) is not None:
                 head += piece
-            if head in seen or not head:  # data that decompresses to itself, or broken data
-                return
-            if len(head) <= _STEP:
-                seen.add(head)
             pieces = chain([head], pieces)
+            if head in seen:  # data that decompresses to itself, or is none of the formats
+                break
+            seen.add(head)
         for part, through in _windows(pieces, self.settings.inflated) if head is not data else [(data, False)]:
             self.cut |= through
             yield part

@@ -443,6 +443,42 @@ def test_windows_change_no_find():
         assert whole[:2] == cut[:2]
 
 
+def test_wrapped_binary_and_joined_forms():
+    import base64
+    import bz2
+    import gzip
+    import io
+    import lzma
+    import tarfile
+
+    import zstandard
+
+    secret = b"password = hunter2222"
+    long = prose("wrap", 200).encode() + b" " + secret + b" " + prose("wrap2", 60).encode()
+    tar = io.BytesIO()
+    with tarfile.open(fileobj=tar, mode="w") as out:
+        out.addfile((info := tarfile.TarInfo("a"), setattr(info, "size", len(secret)))[0], io.BytesIO(secret))
+    datas = [secret.decode().encode(e) for e in ("utf-16", "utf-16-le", "utf-16-be")] + [b"\xff\x00" + secret, gzip.compress(tar.getvalue()), tar.getvalue()]
+    datas += [p(b"first") + p(secret) for p in (gzip.compress, bz2.compress, lzma.compress, zlib.compress, zstandard.compress)]
+    datas += [gzip.compress(b"first") + bytes(512) + bz2.compress(secret), gzip.compress(b"first") + secret, b"x^2 and " + secret]
+    for data in datas:
+        token = base64.b64encode(data).decode()
+        _, every, _, cut = secrets.all_finds("see " + token + " here")
+        assert (4, 0, 4 + len(token)) in every and not cut, data
+    for data in (long, gzip.compress(long)):
+        for width in (60, 64, 76):
+            token = base64.b64encode(data).decode()
+            rows = [token[k : k + width] for k in range(0, len(token), width)]
+            for head, brk, tail in (("see:\n", "\n", "\nend of it"), ("-----BEGIN CERTIFICATE-----\n", "\r\n", "\r\n-----END CERTIFICATE-----"), ("key: |\n  ", "\n  ", "\n")):
+                text = head + brk.join(rows) + tail
+                _, every, _, cut = secrets.all_finds(text)
+                assert not cut and any(k == 0 and a == len(head) and b >= len(text) - len(tail) for a, k, b in every)
+    for at in range(len(long) - 60):  # wherever the wrap falls
+        token = base64.b64encode(b"q" * (at % 60) + secret).decode()
+        text = "\n".join(token[k : k + 20] for k in range(0, len(token), 20))
+        assert any(k == 0 for _, k, _ in secrets.all_finds("see:\n" + text + "\n\nend")[1])
+
+
 def test_secret_rows(docs, nothing):
     assert secrets.scan(docs).count() == len(ROWS) and secrets.scan(nothing).collect() == []
 
