@@ -220,7 +220,11 @@ def one_of_each(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     That is the row with the smallest id (rows without an id come last), and
     of rows that repeat it, one.
     """
-    found = near_duplicates(docs.select("doc_id", "text"), settings)
+    return first_of_each(docs, near_duplicates(docs.select("doc_id", "text"), settings))
+
+
+def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The first row of ``docs`` for each ``root`` of ``found (doc_id, text_hash, root)``."""
     first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_hash"))).alias("k")
     kept = written(found.groupBy("root").agg(first).select(F.col("k.doc_id").alias("__id"), F.col("k.text_hash").alias("__hash")), "simhash-kept")
     rows = docs.withColumn("__text_hash", F.xxhash64("text"))

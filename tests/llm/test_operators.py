@@ -534,6 +534,39 @@ def test_near_copies_of_paragraphs_link(spark):
 # --- pipeline --------------------------------------------------------------------
 
 
+def plain_copies(rows):
+    """Of each component by brute force, the first row's id."""
+    sets = []
+    for i, text, *_ in rows:
+        words = WORD.findall((text or "").translate(LOWER))
+        sets.append({tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set())
+    root = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                root = [root[b] if r == root[a] else r for r in root]
+    groups = defaultdict(list)
+    for (i, *_), r in zip(rows, root):
+        groups[r].append(i)
+    return Counter(min(g, key=lambda i: (i is None, i or 0)) for g in groups.values())
+
+
+def test_pipeline_near_duplicates(spark):
+    import corpus_pipeline
+
+    rows, rng = list(ROWS), random.Random(4)
+    for n, edits in ((100, 1), (200, 2), (200, 4), (500, 2), (500, 4), (60, 3), (12, 1), (3, 0)):
+        for k in range(12):
+            words = prose(f"near {n} {edits} {k}", n).split()
+            rows.append((1000 + len(rows), " ".join(words), "en", "a", 1))
+            for _ in range(edits):
+                words[rng.randrange(n)] = "edited"
+            rows.append((1000 + len(rows), "  ".join(words).upper(), "en", "a", 1))
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
+    assert Counter(r.doc_id for r in got) == plain_copies(rows)
+    assert corpus_pipeline.near_duplicates(spark, spark.createDataFrame([], SCHEMA), "").collect() == []
+
+
 def test_pipeline_stages(spark, docs, tmp_path):
     import corpus_pipeline
 
