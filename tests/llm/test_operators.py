@@ -1,5 +1,6 @@
 """Every operator over one awkward table, against plain versions of its contract."""
 
+import base64
 import math
 import random
 import re
@@ -582,3 +583,46 @@ def test_pipeline_stages(spark, docs, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.count() == at.count() > 0
     assert {r.doc_id for r in out.collect()} <= {i for i, *_ in ROWS}
+
+
+def test_pipeline_stages_against_plain_versions(spark, tmp_path):
+    import hashlib
+
+    import corpus_pipeline
+    import public_tokenizers
+    import tiktoken
+
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken")) as f:
+        ranks = {base64.b64decode(t): int(r) for t, r in map(str.split, f)}
+    plain = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    at = spark.createDataFrame(ROWS, SCHEMA)
+    spark.createDataFrame([(1, 1, 0)], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+
+    def step(k, frame):
+        out = corpus_pipeline.STAGES[k][1](spark, frame, str(tmp_path))
+        out.write.parquet(str(tmp_path / str(k)))
+        return spark.read.parquet(str(tmp_path / str(k)))
+
+    at = step(0, at)
+    failed = quality.judged(spark.createDataFrame(ROWS, SCHEMA), spark.read.parquet(str(tmp_path / "labels.parquet")))
+    assert Counter(r.doc_id for r in at.collect()) == Counter(r.doc_id for r in failed.filter("not base_failed").collect())
+    rows = [tuple(r) for r in at.collect()]
+    at = step(1, at)
+    assert Counter((r.doc_id, r.text or "") for r in at.collect()) == Counter({(i, t): n for (i, t, *_), n in kept_lines(rows).items()})
+    rows = [tuple(r) for r in at.collect()]
+    at = step(2, at)
+    assert Counter(r.doc_id for r in at.collect()) == plain_copies(rows)
+    before = at.collect()
+    at = step(3, at)
+    words = Counter()
+    for r in at.collect():
+        words[r.doc_id] += len(WORD.findall(r.text or ""))
+    assert +words == +Counter({r.doc_id: r.taken for r in mixing.mixed(spark.createDataFrame(before, SCHEMA)).collect()})
+    texts = [(r.doc_id, r.text or "") for r in at.collect()]
+    got = Counter((r.doc_id, tuple(r.ids), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in step(4, at).collect())
+    want = Counter()
+    for i, text in texts:
+        ids = plain.encode_ordinary(text)
+        want[i, tuple(ids), len(ids), sha(" ".join(map(str, ids)).encode()), sha(text.encode())] += 1
+    assert got == want and want
