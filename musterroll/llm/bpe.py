@@ -7,6 +7,7 @@ so that the pieces give the same ids as the whole text would.
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -17,6 +18,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from musterroll.llm.common import text_bytes
 
@@ -25,6 +27,9 @@ RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 # A rank file is sent to the executors whole, so its size is bounded.
 MAX_RANK_BYTES = 64 << 20
 
+# Ids that are handed on at once.
+BATCH_BYTES = 4 << 20
+
 # Texts above this many characters are cut; white space above LONG_BLANK is a
 # match of its own, which the library's pattern engine can't step through.
 CHUNK = 1 << 16
@@ -140,13 +145,46 @@ def tokenized(docs: DataFrame, tokenizer: Tokenizer | None = None) -> DataFrame:
     return docs.withColumn("ids", tokenizer.encode(F.col("text"))).withColumn("n_tokens", F.size("ids").cast("long"))
 
 
+def coded(docs: DataFrame, columns: list[str], with_ids: bool = True, tokenizer: Tokenizer | None = None) -> DataFrame:
+    """``columns`` of ``docs`` with ``n_tokens``, ``ids`` and digests of the ids and of the bytes that they decode to.
+
+    Texts are encoded, decoded and digested in one pass, and handed on in
+    batches of bounded size; without ``with_ids`` the ids stay in the task.
+    Every row gives one row; null and empty texts have no ids.
+    """
+    tokenizer = tokenizer or Tokenizer(docs.sparkSession)
+    opened, chunk = tokenizer._opened(), tokenizer._chunk
+    plain = docs.select(*columns, text_bytes(F.col("text")).alias("__raw"))
+    schema = T.StructType(plain.schema.fields[:-1]).add("n_tokens", T.LongType())
+    schema = (schema.add("ids", T.ArrayType(T.IntegerType())) if with_ids else schema).add("ids_sha256", "string").add("decoded_sha256", "string")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, whole = opened()
+        for batch in batches:
+            first, ids, sizes, shown, read, held = 0, [], [], [], [], 0
+            for k, raw in enumerate(batch.column(batch.num_columns - 1)):
+                found = encode_text(raw.as_py().decode("utf-8", "replace"), split, whole, chunk)
+                numbers = found.tolist()
+                sizes.append(len(numbers))
+                shown.append(hashlib.sha256(" ".join(map(str, numbers)).encode()).hexdigest())
+                read.append(hashlib.sha256(split.decode_bytes(numbers)).hexdigest())
+                if with_ids:
+                    ids.append(found)
+                    held += found.nbytes
+                if held < BATCH_BYTES and k + 1 < batch.num_rows:
+                    continue
+                out = [batch.column(c).slice(first, k + 1 - first) for c in range(batch.num_columns - 1)]
+                out.append(pa.array(sizes, pa.int64()))
+                if with_ids:
+                    ends = pa.array(np.cumsum([0, *sizes]), pa.int32())
+                    out.append(pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids), pa.int32())))
+                out += [pa.array(shown, pa.string()), pa.array(read, pa.string())]
+                yield pa.record_batch(out, names=schema.names)
+                first, ids, sizes, shown, read, held = k + 1, [], [], [], [], 0
+
+    return plain.mapInArrow(rows, schema)
+
+
 def digests(docs: DataFrame, tokenizer: Tokenizer | None = None) -> DataFrame:
     """Digest of the ids, and of the bytes that they decode to, per document."""
-    tokenizer = tokenizer or Tokenizer(docs.sparkSession)
-    ids = tokenized(docs.select("doc_id", "text"), tokenizer).select("doc_id", "n_tokens", "ids")
-    return ids.select(
-        "doc_id",
-        "n_tokens",
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-        F.sha2(tokenizer.decode(F.col("ids")), 256).alias("decoded_sha256"),
-    )
+    return coded(docs, ["doc_id"], with_ids=False, tokenizer=tokenizer)

@@ -30,3 +30,14 @@ def word_count(text: Column) -> Column:
 def text_bytes(text: Column) -> Column:
     """UTF-8 bytes of a text; a null text is an empty one."""
     return F.coalesce(text, F.lit("")).cast("binary")
+
+
+def term_table(digits: bool) -> bytes:
+    """For ``bytes.translate`` over UTF-8: A-Z in lower case, and a space for every ASCII character that no term holds.
+
+    Terms are made of ASCII letters, of digits where ``digits`` says so, and
+    of all characters beyond ASCII.
+    """
+    plain = bytes(range(128)).decode()
+    kept = "".join(c.lower() if c.isalpha() or (digits and c.isdigit()) else " " for c in plain)
+    return kept.encode() + bytes(range(128, 256))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from musterroll.llm import bpe, lines, mixing, passages, quality, secrets, shards, simhash, topk, urls
+from musterroll.llm import bpe, divergence, lines, mixing, packing, passages, quality, ranking, secrets, shards, simhash, topk, urls
 from musterroll.llm.common import table
 
 
@@ -54,6 +54,42 @@ def op10_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-CATALOGUE = {q.__name__: q for q in (op1_byte_bpe, op2_passage_dedup, op3_url_filter, op4_threshold_topk, op5_line_dedup, op6_virtual_slots, op7_certified_rules, op8_simhash_dedup, op9_secret_scan, op10_fair_mix)}
-
-ORACLE = {"op4_threshold_topk": topk.SQL, "op5_line_dedup": lines.SQL, "op10_fair_mix": mixing.SQL}
+def op11_geometric_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.top_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.packed(table(spark, sf_dir, "documents"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+CATALOGUE = {
+    q.__name__: q
+    for q in (
+        op1_byte_bpe,
+        op2_passage_dedup,
+        op3_url_filter,
+        op4_threshold_topk,
+        op5_line_dedup,
+        op6_virtual_slots,
+        op7_certified_rules,
+        op8_simhash_dedup,
+        op9_secret_scan,
+        op10_fair_mix,
+        op11_geometric_blocks,
+        op12_mixture_packing,
+        op13_source_divergence,
+    )
+}
+
+ORACLE = {
+    "op4_threshold_topk": topk.SQL,
+    "op5_line_dedup": lines.SQL,
+    "op10_fair_mix": mixing.SQL,
+    "op11_geometric_blocks": ranking.SQL,
+    "op13_source_divergence": divergence.SQL,
+}

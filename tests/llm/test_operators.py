@@ -536,19 +536,11 @@ def test_near_copies_of_paragraphs_link(spark):
 
 
 def plain_copies(rows):
-    """Of each component by brute force, the first row's id."""
-    sets = []
-    for i, text, *_ in rows:
-        words = WORD.findall((text or "").translate(LOWER))
-        sets.append({tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set())
-    root = list(range(len(rows)))
-    for a in range(len(rows)):
-        for b in range(a):
-            if sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
-                root = [root[b] if r == root[a] else r for r in root]
+    """Of each component by brute force over fingerprints, the first row's id."""
+    root = plain_components([plain_print(text) for _, text, *_ in rows])
     groups = defaultdict(list)
-    for (i, *_), r in zip(rows, root):
-        groups[r].append(i)
+    for i, text, *_ in rows:
+        groups[root[plain_print(text)]].append(i)
     return Counter(min(g, key=lambda i: (i is None, i or 0)) for g in groups.values())
 
 
