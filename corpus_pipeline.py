@@ -8,9 +8,8 @@ nulls, empty texts and repeated rows is said at the operator that it calls.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from musterroll.llm import bpe, copies, lines, mixing, quality
+from musterroll.llm import bpe, lines, mixing, quality, simhash
 from musterroll.llm.common import table
 from musterroll.runtime import written
 
@@ -26,8 +25,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies: five-word shingles, Jaccard similarity of 0.8 or more."""
-    return copies.one_of_each(docs)
+    """One document of each component of near copies, by fingerprints of three-word shingles at three differing bits."""
+    return simhash.one_of_each(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,10 +36,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text that is left, with their digest and that of the bytes they decode to."""
-    tokenizer = bpe.Tokenizer(spark)
-    found = bpe.tokenized(docs, tokenizer).select("doc_id", "lang", "source", "n_tokens", "ids")
-    digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
-    return found.select("*", digest.alias("ids_sha256"), F.sha2(tokenizer.decode(F.col("ids")), 256).alias("decoded_sha256"))
+    return bpe.coded(docs, ["doc_id", "lang", "source"])
 
 
 STAGES = [
@@ -51,7 +47,7 @@ STAGES = [
     ("tokens", tokens),
 ]
 
-# Binomial bounds, MinHash bands and BPE have no SQL form.
+# Binomial bounds, XXH64 and BPE have no SQL form.
 ORACLE_SQL = None
 
 
