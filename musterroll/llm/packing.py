@@ -19,15 +19,15 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
 import tokenizers
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,12 +38,22 @@ from musterroll.runtime import new_folder, written
 MODEL = public_tokenizers.path("byte_bpe_50k.json")
 MAX_MODEL_BYTES = 64 << 20  # the model file is sent to the executors whole
 
-_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_LETTER = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
-# The splitting pattern always ends a match before white space that follows
-# something else, and between a letter and ASCII punctuation or a digit.  Parts
-# that are cut there give their ids one after the other.
-_PARTS = re.compile(f"[{_SPACE}]*[{_LETTER}]+(?=[!-@\\[-`{{-~])|[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
+# Before white space that follows something else, and between a letter and ASCII
+# punctuation or a digit, the splitting pattern always ends a match.  Parts that
+# are cut there give their ids one after the other.
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_CUT = "\x01"
+_CUTS = [f"([{_LETTER}])([!-/0-9:-@\\[-`{{-~])", f"([^{_SPACE}])([{_SPACE}])"]
+_ONE_MATCH = re.compile(f" ?[{_LETTER}]+")
+
+
+def _shown_bytes() -> dict[int, int]:
+    """The character that byte-level models show for each byte: itself if printable, else one from U+0100 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: 256 + others.index(b) if b in others else b for b in range(256)}
+
 
 _UNIT = 1 << 16  # quanta are counted in parts of a token
 _CHUNK = 4096  # windows whose totals are added up together
@@ -56,36 +66,71 @@ class Settings:
     piece: int = 256  # tokens that a source saves up, at least, before it is served
     weights: tuple[tuple[str, float], ...] | None = None  # of sources ('' for null); others weigh 1.  None: shares of all tokens
     end: int = 0  # id put after every document
-    cached: int = 300_000  # parts whose ids a task remembers
-    batch_bytes: int = 1 << 20  # of text, encoded and handed on at once
+    cached: int = 500_000  # parts whose ids a task remembers
+    batch_bytes: int = 8 << 20  # of text, encoded and handed on at once
 
 
 class Encoder:
-    """Ids of texts as little-endian 32-bit numbers, by a model of the ``tokenizers`` library.
+    """Ids of texts as little-endian 32-bit numbers, by a byte-level model of the ``tokenizers`` library.
 
-    Each distinct part of the texts is encoded once while it is remembered.
-    Names of special tokens in a text are ordinary text.
+    Each distinct part of the texts is encoded once while it is remembered; a
+    part that is one match goes to the model itself.  Names of special tokens
+    in a text are ordinary text.
     """
 
     def __init__(self, model: str, cached: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker per core already
         self.library = tokenizers.Tokenizer.from_str(model)
         self.library.encode_special_tokens = True
+        self.model, self.shown = self.library.model, _shown_bytes()
+        split = self.library.pre_tokenizer
+        # Only the known splitting pattern says where a text can be cut.
+        self.cuts = isinstance(split, tokenizers.pre_tokenizers.ByteLevel) and split.use_regex and not split.add_prefix_space and self.library.normalizer is None
         self.cached, self.known = cached, {}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [_PARTS.findall(text) for text in texts]
-        distinct = set().union(*parts)
-        new = [part for part in distinct if part not in self.known]
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(found.ids, "<u4").tobytes() for found in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, parts: list[str]) -> None:
+        new = [part for part in parts if part not in self.known]
         if len(self.known) + len(new) > self.cached:
-            self.known, new = {}, list(distinct)
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            ids = [found.ids for found in self.library.encode_batch_fast(some, add_special_tokens=False)]
-            ends = np.cumsum([0, *map(len, ids)]) * 4
-            flat = np.fromiter(chain.from_iterable(ids), "<u4", ends[-1] // 4).tobytes()
-            self.known.update(zip(some, map(flat.__getitem__, map(slice, ends[:-1].tolist(), ends[1:].tolist()))))
-        return [b"".join(map(self.known.__getitem__, some)) for some in parts]
+            self.known, new = {}, parts
+        rest = []
+        tokens, shown = self.model.tokenize, self.shown
+        for part in new:
+            if _ONE_MATCH.fullmatch(part):
+                self.known[part] = array("I", [t.id for t in tokens(part.encode().decode("latin-1").translate(shown))]).tobytes()
+            else:
+                rest.append(part)
+        self.known.update(zip(rest, self._whole(rest), strict=True))
+
+    def encode(self, texts: pa.StringArray) -> list[bytes]:
+        if not len(texts):
+            return []
+        if not self.cuts or pc.any(pc.match_substring(texts, _CUT)).as_py():
+            return self._whole(texts.to_pylist())
+        marked = texts
+        for cut in _CUTS:
+            marked = pc.replace_substring_regex(marked, cut, f"\\1{_CUT}\\2")
+        lists = pc.split_pattern(marked, _CUT)
+        coded = pc.dictionary_encode(lists.flatten())
+        parts = coded.dictionary.to_pylist()
+        self._learn(parts)
+        found = [self.known[part] for part in parts]
+        ids, own = np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+        index = coded.indices.to_numpy()
+        sizes, first = own[index], (np.cumsum(own) - own)[index]
+        ends = np.cumsum(sizes)
+        flat = ids[np.arange(ends[-1]) + np.repeat(first - (ends - sizes), sizes)]
+        edges = np.append(0, ends)[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        return [flat[a:b].tobytes() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+
+
+def _as_text(raws: pa.BinaryArray) -> pa.StringArray:
+    try:
+        return raws.cast(pa.string())
+    except pa.ArrowInvalid:  # not UTF-8
+        return pa.array([raw.as_py().decode("utf-8", "replace") for raw in raws], pa.string())
 
 
 @lru_cache(maxsize=2)
@@ -110,12 +155,12 @@ def tokenized(docs: DataFrame, settings: Settings = Settings(), path: str = MODE
         encoder = _encoder(model.value, cached)
         for batch in batches:
             raws = batch.column(3)
-            sizes = np.cumsum(pa.compute.binary_length(raws).to_numpy())
+            sizes = np.cumsum(pc.binary_length(raws).to_numpy())
             first = 0
             while first < batch.num_rows:  # texts of so many bytes at once, or a single longer one
                 past = int(np.searchsorted(sizes, (sizes[first - 1] if first else 0) + most, side="right"))
                 past = max(past, first + 1)
-                ids = [x + end for x in encoder.encode([raw.as_py().decode("utf-8", "replace") for raw in raws[first:past]])]
+                ids = [x + end for x in encoder.encode(_as_text(raws[first:past]))]
                 plain = [batch.column(c).slice(first, past - first) for c in range(3)]
                 counts = pa.array([len(x) // 4 for x in ids], pa.int64())
                 yield pa.record_batch([*plain, counts, pa.array(ids, pa.binary())], names=["row", "doc_id", "source", "n_tokens", "ids"])
