@@ -42,7 +42,7 @@ def _member_fields(k: str, name: str, segment: str, nation: str) -> dict[str, st
         "surname": _pick(k, [name, *_text("OKAFOR", "lund", "De Wit", "rao", "Byrne\n")]),
         "gender": _pick(k, _text("Male", "female", "M", "f", "o", "Unsaid", "", "OTHER", "Male\n")),
         "classified_as_disabled": _pick(k, _text("Yes", "no", "YES", "n", "", "Perhaps", "No\n")),
-        "medical_conditions": _pick(k, _text("", "Diabetes, asthma", "Epilepsy")),
+        "medical_conditions": _pick(k, _text("", "Pollen, latex", "Vertigo")),
         "date_of_birth": _pick(
             k,
             _text(
@@ -52,14 +52,14 @@ def _member_fields(k: str, name: str, segment: str, nation: str) -> dict[str, st
                 "24/11/1998 10:30", "3rd of",
             ),
         ),
-        "address1": _pick(k, [*_text("12 High Street"), segment, "''"]),
-        "address2": _pick(k, [*_text("12 High Street"), segment, "''"]),
+        "address1": _pick(k, [*_text("83 Skerry Way"), segment, "''"]),
+        "address2": _pick(k, [*_text("83 Skerry Way"), segment, "''"]),
         "phone_number": _pick(k, _PHONES),
         "town_city": nation,
         "county": "'Avon'",
         "postcode": _pick(k, _text("ab1 2cd", "EH12NG", "N1C 4AG", "NOPE", "", "gl50  3lp", f"W1T{NBSP}3JH", "N1C 4AG\n")),
         "country": "'England'",
-        "emergency_contact_name": _pick(k, _text("Jane Smith", "")),
+        "emergency_contact_name": _pick(k, _text("Odd Larkin", "")),
         "emergency_contact_phone": _pick(f"({k} + 1)", _PHONES),
         "emergency_contact_phone2": _pick(f"({k} + 2)", _PHONES),
         "email": _pick(
@@ -168,7 +168,7 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.col("n").cast("string")
     total = F.array(F.concat(F.lit("Total: "), size, F.lit(" members")))
     spread = F.array(F.lit("Total"), size, F.lit("members"))
-    closing = F.array(F.lit("End of report"), F.lit(""), F.lit(""))
+    closing = F.array(F.lit("Continued on sheet 2"), F.lit(""), F.lit(""))
     tail_rows = (
         F.when(F.col("file_no") % 3 == 1, F.array(total))
         .when(F.col("file_no") % 3 == 2, F.array(blank, spread, closing))
@@ -185,7 +185,7 @@ def ragged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of :func:`members` as cells, some too wide and some too narrow."""
     people = members(spark, sf_dir)
     whole = F.array(*NAMES)
-    extra = F.when(F.col("k") % 2 == 0, _literal(["Diabetes", "asthma", "daily"])).otherwise(_literal(["Diabetes", "asthma"]))
+    extra = F.when(F.col("k") % 2 == 0, _literal(["Pollen", "latex", "iodine"])).otherwise(_literal(["Pollen", "latex"]))
     wide = F.concat(F.slice(whole, 1, 5), extra, F.slice(whole, 7, 14))
     short = F.slice(whole, 1, 19)
     shaped = F.when(F.col("k") % 11 == 0, wide).when(F.col("k") % 13 == 0, short).otherwise(whole)

@@ -233,9 +233,9 @@ CTES: dict[str, str] = {
     "UNION ALL SELECT file, file_no % 4 + 1 + n, ['Total: ' || n || ' members'] FROM ff WHERE file_no % 3 = 1 "
     "UNION ALL SELECT file, file_no % 4 + 1 + n, list_resize([]::VARCHAR[], 19, '') FROM ff WHERE file_no % 3 = 2 "
     "UNION ALL SELECT file, file_no % 4 + 2 + n, ['Total', CAST(n AS VARCHAR), 'members'] FROM ff WHERE file_no % 3 = 2 "
-    "UNION ALL SELECT file, file_no % 4 + 3 + n, ['End of report', '', ''] FROM ff WHERE file_no % 3 = 2",
+    "UNION ALL SELECT file, file_no % 4 + 3 + n, ['Continued on sheet 2', '', ''] FROM ff WHERE file_no % 3 = 2",
     "marked": "SELECT file, row_idx, CASE WHEN row_idx % 5 = 0 AND len(cells) = 20 THEN "
-    "list_transform(cells, lambda c: CASE WHEN c = 'Epilepsy' THEN 'Epi\"lepsy' || chr(10) || 'severe' ELSE c END) ELSE cells END AS cells FROM cells",
+    "list_transform(cells, lambda c: CASE WHEN c = 'Vertigo' THEN 'Ver\"tigo' || chr(10) || 'at height' ELSE c END) ELSE cells END AS cells FROM cells",
     "scored_rows": "SELECT file, row_idx, cells, len(list_filter(cells, lambda x: "
     + " OR ".join(
         f"lower(trim(x)) = {q(h)} OR (len(trim(x)) >= 3 AND (contains(lower(trim(x)), {q(h)}) OR contains({q(h)}, lower(trim(x)))))" for h in _EXPECT
@@ -277,7 +277,7 @@ CTES: dict[str, str] = {
     "sug": "SELECT file, field, string_agg(header, '|' ORDER BY score DESC, pos) FILTER (rn <= 3 AND score >= 15) AS suggestions FROM "
     "(SELECT *, row_number() OVER (PARTITION BY file, field ORDER BY score DESC, pos) AS rn FROM near) t GROUP BY ALL",
     # ragged rows
-    "rg": "SELECT k, file, row_idx, CASE WHEN k % 11 = 0 THEN c[:5] || CASE WHEN k % 2 = 0 THEN ['Diabetes', 'asthma', 'daily'] ELSE ['Diabetes', 'asthma'] END || c[7:] "
+    "rg": "SELECT k, file, row_idx, CASE WHEN k % 11 = 0 THEN c[:5] || CASE WHEN k % 2 = 0 THEN ['Pollen', 'latex', 'iodine'] ELSE ['Pollen', 'latex'] END || c[7:] "
     "WHEN k % 13 = 0 THEN c[:19] ELSE c END AS cells FROM (SELECT k, file, row_idx, [" + ", ".join(NAMES) + "] AS c FROM m) t",
     "rx": "SELECT *, len(cells) - 20 AS extra_n, CASE WHEN len(cells) > 20 THEN array_to_string(cells[6:len(cells) - 14], ', ') END AS suggestion FROM rg",
     "rm": "SELECT *, CASE WHEN extra_n > 0 THEN cells[:5] || [suggestion] || cells[7 + extra_n:] END AS merged FROM rx",

@@ -196,16 +196,17 @@ def clean_cells(cells: DataFrame, options: Options = Options(), answers: Answers
     nothing = F.when(F.col("width").isNull(), F.lit(REQUIRED[0].label))
     plan = bounds.join(positions, "file", "left").join(verdict, "file", "left")
     plan = written(plan.withColumn("unfilled", F.coalesce("unfilled", nothing)), "plan")
-    rejected = plan.filter(F.col("unfilled").isNotNull()).select(
-        "file", F.concat(F.lit("Missing mandatory field: "), F.col("unfilled")).alias("reason")
-    )
+    # Nothing is lost with a file that ends at its header, but it must not go unnoticed.
+    bare = F.col("last_idx") <= F.col("header_idx")
+    reason = F.when(bare, folder.NO_DATA).otherwise(F.concat(F.lit("Missing mandatory field: "), F.col("unfilled")))
+    rejected = plan.filter(F.col("unfilled").isNotNull() | bare).select("file", reason.alias("reason"))
 
     usable = plan.filter(F.col("unfilled").isNull()).drop("unfilled", "defaulted")
     data = with_file_facts(cells, usable, "end_idx").filter(
         (F.col("row_idx") > F.col("header_idx")) & (F.col("row_idx") <= F.col("last_idx"))
     )
     # A sheet's rows are all as wide as the sheet, so only text files have a width to keep.
-    contract_width = F.when(F.lower("file").endswith(".xlsx"), F.col("width")).otherwise(F.lit(WIDTH))
+    contract_width = F.when(F.col("file").rlike(r"(?i)\.xlsx?\z"), F.col("width")).otherwise(F.lit(WIDTH))
     mended = ragged.repair(
         data,
         F.col("width") if options.expected_width == "header" else contract_width,

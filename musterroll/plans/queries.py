@@ -115,9 +115,9 @@ def _one_error(spark, sf, *names: str, raw: bool = True) -> DataFrame:
 
 def _marked(cells: DataFrame) -> DataFrame:
     """Put a quote and a line break into some cells."""
-    odd = F.lit('Epi"lepsy\nsevere')
+    odd = F.lit('Ver"tigo\nat height')
     some = (F.col("row_idx") % 5 == 0) & (F.size("cells") == 20)
-    new = F.transform("cells", lambda c: F.when((c == "Epilepsy") & some, odd).otherwise(c))
+    new = F.transform("cells", lambda c: F.when((c == "Vertigo") & some, odd).otherwise(c))
     return cells.withColumn("cells", new)
 
 

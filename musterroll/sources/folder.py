@@ -11,7 +11,8 @@ from musterroll.sources.delimited import Scan, read_delimited
 from musterroll.sources.workbook import read_workbook_folder
 
 LINE_END = "\r\n"
-READERS = {"csv": read_delimited, "xlsx": read_workbook_folder}
+NO_DATA = "No data found"
+READERS = {"csv": read_delimited, "xlsx": read_workbook_folder, "xls": read_workbook_folder}
 
 
 def with_reader(files: DataFrame) -> DataFrame:
@@ -62,7 +63,7 @@ def rejected_files(files: DataFrame, with_rows: DataFrame, unreadable: DataFrame
     if unreadable is not None:
         unknown = unknown.unionByName(unreadable.select("file", "reason"))
         empty = empty.join(unreadable.select("file"), "file", "left_anti")
-    return unknown.unionByName(empty.select("file", F.lit("No data found").alias("reason")))
+    return unknown.unionByName(empty.select("file", F.lit(NO_DATA).alias("reason")))
 
 
 def output_columns(df: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
-"""Scan the first sheet of ``.xlsx`` workbooks into ``file, row_idx, cells``.
+"""Scan the first sheet of ``.xlsx`` and ``.xls`` workbooks into ``file, row_idx, cells``.
 
 A workbook is one compressed archive, so a file is read by one task; the
-format itself ends at 1,048,576 rows per sheet.
+format itself ends at 1,048,576 rows per sheet.  What kind of workbook a file
+is, its first bytes tell.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 import datetime as dt
 import io
 import re
+import struct
 import zipfile
 import zlib
 from collections.abc import Iterator
@@ -21,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from musterroll.runtime import file_uri, written
+from musterroll.sources import oldbook
 from musterroll.sources.delimited import Scan
 
 UNREADABLE = "Unreadable workbook"
@@ -36,18 +39,19 @@ def _texts(node: ET.Element) -> str:
     return "".join(t.text or "" for t in node.iter(f"{_NS}t"))
 
 
+def _is_date(code: int, custom: dict[int, str]) -> bool:
+    bare = re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", custom.get(code, ""))
+    return code in _BUILT_IN_DATES or (code in custom and bool(re.search("[dmyhs]", bare.lower())))
+
+
 def _date_styles(book: zipfile.ZipFile) -> list[bool]:
     if "xl/styles.xml" not in book.namelist():
         return []
     root = ET.fromstring(book.read("xl/styles.xml"))
     custom = {int(n.get("numFmtId")): n.get("formatCode", "") for n in root.iter(f"{_NS}numFmt")}
 
-    def is_date(code: int) -> bool:
-        bare = re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", custom.get(code, ""))
-        return code in _BUILT_IN_DATES or (code in custom and bool(re.search("[dmyhs]", bare.lower())))
-
     formats = root.find(f"{_NS}cellXfs")
-    return [] if formats is None else [is_date(int(x.get("numFmtId", "0"))) for x in formats]
+    return [] if formats is None else [_is_date(int(x.get("numFmtId", "0")), custom) for x in formats]
 
 
 def _number(text: str, is_date: bool, epoch: dt.datetime) -> str:
@@ -103,11 +107,22 @@ def _filled(sheet: IO[bytes], shared: list[str], dates: list[bool], epoch: dt.da
             parent.clear()
 
 
+def _old_rows(content: bytes) -> Iterator[list[str]]:
+    rows = oldbook.filled_rows(content, _number, _is_date)
+    width = max((max(cells) for cells in rows.values()), default=-1) + 1
+    for at in range(max(rows, default=-1) + 1):
+        cells = rows.get(at, {})
+        yield [cells.get(col, "") for col in range(width)]
+
+
 def sheet_rows(content: bytes) -> Iterator[list[str]]:
     """Rows of the first sheet, cut after the last filled cell and row, all one width.
 
     The sheet is read twice: for its size, and for its rows one by one.
     """
+    if content[:8] == oldbook.MAGIC:
+        yield from _old_rows(content)
+        return
     book = zipfile.ZipFile(io.BytesIO(content))
     names = set(book.namelist())
     shared = []
@@ -152,7 +167,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
             try:
                 yield from _batches(path, content.as_py())
-            except (zipfile.BadZipFile, ET.ParseError, KeyError, IndexError, ValueError, AttributeError, TypeError, OverflowError, zlib.error) as e:
+            except (zipfile.BadZipFile, ET.ParseError, KeyError, IndexError, ValueError, AttributeError, TypeError, OverflowError, zlib.error, struct.error) as e:
                 row = [[path], [None], [None], [f"{UNREADABLE}: {type(e).__name__}"]]
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(row, _SCHEMA)], schema=_SCHEMA)
 
