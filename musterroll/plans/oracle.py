@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 
 from musterroll import fixed_values as V
-from musterroll.contract import CONTRACT, NAMES
+from musterroll.contract import CONTRACT, HEADERS, NAMES
 from musterroll.functions.text import BLANKS
 from musterroll.plans import derived as D
 
@@ -400,16 +400,24 @@ def _decided(policy: str) -> str:
     )
 
 
-_SUFFIX = "['.csv', '.XLSX', '.txt', '.xls']"
-_NAMED = f"(SELECT file_no, file[:14] || ({_SUFFIX})[file_no % 4 + 1] AS file FROM ff)"
-_REASON = "CASE WHEN lower(file[15:]) NOT IN ('.csv', '.xlsx') THEN 'Unsupported file format: ' || lower(file[15:]) END"
+# The folder of files: six kinds in turn.
+_SUFFIX = "['.csv', '.XLSX', '.txt', '.xls', ' head.csv', ' none.csv']"
+_NAMED = f"(SELECT file AS member, file_no % 6 AS kind, file[:14] || ({_SUFFIX})[file_no % 6 + 1] AS file FROM ff)"
+_UNREAD = "CASE kind WHEN 2 THEN 'Unsupported file format: .txt' WHEN 4 THEN 'No data found' WHEN 5 THEN 'No data found' END"
+_UNFILLED = "SELECT DISTINCT file AS member FROM missing WHERE required AND field NOT IN (" + ", ".join(q(x) for x in V.MISSING_FIELD_DEFAULTS) + ")"
 
 QUERIES: dict[str, str] = {
     "scan_ragged": f"SELECT file, len(cells) AS n_cells, {_ROW_TEXT} FROM marked",
     "row_index": f"SELECT file, row_idx, {_ROW_TEXT} FROM marked",
     "scan_xlsx": f"SELECT file, row_idx, {_WIDE20} FROM cells",
-    "scan_dispatch": f"SELECT file, CASE WHEN lower(file[15:]) IN ('.csv', '.xlsx') THEN lower(file[16:]) END AS reader, {_REASON} AS reason FROM {_NAMED} t",
-    "empty_input": f"SELECT file, coalesce({_REASON}, 'No data found') AS reason FROM {_NAMED} t WHERE {_REASON} IS NOT NULL OR file_no % 3 = 0",
+    "scan_xls": f"SELECT file, row_idx, {_WIDE20} FROM cells",
+    "scan_dispatch": f"SELECT file, ['csv', 'xlsx', NULL, 'xls', 'csv', 'csv'][kind + 1] AS reader, CASE WHEN kind = 2 THEN {_UNREAD} END AS reason FROM {_NAMED} t",
+    "scan_folder": f"SELECT t.file, row_idx, array_to_string(CASE WHEN kind = 0 THEN cells ELSE list_resize(cells, 20, '') END, '|') AS row_text "
+    f"FROM cells JOIN {_NAMED} t ON cells.file = member WHERE kind IN (0, 1, 3) UNION ALL SELECT file, 0, {q('|'.join(HEADERS))} FROM {_NAMED} t WHERE kind = 4",
+    "empty_input": f"SELECT file, {_UNREAD} AS reason FROM {_NAMED} t WHERE {_UNREAD} IS NOT NULL",
+    "file_accounting": f"SELECT t.file, {_UNREAD} IS NOT NULL OR u.member IS NOT NULL AS rejected, CASE WHEN {_UNREAD} IS NOT NULL THEN 0 "
+    f"WHEN u.member IS NOT NULL THEN n - 1 - (last_idx - header_idx) ELSE n - 1 END AS rows FROM {_NAMED} t LEFT JOIN ({_UNFILLED}) u USING (member) "
+    "JOIN b ON b.file = t.member JOIN (SELECT file, count(*) AS n FROM cells GROUP BY file) c ON c.file = t.member",
     "sink_csv": f"SELECT {', '.join(NAMES)} FROM n",
     "sink_by_file": f"SELECT file, {', '.join(NAMES)} FROM n",
     "sink_guard": "SELECT n.file, count(*) FILTER (z.file IS NULL) AS valid_rows, valid_rows = 0 AS refused FROM n "

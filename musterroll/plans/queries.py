@@ -16,9 +16,9 @@ from musterroll import fixed_values as V
 from musterroll.contract import CONTRACT, NAMES, fields_table
 from musterroll.functions import checks, text as X
 from musterroll.operators import align, corrections, normalize, ragged, report, rowrange, validate
-from musterroll.plans import derived as D, pipeline
-from musterroll.runtime import new_folder, tune, written
-from musterroll.sources import delimited, folder, workbook
+from musterroll.plans import books, derived as D, pipeline
+from musterroll.runtime import file_uri, new_folder, tune, written
+from musterroll.sources import delimited, folder, named, workbook
 
 KEY = ["file", "row_idx"]
 Query = Callable[[SparkSession, str], DataFrame]
@@ -197,22 +197,97 @@ def scan_xlsx(spark, sf):
     )
 
 
-def _file_names(spark, sf):
-    kinds = F.array(*[F.lit(s) for s in (".csv", ".XLSX", ".txt", ".xls")])
-    files = D.members(spark, sf).groupBy("file_no", "file").agg(F.count("*").alias("n"))
-    suffix = F.get(kinds, (F.col("file_no") % 4).cast("int"))
-    return files.select("file_no", F.concat(F.substring("file", 1, 14), suffix).alias("file"))
+@query("scan_xls")
+def scan_xls(spark, sf):
+    """The same sheets in the old format."""
+    rows = D.cells(spark, sf).withColumn("sheet", F.shiftright("row_idx", _SHEET_BITS))
+    made = rows.groupBy("file", "sheet").applyInPandas(_old_workbook, "path string, content binary")
+    read = workbook.read_workbooks(made).filter(F.col("problem").isNull())
+    base = F.substring_index("file", "#", -1).cast("long")
+    return read.select(F.substring_index("file", "#", 1).alias("file"), (base + F.col("row_idx")).alias("row_idx"), _row_text())
+
+
+def _old_workbook(rows: pd.DataFrame) -> pd.DataFrame:
+    rows = rows.sort_values("row_idx")
+    base = int(rows["row_idx"].iloc[0]) >> _SHEET_BITS << _SHEET_BITS
+    held = {i - base: list(c) for i, c in zip(rows["row_idx"], rows["cells"])}
+    sheet = [held.get(i, []) for i in range(max(held) + 1)]
+    return pd.DataFrame({"path": [f"{rows['file'].iloc[0]}#{base}"], "content": [books.old_workbook(sheet)]})
+
+
+_KINDS = (".csv", ".XLSX", ".txt", ".xls", " head.csv", " none.csv")
+
+
+def _member_folder(spark, sf) -> tuple[DataFrame, str]:
+    """A folder with one file per member file, and the name that each path in it stands for.
+
+    By number in turn: text, both kinds of workbook, a kind that nothing
+    reads, a header alone, and no byte at all.
+    """
+    number = F.regexp_extract("file", "([0-9]+)", 1).cast("int")
+    kind = (number % len(_KINDS)).alias("kind")
+    name = F.concat(F.substring("file", 1, 14), F.get(F.array(*[F.lit(k) for k in _KINDS]), kind)).alias("name")
+    rows = written(D.cells(spark, sf).select("file", "row_idx", "cells", kind, name), "member-cells")
+    zero = F.lit(0).cast("bigint")
+    lines = rows.filter(F.col("kind").isin(0, 2)).select("name", F.col("row_idx").alias("place"), F.concat(_as_line(F.col("cells")), F.lit("\n")).cast("binary").alias("content"))
+    heads = rows.select("name", "kind").filter(F.col("kind").isin(4, 5)).distinct()
+    header = F.concat(_as_line(F.array(*[F.lit(f.header) for f in CONTRACT])), F.lit("\n"))
+    heads = heads.select("name", zero.alias("place"), F.when(F.col("kind") == 4, header).otherwise("").cast("binary").alias("content"))
+    sheet = rows.select(F.col("name").alias("file"), "row_idx", "cells", "kind")
+    sheets = [
+        sheet.filter(F.col("kind") == kind).drop("kind").groupBy("file").applyInPandas(make, "path string, content binary")
+        for kind, make in ((1, _workbook), (3, _old_workbook))
+    ]
+    pieces = lines.unionByName(heads)
+    for made in sheets:
+        pieces = pieces.unionByName(made.select(F.substring_index("path", "#", 1).alias("name"), zero.alias("place"), "content"))
+    where = new_folder(spark, "members")
+    named.write_named(pieces.withColumn("part", zero), where)
+    names = named.manifest(spark, where).select("name", file_uri(F.col("output")).alias("file"))
+    return written(names, "member-names"), f"{where}/data"
+
+
+def _under_names(table: DataFrame, names: DataFrame) -> DataFrame:
+    return table.join(names, "file").withColumn("file", F.col("name")).drop("name")
 
 
 @query("scan_dispatch")
 def scan_dispatch(spark, sf):
-    return folder.with_reader(_file_names(spark, sf)).select("file", "reader", "reason")
+    """What reads each file of a folder."""
+    names, where = _member_folder(spark, sf)
+    return _under_names(folder.list_files(spark, where).select("file", "reader", "reason"), names)
+
+
+@query("scan_folder")
+def scan_folder(spark, sf):
+    """All rows of a folder of text files and both kinds of workbook."""
+    names, where = _member_folder(spark, sf)
+    return _under_names(folder.scan_folder(spark, where).cells, names).select("file", "row_idx", _row_text())
 
 
 @query("empty_input")
 def empty_input(spark, sf):
-    files = folder.with_reader(_file_names(spark, sf))
-    return folder.rejected_files(files, files.filter(F.col("file_no") % 3 != 0))
+    """Files of a folder that nothing can be read from: of no known kind, without a byte, or with a header alone."""
+    names, where = _member_folder(spark, sf)
+    files = folder.list_files(spark, where)
+    scan = folder.scan_folder(spark, where, files)
+    bounds = rowrange.detect_range(written(scan.cells, "cells"))
+    return _under_names(folder.rejected_files(files, bounds.filter(F.col("last_idx") > F.col("header_idx")), scan.rejected), names)
+
+
+@query("file_accounting")
+def file_accounting(spark, sf):
+    """Rows that a whole run over a folder leaves of each file, header and rejected files included."""
+    names, where = _member_folder(spark, sf)
+    run = pipeline.clean_folder(spark, where)
+    gone = run.rejected.select("file", F.lit(True).alias("rejected")).distinct()
+    one = F.lit(1).cast("long").alias("n")
+    held = run.final.select("file", one)
+    for part in (run.widths, run.removed):
+        held = held.unionByName(part.select("file", one))
+    rows = held.groupBy("file").agg(F.sum("n").alias("rows"))
+    every = folder.list_files(spark, where).select("file").join(gone, "file", "left").join(rows, "file", "left")
+    return _under_names(every.select("file", F.coalesce("rejected", F.lit(False)).alias("rejected"), F.coalesce("rows", F.lit(0)).alias("rows")), names)
 
 
 @query("sink_csv")
@@ -232,9 +307,13 @@ def sink_by_file(spark, sf):
 
 @query("sink_guard")
 def sink_guard(spark, sf):
-    """Files with and without rows to write."""
-    per_file = _checked(spark, sf).groupBy("file").agg(F.count_if(F.size("errors") == 0).alias("valid_rows"))
-    return per_file.withColumn("refused", F.col("valid_rows") == 0)
+    """What the sink wrote of each file, and the files of which it had nothing to write."""
+    checked = _checked(spark, sf)
+    where = new_folder(spark, "guarded")
+    folder.write_contract_by_file(checked.filter(F.size("errors") == 0), where)
+    wrote = named.manifest(spark, where).groupBy(F.col("name").alias("file")).agg(F.sum("rows").alias("valid_rows"))
+    rows = checked.select("file").distinct().join(wrote, "file", "left").select("file", F.coalesce("valid_rows", F.lit(0)).alias("valid_rows"))
+    return rows.withColumn("refused", F.col("valid_rows") == 0)
 
 
 # --- row range -------------------------------------------------------------------

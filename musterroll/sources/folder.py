@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from musterroll.contract import BY_NAME, CONTRACT
 from musterroll.runtime import chunk_of, file_uri, written
+from musterroll.sources import named
 from musterroll.sources.delimited import Scan, read_delimited
 from musterroll.sources.workbook import read_workbook_folder
 
@@ -86,20 +87,19 @@ def _quoted_line(df: DataFrame) -> tuple[str, Column]:
 
 
 def write_contract_by_file(valid: DataFrame, path: str) -> None:
-    """One output per input file, in row order, under ``file=.../chunk=...``.
+    """One output per input file, in row order, under ``data``, and a list of all outputs under ``manifest``.
 
     ``valid`` has ``file, row_idx`` and the fields.  A file's rows are dealt
     out in chunks of 2^20, each written by one task as one part with the
-    header first, so that a very large file is many parts.
+    header first, so that only a very large file is several parts.  All
+    outputs become visible together, as :mod:`named` says.
     """
     if valid.isEmpty():
         raise NothingToWrite("No valid rows to export")
     header, line = _quoted_line(valid)
-    rows = valid.select("file", chunk_of(F.col("row_idx")).alias("chunk"), "row_idx", line.alias("line"))
-    first = F.row_number().over(Window.partitionBy("file", "chunk").orderBy("row_idx")) == 1
-    text = F.when(first, F.concat(F.lit(header + LINE_END), F.col("line"))).otherwise(F.col("line"))
-    # The window leaves each chunk in one partition, in row order.
-    rows.select("file", "chunk", text.alias("value")).write.partitionBy("file", "chunk").text(path, lineSep=LINE_END)
+    content = F.concat(line, F.lit(LINE_END))
+    pieces = valid.select(F.col("file").alias("name"), chunk_of(F.col("row_idx")).alias("part"), F.col("row_idx").alias("place"), content.alias("content"))
+    named.write_named(pieces, path, header + LINE_END)
 
 
 def write_contract(valid: DataFrame, path: str, single_file: bool = False) -> None:
@@ -120,10 +120,16 @@ def write_contract(valid: DataFrame, path: str, single_file: bool = False) -> No
     line = F.concat_ws(",", *[_quoted(F.col(f"`{h}`")) for h in out.columns])
     first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
     text = F.when(first, F.concat(F.lit(header + LINE_END), line)).otherwise(line)
-    out.select(text.alias("value")).write.text(path, lineSep=LINE_END)
+    # A partition that were cut into several parts would have one header only.
+    out.select(text.alias("value")).write.option("maxRecordsPerFile", 0).text(path, lineSep=LINE_END)
 
 
 def read_contract(spark: SparkSession, path: str, by_file: bool = False) -> DataFrame:
     """Read back what :func:`write_contract` wrote, under field names, or what was written by file."""
-    raw = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True, nullValue="\x00", emptyValue="")
-    return raw.select(*["file"] * by_file, *[F.coalesce(F.col(f"`{f.header}`"), F.lit("")).alias(f.name) for f in BY_NAME.values()])
+    fields = [F.coalesce(F.col(f"`{f.header}`"), F.lit("")).alias(f.name) for f in BY_NAME.values()]
+    reader = spark.read.options(header=True, quote='"', escape='"', multiLine=True, nullValue="\x00", emptyValue="")
+    if not by_file:
+        return reader.csv(path).select(*fields)
+    outputs = named.manifest(spark, path).select(F.col("name").alias("file"), file_uri(F.col("output")).alias("output"))
+    rows = reader.option("recursiveFileLookup", "true").csv(f"{path}/data").select(file_uri(F.col("_metadata.file_path")).alias("output"), *fields)
+    return rows.join(written(outputs, "outputs"), "output").drop("output")

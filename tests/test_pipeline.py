@@ -110,7 +110,7 @@ def test_rows_of_wrong_width_count_as_bad(run):
 
 
 SHORT = [h for h in HEADERS if h not in ("Sport Passport ID", "Postcode*", "Email*")]
-SHORT_ROW = ",".join(PLAIN.get(n, "") for n, h in zip(NAMES, HEADERS) if h in SHORT)
+SHORT_ROW = ",".join({**PLAIN, "county": "Shetland", "school_year": "6"}.get(n, "") for n, h in zip(NAMES, HEADERS) if h in SHORT)
 
 
 def test_missing_required_columns(run):
@@ -187,7 +187,7 @@ def test_write_result_and_second_run(run, spark, tmp_path_factory):
     answer = spark.createDataFrame([(bad.file, bad.row_idx, "phone_number", "07811000000")], KEY + ", field string, value string")
     second = run({"a.csv": [HEAD, ERRORS[0], GOOD[0], GOOD[1]]}, patches=lambda d: answer)
     pipeline.write_result(second, f"{out}/2", by_file=True)
-    parts = [p for p in Path(f"{out}/2/valid").rglob("part-*") if "a.csv" in str(p)]
+    parts = list(Path(f"{out}/2/valid/data").rglob("a-*.csv"))
     assert len(parts) == 1
     with open(parts[0], newline="", encoding="utf-8") as f:
         rows = list(csv.reader(f))
@@ -199,9 +199,14 @@ def test_every_row_of_every_file_is_accounted_for(run, spark, tmp_path):
     (tmp_path / "broken.xlsx").write_bytes(b"PK not a workbook")
     (tmp_path / "open.csv").write_text(HEAD + '\n,"' + "x" * 140_000 + "\n" + "y\n" * 50)
     (tmp_path / "none.csv").write_text("")
+    (tmp_path / "head.csv").write_text(HEAD + "\n")
+    (tmp_path / "head and foot.csv").write_text(HEAD + "\nTotal,0\n\n")
+    (tmp_path / "other head.csv").write_text("gender,email,county\n")
     r = run({"a.csv": [HEAD, *ERRORS, *SPLIT, "a,b", "Total: 9"], "blank.csv": ["", "x,y", "z,w"]})
     reasons = {x.file.rsplit("/", 1)[1]: x.reason for x in r.rejected.collect()}
-    assert reasons.keys() == {"latin.csv", "broken.xlsx", "open.csv", "none.csv", "blank.csv"}
+    assert reasons.keys() == {"latin.csv", "broken.xlsx", "open.csv", "none.csv", "blank.csv", "head.csv", "head%20and%20foot.csv", "other%20head.csv"}
+    assert {reasons[f] for f in reasons if "head" in f} == {reasons["none.csv"]} == {"No data found"}
+    assert r.rejected.count() == len(reasons)  # one reason each
     assert reasons["latin.csv"] == "Not UTF-8 text" and "Unreadable workbook" in reasons["broken.xlsx"] and "unclosed quote" in reasons["open.csv"]
     kept = r.final.count() + r.widths.count()
     assert kept + r.removed.filter("file like '%/a.csv'").count() + 1 == len(ERRORS) + len(SPLIT) + 3
