@@ -68,7 +68,8 @@ def _email(field: Field, v: Column) -> list:
     return [(~matches(v, V.EMAIL_PATTERN), _problem(field, v, V.MSG_EMAIL))]
 
 
-def _date(field: Field, v: Column, laid_out: Column, iso_dayfirst: bool) -> list:
+def _date(field: Field, v: Column, laid_out: Column, iso_dayfirst: bool, normalized: bool) -> list:
+    """A normalised value that still has another shape is one that could not be read."""
     flipped = dates.swapped(laid_out)
 
     def converted(read: Column) -> Column:
@@ -76,8 +77,9 @@ def _date(field: Field, v: Column, laid_out: Column, iso_dayfirst: bool) -> list
             _problem(field, v, V.MSG_DATE_BAD)
         )
 
+    other = _problem(field, v, V.MSG_DATE_BAD) if normalized else X.let(dates.read_date(v, iso_dayfirst), converted)
     return [
-        (laid_out.isNull(), X.let(dates.read_date(v, iso_dayfirst), converted)),
+        (laid_out.isNull(), other),
         (dates.exists(laid_out), None),
         (dates.exists(flipped), _problem(field, v, V.MSG_DATE_US, flipped)),
         (F.lit(True), _problem(field, v, V.MSG_DATE_RANGE)),
@@ -125,7 +127,7 @@ def _allowed(field: Field, v: Column) -> list:
     return cases
 
 
-def check(field: Field, value: Column, form: Column | None, iso_dayfirst: bool = False) -> Column:
+def check(field: Field, value: Column, form: Column | None, iso_dayfirst: bool = False, normalized: bool = False) -> Column:
     """Required first, then empties pass, then the rule of the field's kind.
 
     ``form`` is what :func:`prepared` gave for the value.
@@ -136,7 +138,7 @@ def check(field: Field, value: Column, form: Column | None, iso_dayfirst: bool =
     if field.kind == "email":
         rules = _email(field, value)
     elif field.kind == "date":
-        rules = _date(field, value, form, iso_dayfirst)
+        rules = _date(field, value, form, iso_dayfirst, normalized)
     elif field.kind == "postcode":
         rules = _postcode(field, value, form)
     elif field.kind == "integer":

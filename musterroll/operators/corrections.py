@@ -77,12 +77,15 @@ def apply_fixes(df: DataFrame, policy: str = "accept", decisions: DataFrame | No
         ),
     ).cast(CHANGE)
 
+    # A field has one problem at most, so what is taken is a map, made once and only where there is any.
+    entries = F.transform(F.filter("errors", taken), lambda e: F.struct(e.field, e.suggested))
+    df = df.withColumn("_taken", F.when(F.exists("errors", lambda e: e.auto_fixable), F.map_from_entries(entries)))
+
     def fixed(field) -> Column:
-        hits = F.filter("errors", lambda e: (e.field == field.name) & taken(e))
-        return F.coalesce(F.get(hits, F.lit(0)).suggested, F.col(field.name)).alias(field.name)
+        return F.coalesce(F.try_element_at("_taken", F.lit(field.name)), F.col(field.name)).alias(field.name)
 
     names = {f.name: fixed(f) for f in CONTRACT if f.can_suggest}
-    passed = [c for c in df.columns if c not in ("errors", "accepted", "refused")]
+    passed = [c for c in df.columns if c not in ("errors", "accepted", "refused", "_taken")]
     return df.select(
         *[names.get(c, F.col(c)) for c in passed],
         F.filter("errors", lambda e: ~taken(e)).alias("errors"),

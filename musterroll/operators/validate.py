@@ -35,7 +35,7 @@ def _checked(df: DataFrame, skip_fields: Iterable[str], iso_dayfirst: bool, into
         if field.kind == "date" and normal.typed_date(col, dtype) is not None:
             return checks.check_typed_date(field, value, col, dtype)
         form = F.col(f"_w_{field.name}") if f"_w_{field.name}" in forms else None
-        return checks.check(field, value, form, iso_dayfirst)
+        return checks.check(field, value, form, iso_dayfirst, normalized)
 
     found = F.concat(checks.none(), *[one(f) for f in todo])
     if where is not None:

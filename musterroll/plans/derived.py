@@ -49,7 +49,7 @@ def _member_fields(k: str, name: str, segment: str, nation: str) -> dict[str, st
                 "04/11/1998", "11/24/1998", "03/05/2002", "1998-11-24", "2002-05-03",
                 "24-11-1998", "unknown", "41/17/1998", "", "04/11/1998\n",
                 "24 Nov 1998", "7th of March 2004", "Sunday 3 May 2009", "9/Aug/2011", "5-Sep-03",
-                "24/11/1998 10:30", "3rd of",
+                "24/11/1998 10:30", "3rd of", "Jun-05-2010", "2010 June 5", "2010-06-05T10:00:00+01:00", "10am 5 June 2010",
             ),
         ),
         "address1": _pick(k, [*_text("83 Skerry Way"), segment, "''"]),

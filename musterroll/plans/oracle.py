@@ -44,7 +44,8 @@ def parse(v: str, iso_dayfirst: bool = False) -> str:
     iso = "'%Y-%d-%m', '%Y-%m-%d'" if iso_dayfirst else "'%Y-%m-%d'"
     bare = f"regexp_replace({v}, '^[A-Z][a-z]+day ', '')"
     bare = f"regexp_replace({bare}, '^([0-9]+)(st|nd|rd|th)( of)? ', '\\1 ')"
-    named = "'%d %b %Y', '%d %B %Y', '%d/%b/%Y', '%d-%b-%y', '%d/%m/%Y %H:%M'"
+    bare = f"regexp_replace(regexp_replace({bare}, 'T[0-9:+]+$', ''), '^[0-9]+[ap]m ', '')"
+    named = "'%b-%d-%Y', '%Y %B %d', '%d %b %Y', '%d %B %Y', '%d/%b/%Y', '%d-%b-%y', '%d/%m/%Y %H:%M'"
     return f"try_strptime({bare}, ['%d/%m/%Y', {iso}, '%d-%m-%Y', {named}])"
 
 

@@ -202,3 +202,31 @@ def test_rules_work_on_a_stream(spark, tmp_path):
     q.awaitTermination(120)
     row = spark.sql("SELECT * FROM checked").first()
     assert row.postcode == "E1 9BR" and row.n == 6
+
+
+LAYOUTS = [
+    "%b-%d-%Y", "%Y %B %d", "%Y-%b-%d", "%d %b, %Y", "%B %d %Y", "%b. %d, %Y", "%A, %d %B %Y", "%d %B %Y %A", "%Y %d %B", "%d %Y %b",
+    "%Y-%m-%dT%H:%M:%S+01:00", "%Y-%m-%dT%H:%M:%SZ", "%Y-%m-%d %H:%M:%S.%f", "%I%p %d %B %Y", "%H:%M %d/%m/%Y", "%d %b %Y at %I:%M %p", "%H:%M:%S %b %d %Y UTC",
+    "%d%b%Y", "%b%d,%Y", "%d-%b-%Y", "%a %b %d %Y", "the", "%Y %m %d", "%d/%m/%Y", "%d.%m.%Y", "%Y/%m/%d", "%Y%m%d", "%dth of %B, %Y", "%B %dth %Y", "%b'%d'%Y", "%d;%m;%Y",
+]
+
+
+def test_dates_in_any_order(spark):
+    import datetime as dt
+    import random
+
+    rng, given = random.Random(1), {}
+    for layout in LAYOUTS:
+        for _ in range(12):
+            day = dt.datetime(rng.randint(1900, 2040), rng.randint(1, 12), rng.randint(1, 28), rng.randint(1, 23), rng.randint(0, 59), rng.randint(0, 59))
+            for text in {day.strftime(layout), day.strftime(layout).upper(), day.strftime(layout).replace(" 0", " ")}:
+                given[text] = day.strftime("%d/%m/%Y") if layout != "the" else text
+    given |= {
+        "5 June 10": "05/06/2010", "June 5 10": "05/06/2010", "10 5 June": "05/06/2010", "99-Jun-05": "05/06/1999", "Jun 99 5": "05/06/1999", "13-31-2010": "13-31-2010",
+        "2010 31 06": "2010 31 06", "31 June 2010": "31 June 2010", "29 Feb 2012": "29/02/2012", "29 Feb 2011": "29 Feb 2011", "0 June 2010": "0 June 2010",
+        "June 5": "June 5", "June 2010": "June 2010", "2010": "2010", "16": "16", "5th": "5th", "June": "June", "10:30": "10:30", "Monday": "Monday", "5 June": "5 June",
+        "5 June July 2010": "5 June July 2010", "5 June 2010 2011": "5 June 2010 2011", "5 June 2010 x": "5 June 2010 x", "x5 June 2010": "x5 June 2010", "5 Juneau 2010": "5 Juneau 2010",
+        "5 June 20100": "5 June 20100", "5 June 201": "5 June 201", "5 -6 20": "05/06/2020", "10:30 11:30 5 June 2010": "10:30 11:30 5 June 2010", "Monday Tuesday 5 June 2010": "Monday Tuesday 5 June 2010",
+        "25:00 5 June 2010": "25:00 5 June 2010", "5 June 2010 13:61": "5 June 2010 13:61", "c 5 June 2010": "c 5 June 2010", "m5 6 2010": "m5 6 2010", "mjune 5 2010": "mjune 5 2010", "w 5 6 2010": "w 5 6 2010",
+    }
+    assert dict(zip(given, normal(spark, "date_of_birth", list(given)))) == given
