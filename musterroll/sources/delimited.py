@@ -9,6 +9,7 @@ begins inside a quoted cell.
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -22,7 +23,15 @@ BOM = "\ufeff"
 # such files refuse them at this size.
 LONGEST_CELL = 131_072
 LONGEST_RECORD = 64 * LONGEST_CELL  # what is put together in one task at most
+
+# Facts of splits are broadcast in parts of at most so many bytes, counted at
+# so many for each; a task reads at most so many splits (the default of
+# Spark's packing of small files).
+BROADCAST_BYTES = 256 << 20
+FACT_BYTES = 64
+SPLITS_A_TASK = 32
 NOT_TEXT = "Not UTF-8 text"
+TOO_MUCH = f"A record has more than {LONGEST_RECORD} characters (unclosed quote?)"
 TOO_LONG = f"A cell has more than {LONGEST_CELL} characters (unclosed quote?)"
 
 
@@ -61,14 +70,21 @@ def split_cells(record: Column) -> Column:
 
 
 def read_lines(spark: SparkSession, path: str | list[str], glob: str = "*.csv") -> DataFrame:
-    """``file, split, line_id, line`` in scan order within a split."""
+    """``file, split, key, line_id, line`` in scan order within a split; ``key`` is a hash of the first two."""
     lines = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true").text(path)
-    return lines.select(
+    placed = lines.select(
         file_uri(F.col("_metadata.file_path")).alias("file"),
         F.col("_metadata.file_block_start").alias("split"),
         F.monotonically_increasing_id().alias("line_id"),
         F.col("value").alias("line"),
     )
+    return placed.select("file", "split", F.xxhash64("file", "split").alias("key"), "line_id", "line")
+
+
+def parts_of(lines: DataFrame) -> int:
+    """In how many parts the facts of a scan's splits can be broadcast, by what the scan may have at most."""
+    most = lines.rdd.getNumPartitions() * SPLITS_A_TASK
+    return max(1, -(-most * FACT_BYTES // BROADCAST_BYTES))
 
 
 def split_facts(lines: DataFrame) -> DataFrame:
@@ -97,13 +113,32 @@ def split_facts(lines: DataFrame) -> DataFrame:
     )
 
 
-def number_lines(lines: DataFrame, facts: DataFrame) -> DataFrame:
-    """Position of every line in its file, counted from 0."""
-    line_no = F.col("lines_before") + F.col("line_id") - F.col("first_id")
-    clean = F.when(line_no == 0, F.ltrim(F.col("line"), F.lit(BOM))).otherwise(F.col("line"))
-    return lines.join(facts, ["file", "split"]).select(
-        "file", "split", line_no.alias("line_no"), clean.alias("line"), "file_open"
-    )
+def number_lines(lines: DataFrame, facts: DataFrame, parts: int = 1) -> DataFrame:
+    """Position of every line in its file, counted from 0.
+
+    Text is never shuffled: what a line needs of its split is three numbers,
+    found by the split's key in a broadcast whose size ``parts`` bounds.  With
+    more than one part, each is a table of its own, so that only one broadcast
+    is held at a time.
+    """
+    numbers = facts.select(F.xxhash64("file", "split").alias("key"), "split", (F.col("lines_before") - F.col("first_id")).alias("ahead"), "file_open")
+
+    def numbered(some: DataFrame, of: DataFrame) -> DataFrame:
+        line_no = F.col("line_id") + F.col("ahead")
+        clean = F.when(line_no == 0, F.ltrim(F.col("line"), F.lit(BOM))).otherwise(F.col("line"))
+        # The estimate of the parts is checked against what there is.
+        small = F.broadcast(of) if of.count() * FACT_BYTES <= 2 * BROADCAST_BYTES else of
+        return some.join(small, ["key", "split"]).select("file", "split", line_no.alias("line_no"), clean.alias("line"), "file_open")
+
+    if parts == 1:
+        return numbered(lines, numbers)
+    of_part = lambda table, p: table.filter(part_of(F.col("key"), parts) == p)
+    each = [written(numbered(lines.filter(F.col("part") == p), of_part(numbers, p)), f"numbered-{p}") for p in range(parts)]
+    return reduce(DataFrame.unionByName, each)
+
+
+def part_of(key: Column, parts: int) -> Column:
+    return F.pmod(key, F.lit(parts)).cast("int")
 
 
 def place_quoted_lines(numbered: DataFrame) -> DataFrame:
@@ -179,10 +214,15 @@ def read_delimited(spark: SparkSession, path: str | list[str], glob: str = "*.cs
     shuffled; only the others go through the quoted-line windows.  A file that
     is not UTF-8, or that has a cell too long to be one, is rejected whole.
     """
-    lines = written(read_lines(spark, path, glob), "lines")
+    read = read_lines(spark, path, glob)
+    parts = parts_of(read)
+    if parts > 1:
+        lines = written(read.withColumn("part", part_of(F.col("key"), parts)), "lines", ["part"])
+    else:
+        lines = written(read, "lines")
     facts = written(split_facts(lines), "split-facts")
     rejected = facts.filter("not_text").select("file", F.lit(NOT_TEXT).alias("reason")).distinct()
-    numbered = number_lines(lines, facts.filter(~F.col("not_text")))
+    numbered = number_lines(lines, facts.filter(~F.col("not_text")), parts)
     records = numbered.filter(~F.col("file_open")).select("file", F.col("line_no").alias("row_idx"), F.col("line").alias("record"))
     shape = facts.agg(F.max("file_open").alias("quoted"), F.max("longest").alias("longest")).first()
     if shape.quoted:
@@ -190,7 +230,7 @@ def read_delimited(spark: SparkSession, path: str | list[str], glob: str = "*.cs
         sizes = pieces.groupBy("file", "row_idx").agg(F.sum(F.char_length("line") + 1).alias("size"))
         endless = written(sizes.filter(F.col("size") > LONGEST_RECORD).select("file").distinct(), "endless")
         records = records.unionByName(joined_records(pieces.join(endless, "file", "left_anti")))
-        rejected = rejected.unionByName(endless.select("file", F.lit(TOO_LONG).alias("reason")))
+        rejected = rejected.unionByName(endless.select("file", F.lit(TOO_MUCH).alias("reason")))
     cells = records.select("file", "row_idx", split_cells(F.col("record")).alias("cells"))
     if shape.quoted or (shape.longest or 0) > LONGEST_CELL:
         long = records.filter(F.char_length("record") > LONGEST_CELL).select("file", split_cells(F.col("record")).alias("cells"))

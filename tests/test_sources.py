@@ -162,3 +162,29 @@ def test_shared_folder_or_an_error(monkeypatch):
         runtime.shared_dir(Session())
     monkeypatch.setattr(Context, "getCheckpointDir", lambda self: "hdfs:///x/")
     assert runtime.shared_dir(Session()) == "hdfs:///x"
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_no_plan_shuffles_text(spark, tmp_path, monkeypatch, parts):
+    """Whatever the broadcast threshold, and however many parts the facts of the splits are cut in."""
+    for n in range(6):
+        (tmp_path / f"{n}.csv").write_text(("\ufeff" if n % 2 else "") + "".join(f"{n} {i},x\n" for i in range(3000 * n + 1)))
+    (tmp_path / "latin.csv").write_bytes(b"\xe9,x\n")
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.files.maxPartitionBytes": "16k", "spark.sql.files.openCostInBytes": "1k"}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    if parts > 1:
+        tasks = delimited.read_lines(spark, str(tmp_path)).rdd.getNumPartitions()
+        monkeypatch.setattr(delimited, "BROADCAST_BYTES", -(-tasks * delimited.SPLITS_A_TASK * delimited.FACT_BYTES // parts))
+        assert delimited.parts_of(delimited.read_lines(spark, str(tmp_path))) == parts
+    try:
+        scan = delimited.read_delimited(spark, str(tmp_path))
+        plan = scan.cells._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in plan and "Exchange rangepartitioning" not in plan and (parts > 1 or "BroadcastHashJoin" in plan)
+        places = scan.cells.groupBy("file").agg(F.count("*").alias("n"), F.count_distinct("row_idx").alias("d"), F.max("row_idx").alias("last"), F.count_if(F.col("cells")[0].endswith(F.concat(F.lit(" "), F.col("row_idx")))).alias("good"))
+        got = {r.file[-5]: (r.n, r.d, r.last + 1, r.good) for r in places.collect()}
+        assert got == {str(n): (3000 * n + 1,) * 4 for n in range(6)}
+        assert [r.file[-9:] for r in scan.rejected.collect()] == ["latin.csv"]
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
