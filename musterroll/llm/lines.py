@@ -46,7 +46,9 @@ def hashed_lines(docs: DataFrame, min_key: int = MIN_KEY) -> DataFrame:
     The two hashes have different seeds and make 128 bits together.  Rows
     without an id take no part.
     """
-    rows = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(lines_of(F.col("text"))).alias("line_no", "line"))
+    # The text's hash is made below the explode, or else it would be made again for every line.
+    hashed = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("text_hash"), lines_of(F.col("text")).alias("lines"))
+    rows = hashed.select("doc_id", "text_hash", F.posexplode("lines").alias("line_no", "line"))
     keyed = rows.select("doc_id", "text_hash", "line_no", line_key(F.col("line")).alias("key"))
     long = keyed.filter(F.char_length("key") >= min_key)
     return long.select("doc_id", "text_hash", "line_no", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), F.col("key")).alias("h2"))
@@ -152,13 +154,18 @@ def _rested(docs: DataFrame, settings: Settings) -> DataFrame:
     gone = dropped_lines(docs, settings).groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.collect_set("line_no").alias("__gone"))
     rows = docs.withColumn("__text_hash", F.xxhash64("text"))
     joined = rows.join(gone, (F.col("doc_id") == F.col("__id")) & (F.col("__text_hash") == F.col("__hash")), "left")
-    lines = lines_of(F.col("text"))
-    places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
-    rest = F.array_join(F.transform(places, lambda k: F.get(lines, k)), "\n")
-    return joined.select(
+    # Lines and marks of the places to drop, sorted: a dropped line comes right after its mark.  Both columns
+    # are made once; lookups in them take no longer the more lines a text has.
+    staged = joined.withColumn("__lines", lines_of(F.col("text")))
+    line = F.transform("__lines", lambda x, i: F.struct(i.alias("at"), F.lit(1).alias("kind"), x.alias("line")))
+    mark = F.transform("__gone", lambda i: F.struct(i.alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("string").alias("line")))
+    staged = staged.withColumn("__marked", F.when(F.col("__gone").isNotNull(), F.sort_array(F.concat(line, mark))))
+    stays = lambda x, i: (x.kind == 1) & ((i == 0) | (F.get("__marked", i - 1).kind == 1))
+    rest = F.array_join(F.transform(F.filter("__marked", stays), lambda x: x.line), "\n")
+    return staged.select(
         *docs.columns,
         F.when(F.col("__gone").isNull(), F.col("text")).otherwise(rest).alias("__rest"),
-        F.size(lines).cast("long").alias("__n_lines"),
+        F.size("__lines").cast("long").alias("__n_lines"),
         F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("__n_dropped"),
     )
 

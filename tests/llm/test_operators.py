@@ -93,6 +93,19 @@ def test_line_dedup_keeps_all_columns(docs, nothing):
     assert lines.deduped(nothing).collect() == []
 
 
+def test_a_text_of_very_many_lines(spark):
+    import time
+
+    shared = [f"a line that two texts hold {i}" for i in range(0, 200_000, 2)]
+    long = "\n".join(f"a line that two texts hold {i}" if i % 2 == 0 else f"own {i}" for i in range(200_000))
+    docs = spark.createDataFrame([(1, "\n".join(shared)), (2, long), (3, "\n" * 200_000)], "doc_id bigint, text string")
+    start = time.perf_counter()
+    got = {r.doc_id: r for r in lines.deduped(docs).collect()}
+    assert time.perf_counter() - start < 60
+    assert (got[2].n_lines, got[2].n_dropped) == (200_000, 100_000) and got[2].kept_text == "\n".join(f"own {i}" for i in range(1, 200_000, 2))
+    assert got[1].kept_text == "\n".join(shared) and got[3].kept_text == "\n" * 200_000
+
+
 # --- SimHash ---------------------------------------------------------------------
 
 
