@@ -528,6 +528,78 @@ def test_every_long_passage_is_found_wherever_it_stands(spark):
     assert found == holders
 
 
+def plain_passages(rows, settings):
+    """``doc_id, kept, start, end`` by comparing every pair of paragraphs as sets of word runs."""
+    held = defaultdict(set)
+    for i, text in {(i, text or "") for i, text, *_ in rows if i is not None}:
+        spans = [m.span() for m in WORD.finditer(text)]
+        words = [text[a:b].translate(LOWER) for a, b in spans]
+        values = passages._rolled(passages.word_hashes([w.encode() for w in words]), settings.shingle).tolist()
+        if not values:
+            continue
+        width = min(settings.spread, len(values))
+        least = sorted({min(range(k, k + width), key=lambda j: (values[j], j)) for k in range(len(values) - width + 1)})
+        before, at = None, -settings.spread
+        for k in least:
+            if k + settings.length <= len(words) and (values[k] != before or k - at >= settings.spread):
+                before, at = values[k], k
+                held[values[k]].add((i, text, spans[k][0], spans[k + settings.length - 1][1], tuple(words[k : k + settings.length])))
+    found = [p for group in held.values() if len({p[0] for p in group}) > 1 for p in group]
+    sets = {p[4]: {p[4][k : k + settings.shingle] for k in range(settings.length - settings.shingle + 1)} for p in found}
+    root = {p: p for p in sets}
+
+    def top(p):
+        while root[p] != p:
+            p = root[p]
+        return p
+
+    for a in sets:
+        for b in sets:
+            if len(sets[a] & sets[b]) >= settings.similarity * len(sets[a] | sets[b]):
+                root[top(a)] = top(b)
+    classes = defaultdict(list)
+    for p in found:
+        classes[top(p[4])].append(p)
+    marked = defaultdict(set)
+    for group in classes.values():
+        ids = {p[0] for p in group}
+        if len(ids) > 1:
+            for i, text, a, b, _ in group:
+                marked[i, text, min(ids)].add((a, b))
+    out = Counter()
+    for (i, _, kept), spans in marked.items():
+        start = end = None
+        for a, b in sorted(spans):
+            if end is not None and a <= end:
+                end = max(end, b)
+                continue
+            if end is not None:
+                out[i, kept, start, end] += 1
+            start, end = a, b
+        out[i, kept, start, end] += 1
+    return out
+
+
+def test_passages_against_every_pair(spark):
+    rng = random.Random(12)
+    shared = [prose(f"s{k}", n) for k, n in enumerate((51, 60, 90, 140, 300))]
+    rows = []
+    for i in range(60):
+        words = prose(f"own{i}", rng.randint(0, 120)).split()
+        for passage in rng.sample(shared, rng.randint(0, 2)):
+            copy = passage.split()
+            for _ in range(rng.randint(0, 2)):
+                copy[rng.randrange(len(copy))] = rng.choice(["édité", "changed", "X"])
+            at = rng.randint(0, len(words))
+            words[at:at] = copy
+        text = "".join(w + rng.choice([" ", "  ", "\n", "\t\r\n"]) for w in words)
+        rows.append((rng.choice([i, i, i, 7, None]), rng.choice([text, text.upper()]), None, None, None))
+    rows += rows[:20] + [(200, None, None, None, None), (201, "", None, None, None), (202, "word " * 300, None, None, None), (203, "Word\n" * 90, None, None, None)]
+    settings = passages.Settings()
+    got = Counter((r.doc_id, r.kept_doc_id, r.start, r.end) for r in passages.repeated_passages(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == plain_passages(rows, settings) and len(got) > 40
+
+
 def test_near_copies_of_paragraphs_link(spark):
     settings = passages.Settings(length=64, list_rows=4)
     base = prose("base", 64).split()
