@@ -2,7 +2,8 @@
 
 Records are hashed into slots whose number never changes.  Bytes are added up
 per slot, the map gives each slot a shard, and rebalancing edits the map: only
-rows of the slots it names move.
+rows of the slots it names move.  Rows that repeat are numbered, and the number
+is hashed too, so that they spread over the slots like any others.
 """
 
 from __future__ import annotations
@@ -25,17 +26,43 @@ def record_hash() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``copy``, counted from 0 among the rows of equal ``hash``.
+
+    ``rows`` is a written table with ``hash`` and ``part``, the task that wrote
+    the row.  Equal rows are counted part by part, and each part goes on where
+    those before it end, so no task holds more of them than one part has.
+    Rows of a hash of their own are not shuffled by it.
+    """
+    several = written(rows.groupBy("hash").agg(F.count("*").alias("n")).filter(F.col("n") > 1).select("hash"), "repeated")
+    many = rows.join(several, "hash", "left_semi")
+    along = Window.partitionBy("hash").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = many.groupBy("hash", "part").agg(F.count("*").alias("n"))
+    starts = written(parts.select("hash", "part", F.coalesce(F.sum("n").over(along), F.lit(0)).alias("start")), "repeat-starts")
+    within = Window.partitionBy("hash", "part").orderBy("hash")
+    counted = many.withColumn("place", F.row_number().over(within) - 1).join(starts, ["hash", "part"])
+    counted = counted.withColumn("copy", F.col("start") + F.col("place")).select(*rows.columns, "copy")
+    alone = rows.join(several, "hash", "left_anti").withColumn("copy", F.lit(0).cast("long"))
+    return alone.unionByName(counted)
+
+
+def slot_of(slots: int) -> Column:
+    """Slot by ``hash`` and ``copy``; the first of equal rows goes by its hash alone."""
+    place = F.when(F.col("copy") == 0, F.col("hash")).otherwise(F.xxhash64("hash", "copy"))
+    return F.pmod(place, F.lit(slots)).cast("int")
+
+
 def with_slots(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """``doc_id, size, text_crc32, hash, vslot`` of every row; a null text is empty."""
+    """``doc_id, size, text_crc32, hash, copy, vslot`` of every row; a null text is empty."""
     data = text_bytes(F.col("text"))
-    h = record_hash()
-    return docs.select(
+    slim = docs.select(
         "doc_id",
         (F.octet_length(data) + F.lit(ROW_COST)).cast("long").alias("size"),
         F.crc32(data).alias("text_crc32"),
-        h.alias("hash"),
-        F.pmod(h, F.lit(slots)).cast("int").alias("vslot"),
+        record_hash().alias("hash"),
+        F.spark_partition_id().alias("part"),
     )
+    return numbered(written(slim, "shard-rows")).drop("part").withColumn("vslot", slot_of(slots))
 
 
 def slot_sizes(placed: DataFrame) -> DataFrame:
@@ -124,7 +151,8 @@ def sharded(docs: DataFrame, shards: int = 24, slots: int = SLOTS, slot_map: Slo
     Sizes of shards are near equal (law ``bytes``).  The place is counted in
     two steps, slot by slot and then in the slot, so no task holds a whole
     shard.  Rows without an id or a text are placed like any other; rows that
-    repeat each take a place.  An empty table gives an empty result.
+    repeat each take a place, in slots of their own, whatever their number.
+    An empty table gives an empty result.
     """
     spark = docs.sparkSession
     placed = written(with_slots(docs, slots), "sharded")
@@ -137,7 +165,7 @@ def sharded(docs: DataFrame, shards: int = 24, slots: int = SLOTS, slot_map: Slo
     )
     # A map has SLOTS rows, whatever the data.
     rows = placed.join(F.broadcast(starts), "vslot")
-    within = Window.partitionBy("vslot").orderBy("hash", "doc_id", "text_crc32", "size")
+    within = Window.partitionBy("vslot").orderBy("hash", "copy", "doc_id", "text_crc32", "size")
     return rows.select(
         "doc_id",
         "size",
@@ -153,9 +181,11 @@ def sharded(docs: DataFrame, shards: int = 24, slots: int = SLOTS, slot_map: Slo
 def write_shards(docs: DataFrame, slot_map: DataFrame, path: str, slots: int = SLOTS) -> None:
     """Write every column of ``docs`` under ``path/shard=N``.
 
-    Rows are dealt out by slot, so a shard is written by many tasks.
+    Rows are dealt out by slot, so a shard is written by many tasks; equal
+    rows are numbered as in ``sharded`` and so fill the same slots.
     """
-    slot = F.pmod(record_hash(), F.lit(slots)).cast("int")
-    kept = docs.withColumn("__vslot", slot).join(F.broadcast(slot_map.select(F.col("vslot").alias("__vslot"), F.col("shard").alias("__shard"))), "__vslot")
-    out = kept.drop("shard").withColumnRenamed("__shard", "shard")
-    out.repartition(F.col("shard"), F.col("__vslot")).drop("__vslot").write.partitionBy("shard").parquet(path)
+    given = [F.col(c).alias(f"__{k}") for k, c in enumerate(docs.columns) if c != "shard"]
+    rows = written(docs.select(*given, record_hash().alias("hash"), F.spark_partition_id().alias("part")), "shard-rows")
+    placed = numbered(rows).withColumn("vslot", slot_of(slots)).join(F.broadcast(slot_map), "vslot")
+    named = [F.col(f"__{k}").alias(c) for k, c in enumerate(docs.columns) if c != "shard"]
+    placed.repartition("shard", "vslot").select(*named, "shard").write.partitionBy("shard").parquet(path)

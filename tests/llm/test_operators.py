@@ -250,6 +250,22 @@ def test_shards_are_near_equal_and_few_slots_move(spark):
     assert (version, grown) == (1, 2) and moves.count(24) > 0.8 * len(moves) > 100
 
 
+def test_shards_of_rows_that_repeat_are_near_equal(spark):
+    rows = [(7, "the same text " * 70, None, None, None)] * 5000 + [(None, None, None, None, None)] * 3000
+    rows += [(i, prose(i, 5), None, None, None) for i in range(1000)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    got = shards.sharded(frame, 24).collect()
+    assert Counter((r.doc_id, r["size"]) for r in got) == Counter((i, len((t or "").encode()) + 8) for i, t, *_ in rows)
+    held, places = Counter(), defaultdict(list)
+    for r in got:
+        held[r.shard] += r["size"]
+        places[r.shard].append(r.slot)
+    assert len(held) == 24 and max(held.values()) <= 1.02 * min(held.values())
+    assert all(sorted(p) == list(range(len(p))) for p in places.values())
+    again = Counter((r.doc_id, r["size"], r.shard) for r in shards.sharded(frame.repartition(5), 24).collect())
+    assert again == Counter((r.doc_id, r["size"], r.shard) for r in got)
+
+
 def test_written_shards_hold_every_row(docs, tmp_path, spark):
     slot_map = shards.SlotMap(spark)
     sizes = shards.slot_sizes(shards.with_slots(docs))
