@@ -128,9 +128,8 @@ def _not_after(copy: int, cut: tuple) -> Column:
     return F.coalesce(_finish(copy).isNotNull() & out, F.lit(False))
 
 
-def _queued(docs: DataFrame, settings: Settings) -> DataFrame:
-    """``docs`` with columns of the queues and ``__copies``, how often the mix takes a row."""
-    rows = _prepared(docs)
+def _plan(rows: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame, int, tuple | None]:
+    """The rows' keys by cell (written, without texts), what precedes each cell, the number of cells, and the mix's end."""
     slim = written(rows.select("__src", *_ORDER), "mix-rows")
     cells = max(1, int(slim.count() ** 0.5))
     celled = slim.withColumn("__cell", _cell(cells))
@@ -140,13 +139,24 @@ def _queued(docs: DataFrame, settings: Settings) -> DataFrame:
     along = Window.partitionBy("__src").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
     before = per_cell.select(*_KEYS, F.coalesce(F.sum("words").over(along), F.lit(0)).alias("__before"))
     offsets = written(before.join(aims, "__src"), "mix-offsets")
-    cut = _cut(_finished(celled, offsets), cells, settings)
-    out = _finished(rows.withColumn("__cell", _cell(cells)), offsets)
+    return celled, offsets, cells, _cut(_finished(celled, offsets), cells, settings)
+
+
+def _copies(cut: tuple | None, settings: Settings) -> Column:
+    """How often the mix takes a row."""
     copies = F.lit(0)
     if cut is not None:
         for copy in range(settings.repeats):
             copies = copies + _not_after(copy, cut).cast("int")
-    return out.withColumn("__copies", copies)
+    return copies
+
+
+def _queued(docs: DataFrame, settings: Settings) -> DataFrame:
+    """``docs`` with columns of the queues and ``__copies``, how often the mix takes a row."""
+    rows = _prepared(docs)
+    _, offsets, cells, cut = _plan(rows, settings)
+    out = _finished(rows.withColumn("__cell", _cell(cells)), offsets)
+    return out.withColumn("__copies", _copies(cut, settings))
 
 
 def mixed(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -160,11 +170,12 @@ def mixed(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
     A source may hold any share of the rows: its queue is cut into cells by
     the shuffle hash, about as many as the square root of the number of rows,
-    and words are added up by cell first.
+    and words are added up by cell first.  Texts are read once, to count words.
     """
-    out = _queued(docs.select("doc_id", "text", "source"), settings)
+    celled, offsets, _, cut = _plan(_prepared(docs.select("doc_id", "text", "source")), settings)
+    out = _finished(celled, offsets).withColumn("__copies", _copies(cut, settings))
     return out.select(
-        "doc_id",
+        F.col("__id").alias("doc_id"),
         F.col("__size").alias("size"),
         F.col("__source_size").alias("source_size"),
         F.col("__target").alias("target"),
