@@ -10,6 +10,9 @@ from musterroll.operators.corrections import KEY
 from musterroll.runtime import one_row_each
 
 TOPK_SALTS = 64
+# Lists of changes with the log that each belongs to, and all lists of a row.
+ORIGINS = {"changes": "automatic", "fixes": "automatic", "patched": "manual"}
+LISTS = (*ORIGINS, "errors")
 
 
 def change_log(df: DataFrame, columns: tuple[str, ...] = ("changes", "fixes")) -> DataFrame:
@@ -90,47 +93,74 @@ def skipped_list(skipped: DataFrame) -> DataFrame:
     return skipped.select("file", (F.col("row_idx") + 2).alias("sheet_row")).orderBy("file", "sheet_row")
 
 
-def _with_widths(final: DataFrame, widths: DataFrame | None, keep: list[str]) -> DataFrame:
-    """Rows of a run, those of the wrong width included (``outcome`` is ``width``)."""
-    rows = final.select(*keep)
+def notes(final: DataFrame, repaired: Column | None = None, widths: DataFrame | None = None) -> DataFrame:
+    """What the reports need of a run's rows, from a single read of them.
+
+    The four lists of a row (``changes, fixes, patched, errors``) stand side by
+    side: each place gives a row with at most one entry of each, and a row whose
+    lists are all empty gives one row without entries.  ``first`` holds once for
+    every row of the run.  Rows of the wrong width (``widths``) have the outcome
+    ``width`` and no entries.
+    """
+    lists = F.posexplode_outer(F.arrays_zip(*LISTS)).alias("place", "entry")
+    given = F.lit(False) if repaired is None else repaired
+    kept = [*KEY, "outcome", F.coalesce(given, F.lit(False)).alias("repaired")]
+    first = (F.coalesce("place", F.lit(0)) == 0).alias("first")
+    rows = final.select(*kept, lists).select(*KEY, "outcome", "repaired", first, "entry.*")
     if widths is None:
         return rows
-    return rows.unionByName(widths.select("file", F.lit("width").alias("outcome")), allowMissingColumns=True)
+    wide = widths.select(*KEY, F.lit("width").alias("outcome"), F.lit(False).alias("repaired"), F.lit(True).alias("first"))
+    return rows.unionByName(wide, allowMissingColumns=True)
+
+
+def noted_changes(told: DataFrame) -> DataFrame:
+    """Both logs in one table, with their origin, in one read of ``notes``."""
+    entries = [F.struct(F.lit(origin).alias("origin"), F.col(name).alias("c")) for name, origin in ORIGINS.items()]
+    one = one_row_each(told.select(*KEY, *ORIGINS), KEY, F.array(*entries)).filter(F.col("item.c").isNotNull())
+    return one.select(*KEY, "item.c.*", "item.origin")
+
 
+def noted_errors(told: DataFrame) -> DataFrame:
+    """One row per open error."""
+    return told.filter(F.col("errors").isNotNull()).select(*KEY, "errors.*")
 
-def summary(final: DataFrame, repaired: Column | None = None, widths: DataFrame | None = None) -> DataFrame:
-    """Counts of a run from rows that carry ``changes, fixes, patched, outcome``.
 
-    Rows of the wrong width (``widths``) count as rows, and as skipped.
+def tally(told: DataFrame) -> DataFrame:
+    """Counts of each file from ``notes``, added up before anything is shuffled."""
+    rows = lambda cond: F.count_if(F.col("first") & cond)
+    return told.groupBy("file").agg(
+        F.count_if("first").alias("rows"),
+        rows(F.col("outcome") == "valid").alias("valid_rows"),
+        rows(F.col("outcome").isin("quarantine", "width")).alias("bad_rows"),
+        rows(F.col("outcome").isin("skipped", "width")).alias("skipped"),
+        rows(F.col("repaired")).alias("comma_repairs"),
+        *[F.count(name).alias(f"n_{name}") for name in ORIGINS],
+    )
+
+
+def summary(counts: DataFrame) -> DataFrame:
+    """Counts of a run from those of its files (``tally``).
+
+    Rows of the wrong width count as rows, and as skipped.
     """
-    is_repaired = F.coalesce(F.col("is_repaired"), F.lit(False))
-    given = F.lit(False) if repaired is None else repaired
-    marked = final.withColumn("is_repaired", given)
-    everything = _with_widths(marked, widths, ["file", "outcome", "changes", "fixes", "patched", "is_repaired"])
-    return everything.agg(
-        F.count("*").alias("rows"),
-        F.count_if(F.col("outcome").isin("skipped", "width")).alias("skipped"),
-        F.coalesce(F.sum((F.size("changes") + F.size("fixes")).cast("long")), F.lit(0)).alias("automatic"),
-        F.count_if(is_repaired).alias("comma_repairs"),
-        F.coalesce(F.sum(F.size("patched").cast("long")), F.lit(0)).alias("manual"),
+    total = lambda *names: F.coalesce(F.sum(sum(F.col(n) for n in names)), F.lit(0))
+    return counts.agg(
+        total("rows").alias("rows"),
+        total("skipped").alias("skipped"),
+        total("n_changes", "n_fixes").alias("automatic"),
+        total("comma_repairs").alias("comma_repairs"),
+        total("n_patched").alias("manual"),
     )
 
 
-def export_decision(final: DataFrame, max_error_rate: float = 1.0, reviewed: bool = True, widths: DataFrame | None = None) -> DataFrame:
+def export_decision(counts: DataFrame, max_error_rate: float = 1.0, reviewed: bool = True) -> DataFrame:
     """Per file: what would be written, what changed, and whether to write it.
 
-    Rows of the wrong width (``widths``) are bad rows like any other.
+    Rows of the wrong width are bad rows like any other.
     """
-    changed = (F.size("fixes") + F.size("patched")).cast("long")
-    everything = _with_widths(final, widths, ["file", "outcome", "fixes", "patched"])
-    per_file = everything.groupBy("file").agg(
-        F.count("*").alias("rows"),
-        F.count_if(F.col("outcome") == "valid").alias("valid_rows"),
-        F.count_if(F.col("outcome").isin("quarantine", "width")).alias("bad_rows"),
-        F.coalesce(F.sum(changed), F.lit(0)).alias("total_changes"),
-    )
+    changed = F.col("n_fixes") + F.col("n_patched")
     rate = F.col("bad_rows") / F.col("rows")
-    return per_file.withColumn(
+    return counts.select("file", "rows", "valid_rows", "bad_rows", changed.alias("total_changes")).withColumn(
         "decision",
         F.when(F.col("valid_rows") == 0, "no valid rows")
         .when((F.col("total_changes") > 0) & ~F.lit(reviewed), "cancelled")

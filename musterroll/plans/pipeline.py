@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,19 +77,32 @@ class Result:
         wide = self.widths.select(*KEY, "reason", "cells", F.lit(None).cast(self.final.schema["errors"].dataType).alias("errors"), "suggestion")
         return bad.unionByName(wide)
 
+    @cached_property
+    def notes(self) -> DataFrame:
+        """What all reports are made from; written when the first of them is asked for."""
+        return written(report.notes(self.final, F.col("repaired_by").isNotNull(), self.widths), "notes")
+
+    @cached_property
+    def tally(self) -> DataFrame:
+        return written(report.tally(self.notes), "tally")
+
+    @property
+    def log(self) -> DataFrame:
+        return report.noted_changes(self.notes)
+
     @property
     def automatic_log(self) -> DataFrame:
-        return report.change_log(self.final)
+        return self.log.filter(F.col("origin") == "automatic").drop("origin")
 
     @property
     def manual_log(self) -> DataFrame:
-        return report.change_log(self.final, ("patched",))
+        return self.log.filter(F.col("origin") == "manual").drop("origin")
 
     def summary(self) -> DataFrame:
-        return report.summary(self.final, F.col("repaired_by").isNotNull(), self.widths)
+        return report.summary(self.tally)
 
     def export_decision(self) -> DataFrame:
-        return report.export_decision(self.final, self.options.max_error_rate, widths=self.widths)
+        return report.export_decision(self.tally, self.options.max_error_rate)
 
     @property
     def removed(self) -> DataFrame:
@@ -227,7 +241,8 @@ def clean_cells(cells: DataFrame, options: Options = Options(), answers: Answers
         "checked",
     )
     return Result(
-        final=written(_logged_merge(apply_answers(checked, options, answers)), "final"),
+        # By outcome, so that what is written and what is kept back are together one read.
+        final=written(_logged_merge(apply_answers(checked, options, answers)), "final", ["outcome"]),
         widths=written(ragged.width_quarantine(mended).select(*KEY, "reason", "cells", "suggestion"), "widths"),
         bounds=bounds,
         headers=headers,
@@ -251,7 +266,7 @@ def clean_folder(spark: SparkSession, path: str, options: Options = Options(), a
     scan = folder.scan_folder(spark, path, files)
     result = clean_cells(scan.cells, options, answers)
     lost = folder.rejected_files(files, result.bounds, scan.rejected)
-    return Result(**{**result.__dict__, "rejected": result.rejected.unionByName(lost)})
+    return replace(result, rejected=result.rejected.unionByName(lost))
 
 
 def write_result(result: Result, path: str, by_file: bool = False) -> None:
@@ -260,10 +275,13 @@ def write_result(result: Result, path: str, by_file: bool = False) -> None:
     A run keeps its intermediate tables in the shared folder; what is written
     here is complete without them.  The reports come first, so that a run
     without a valid row can be answered all the same; ``NothingToWrite`` is
-    raised last.  ``by_file`` gives one output per input file, in row order.
+    raised last.  The run's rows are read twice: for the notes from which all
+    reports are made, and by outcome for the quarantine and the valid rows.  ``by_file`` gives one output per input file, in row order.
     """
-    log = written(report.all_changes(result.automatic_log, result.manual_log), "log")
+    result.log.write.parquet(f"{path}/changes")
+    log = result.log.sparkSession.read.schema(result.log.schema).parquet(f"{path}/changes")
     automatic = log.filter(F.col("origin") == "automatic").drop("origin")
+    skipped = result.notes.filter(F.col("first") & (F.col("outcome") == "skipped"))
     tables = {
         "quarantine": result.quarantine,
         "removed_rows": result.removed,
@@ -273,11 +291,10 @@ def write_result(result: Result, path: str, by_file: bool = False) -> None:
         "mapping": align.mapping_report(result.headers, result.mapping),
         "open_choices": align.open_choices(result.headers, result.mapping),
         "missing_columns": align.missing_report(result.positions, result.header_lists),
-        "changes": log,
         "stats": report.stats_all(log),
         "examples": report.review(automatic),
-        "errors": report.error_stats(validate.error_table(result.final)),
-        "skipped": report.skipped_list(result.final.filter(F.col("outcome") == "skipped")),
+        "errors": report.error_stats(report.noted_errors(result.notes)),
+        "skipped": report.skipped_list(skipped),
         "patch_conflicts": result.patch_conflicts,
         "export_decision": result.export_decision(),
         "summary": result.summary(),

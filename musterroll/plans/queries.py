@@ -724,7 +724,7 @@ query("stats_by_type")(lambda spark, sf: report.stats_by_type(_auto_log(spark, s
 query("stats_by_field")(lambda spark, sf: report.stats_by_field(_auto_log(spark, sf)))
 query("stats_all")(lambda spark, sf: report.stats_all(_auto_log(spark, sf)))
 query("error_stats")(lambda spark, sf: report.error_stats(validate.error_table(_checked(spark, sf))))
-query("summary")(lambda spark, sf: report.summary(_final(spark, sf)))
+query("summary")(lambda spark, sf: report.summary(report.tally(report.notes(_final(spark, sf)))))
 query("skipped_list")(lambda spark, sf: report.skipped_list(_final(spark, sf).filter("outcome = 'skipped'")))
 query("log_sorted")(lambda spark, sf: report.sorted_log(_auto_log(spark, sf)))
 query("manual_log_sorted")(lambda spark, sf: report.sorted_manual_log(report.change_log(_final(spark, sf), ("patched",))))
@@ -757,7 +757,7 @@ def missing_report(spark, sf):
 
 @query("export_decision")
 def export_decision(spark, sf):
-    return report.export_decision(_final(spark, sf), max_error_rate=0.5)
+    return report.export_decision(report.tally(report.notes(_final(spark, sf))), max_error_rate=0.5)
 
 
 @query("full_run")

@@ -15,7 +15,9 @@ CHUNK_BITS = 20
 # Wide projections over twenty fields make one whole-stage method larger than
 # the 8000 bytes of bytecode that the JVM will still compile to machine code.
 # Below that limit Spark falls back to projections split into small methods.
-SETTINGS = {"spark.sql.codegen.hugeMethodLimit": "8000"}
+# Tables that are partitioned by a few values are written with one open file
+# for each, so that wide rows are not sorted by those values first.
+SETTINGS = {"spark.sql.codegen.hugeMethodLimit": "8000", "spark.sql.maxConcurrentOutputFileWriters": "4"}
 
 _fallback_dirs: dict[str, str] = {}
 

@@ -174,6 +174,27 @@ def test_error_rate_holds_files_back(run):
     assert r.valid.count() == 2
 
 
+def test_reports_come_from_one_read_of_the_rows(run, spark):
+    f = lambda d: f"file://{d}/a.csv"
+    r = run(
+        {"a.csv": [HEAD, *ERRORS, *SPLIT, "a,b"], "b.csv": [HEAD, *GOOD]},
+        patches=lambda d: spark.createDataFrame([(f(d), 1, "phone_number", "07811000000")], KEY + ", field string, value string"),
+        skips=lambda d: spark.createDataFrame([(f(d), 5), (f(d), 7)], KEY),
+    )
+    as_rows = lambda df: sorted(map(str, df.collect()))
+    assert as_rows(r.automatic_log) == as_rows(report.change_log(r.final)) != []
+    assert as_rows(r.manual_log) == as_rows(report.change_log(r.final, ("patched",))) != []
+    assert as_rows(report.noted_errors(r.notes)) == as_rows(validate.error_table(r.final)) != []
+    assert r.notes.filter("first").count() == r.final.count() + r.widths.count() == 10
+    counts = {x.file[-5:]: (x["rows"], x.valid_rows, x.bad_rows, x.skipped, x.comma_repairs) for x in r.tally.collect()}
+    assert counts == {"a.csv": (8, 4, 2, 3, 2), "b.csv": (2, 2, 0, 0, 0)}
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for made in (r.log, report.noted_errors(r.notes), r.summary(), r.export_decision()):
+        assert "/final-" not in plan(made)
+    for kept in (r.valid, r.quarantine):  # the other outcomes are not opened
+        assert "PartitionFilters: [isnotnull(outcome" in plan(kept)
+
+
 def test_write_result_and_second_run(run, spark, tmp_path_factory):
     """A run without a valid row writes all reports; its answers make the next run write the file."""
     out = str(tmp_path_factory.mktemp("out"))
