@@ -5,10 +5,14 @@ layers: percent escapes, Unicode escapes, base64 tokens, and compressed data
 inside base64.  Each layer maps its spans to its parent's, so every find has a
 span in the text itself.
 
-All that a base64 token holds maps to the token's span, so a token gives the
-kinds that its layers have, at every place where it stands; equal tokens are
-opened once.  Within a token, and among the unescaped forms of the whole text,
-a layer that was seen before is not taken up again, so the worklist ends.
+Four characters of base64 are three bytes, so a find in a token has the span of
+the characters that encode it, through any number of nested layers.  What a
+token holds in compressed form has the token's span.
+
+A token is opened once, however often it stands in a text, and its finds are
+mapped to every place.  Cycles are told along a token's own chain of ancestors:
+a token that turns up inside itself is not opened again.  Among the unescaped
+forms of one text, a form that was seen before is not taken up again.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ from bisect import bisect_right
 from collections.abc import Callable, Generator, Iterator
 from dataclasses import dataclass
 from itertools import chain
+from operator import itemgetter
 
 import pyarrow as pa
 import zstandard
@@ -45,6 +50,7 @@ _WORDS = ("passw", "secret", "token", "api")
 
 Span = tuple[int, int]
 Find = tuple[int, int, int]  # start, kind, end
+Held = tuple[int, int, int, int]  # and the hash of the decompressed text that has it, 0 without such
 
 
 def base_finds(text: str) -> list[Find]:
@@ -85,7 +91,7 @@ class Settings:
 
 @dataclass
 class Layer:
-    """An unescaped form of the whole text."""
+    """An unescaped form of a whole text."""
 
     text: str
     parent: Layer | None = None
@@ -253,17 +259,45 @@ _PRINTED = re.compile(rb"[\t-\r -~]{12}")
 _WIDE = re.compile(rb"(?:[\t-\r -~]\0){11,}[\t-\r -~]?")
 
 
-def _texts(data: bytes) -> Iterator[str]:
-    """Data as UTF-8, and its runs of UTF-16.
+_BROKEN_BYTE = re.compile("[\udc80-\udcff]")
 
-    Bytes that are no text are U+FFFD.  Data with such bytes or with control
-    characters has a text only if it has a run that is long enough for a find.
+
+class _Utf8:
+    """Places of a text's characters among its bytes."""
+
+    step = 1024
+
+    def __init__(self, text: str):
+        self.text, self.plain = text, text.isascii()
+        self.marks: list[int] = []  # bytes before every ``step``-th character
+
+    def _bytes(self, low: int, high: int) -> int:
+        return len(self.text[low:high].encode("utf-8", "surrogateescape"))
+
+    def __call__(self, place: int) -> int:
+        if self.plain:
+            return place
+        if not self.marks:
+            self.marks.append(0)
+            for low in range(0, len(self.text), self.step):
+                self.marks.append(self.marks[-1] + self._bytes(low, low + self.step))
+        whole = place // self.step
+        return self.marks[whole] + self._bytes(whole * self.step, place)
+
+
+def _texts(data: bytes) -> Iterator[tuple[str, Callable[[int], int]]]:
+    """Data as UTF-8, and its runs of UTF-16, each with the places of its characters among the bytes.
+
+    Bytes that are no text are lone surrogates.  Data with such bytes or with
+    control characters has a text only if it has a run that is long enough for
+    a find.
     """
-    text = data.decode("utf-8", "replace")
-    if "\ufffd" not in text and not _CONTROL.search(text) or _PRINTED.search(data):
-        yield text
+    text = data.decode("utf-8", "surrogateescape")
+    if _PRINTED.search(data) or not _CONTROL.search(text) and (text.isascii() or not _BROKEN_BYTE.search(text)):
+        yield text, _Utf8(text)
     if b"\0" in data:
-        yield from (m.group()[::2].decode("ascii") for m in _WIDE.finditer(data))
+        for m in _WIDE.finditer(data):
+            yield m.group()[::2].decode("ascii"), lambda place, at=m.start(): min(at + 2 * place, len(data))
 
 
 def _from_base64(token: str) -> bytes | None:
@@ -283,8 +317,11 @@ def _unescaped_forms(text: str) -> Iterator[tuple[str, Callable[[int, int], Span
             yield found
 
 
-def _tokens_in(text: str) -> Iterator[list[tuple[int, int, str]]]:
-    """Spans that may be base64 with their characters, each with those inside it after it."""
+Lines = list[tuple[int, int]]  # where a token's lines start in it and in the text
+
+
+def _tokens_in(text: str) -> Iterator[list[tuple[str, Lines]]]:
+    """What may be base64 with its lines, each with the parts of it after it."""
     for m in _BASE64.finditer(text):
         pieces = [m.span()]
         if _BREAKS.search(m.group()):  # a path or a name may stand before the token
@@ -292,14 +329,23 @@ def _tokens_in(text: str) -> Iterator[list[tuple[int, int, str]]]:
             for part in _BREAKS.split(m.group()):
                 pieces.append((at, at + len(part)))
                 at += len(part) + 1
-        yield [(a, b, text[a:b]) for a, b in pieces if b - a >= 16]
+        yield [(text[a:b], [(0, a)]) for a, b in pieces if b - a >= 16]
     if "\n" in text:
         for m in _WRAPPED.finditer(text):
             lines = [(m.start() + line.start(), m.start() + line.end()) for line in _LINE.finditer(m.group())]
             for first, last in _blocks([b - a for a, b in lines]):
-                joined = "".join(text[a:b] for a, b in lines[first : last + 1])
-                if len(joined) >= 16:
-                    yield [(lines[first][0], lines[last][1], joined)]
+                starts, length = [], 0
+                for a, b in lines[first : last + 1]:
+                    starts.append((length, a))
+                    length += b - a
+                if length >= 16:
+                    yield [("".join(text[a:b] for a, b in lines[first : last + 1]), starts)]
+
+
+def _in_text(lines: Lines, start: int, end: int) -> Span:
+    """A span of a token in the text where it stands."""
+    first, last = (bisect_right(lines, at, key=itemgetter(0)) - 1 for at in (start, end - 1))
+    return lines[first][1] + start - lines[first][0], lines[last][1] + end - lines[last][0]
 
 
 def _blocks(widths: list[int]) -> Iterator[tuple[int, int]]:
@@ -327,66 +373,111 @@ def _blocks(widths: list[int]) -> Iterator[tuple[int, int]]:
 
 
 class _Document:
-    """What the tokens of one document hold."""
+    """What the layers of one document hold.
+
+    ``scan`` and ``_open`` hand out the tokens that they meet and are given what
+    those hold, so that nesting of any depth needs no recursion.
+    """
 
     def __init__(self, settings: Settings):
         self.settings, self.cut, self.room = settings, False, settings.opened
         self.layers: set[int] = set()  # hashes of the layers' texts
-        self.opened: dict[str, frozenset[tuple[int, int]]] = {}  # by token
+        self.opened: dict[str, frozenset[Held]] = {}  # finds by token; only spares work
+        self.held = 0  # characters of these tokens
+
+    def finds(self, text: str) -> set[Held]:
+        """Finds of a text's layers, less those of the text itself."""
+        scans, tokens, answer = [self.scan(text, False)], [""], None
+        depth: dict[str, int] = {}  # of the tokens that are being opened
+        lows = [0]  # the outermost token that a scan met again inside itself
+        while True:
+            try:
+                token = scans[-1].send(answer)
+            except StopIteration as done:
+                if len(scans) == 1:
+                    return done.value
+                scans.pop()
+                token, low, answer = tokens.pop(), lows.pop(), frozenset(done.value)
+                del depth[token]
+                if low < len(scans):  # not all that the token holds is known yet
+                    lows[-1] = min(lows[-1], low)
+                else:
+                    self._keep(token, answer)
+                continue
+            answer = self.opened.get(token)
+            if answer is None and token in depth:
+                lows[-1] = min(lows[-1], depth[token])
+                answer = frozenset()
+            elif answer is None:
+                if len(scans) == 1:
+                    self.room = self.settings.opened
+                depth[token] = len(scans)
+                lows.append(len(scans))
+                tokens.append(token)
+                scans.append(self._open(token))
+
+    def _keep(self, token: str, found: frozenset[Held]) -> None:
+        self.held += len(token)
+        if self.held > self.settings.inflated:
+            self.opened.clear()
+            self.held = len(token)
+        self.opened[token] = found
+
+    def scan(self, text: str, decoded: bool) -> Generator[str, frozenset[Held], set[Held]]:
+        """Finds of a text's unescaped forms and tokens, and of the text itself where it was decoded."""
+        found: set[Held] = set()
+        seen, work = {hash(text)}, [Layer(text)]
+        while work:
+            layer = work.pop()
+            if decoded or layer.parent:
+                found.update((*layer.found(*find), 0) for find in base_finds(layer.text))
+            for parts in _tokens_in(layer.text):
+                known: set[tuple[int, int]] = set()  # a part may decompress to what the whole does
+                for token, lines in parts:
+                    held = yield token
+                    for start, kind, end, source in held:
+                        if (kind, source) not in known:
+                            start, end = _in_text(lines, start, end)
+                            found.add((*layer.found(start, kind, end), source))
+                    known.update((kind, source) for _, kind, _, source in held if source)
+            for plain, back in _unescaped_forms(layer.text):
+                if hash(plain) not in seen:
+                    seen.add(hash(plain))
+                    work.append(Layer(plain, layer, back))
+        self.layers |= seen
+        return found
 
-    def opened_tokens(self, text: str) -> Iterator[Find]:
-        """Tokens of a text with each kind that their layers have.
+    def _open(self, token: str) -> Generator[str, frozenset[Held], set[Held]]:
+        """Finds of what a token encodes, by its characters.
 
-        A part of a token counts for the layers that the whole doesn't have.
+        A long layer is scanned in windows, and those that are equal once.
         """
-        for spans in _tokens_in(text):
-            known: set[tuple[int, int]] = set()
-            for a, b, token in spans:
-                found = self.found_in(token)
-                yield from ((a, kind, b) for kind in {kind for _, kind in found - known})
-                known |= found
-
-    def found_in(self, token: str) -> frozenset[tuple[int, int]]:
-        """The token's layers that have secrets, each with their kinds."""
-        if token not in self.opened:
-            found: set[tuple[int, int]] = set()
-            seen: set[int] = set()
-            self.room = self.settings.opened
-            work = [self._decoded(token)]
-            while work:
-                text = next(work[-1], None)
-                if text is None:
-                    work.pop()
-                elif (name := hash(text)) not in seen:
-                    seen.add(name)
-                    found.update((name, kind) for _, kind, _ in base_finds(text))
-                    work.append(self._inner(text, found))
-            self.layers |= seen
-            self.opened[token] = frozenset(found)
-        return self.opened[token]
-
-    def _inner(self, text: str, found: set[tuple[int, int]]) -> Iterator[str]:
-        """Layers that a token's layer encodes; what is known of a token is added to ``found``."""
-        yield from (plain for plain, _ in _unescaped_forms(text))
-        for _, _, token in chain.from_iterable(_tokens_in(text)):
-            if token in self.opened:
-                found |= self.opened[token]
-            else:
-                yield from self._decoded(token)
-
-    def _decoded(self, token: str) -> Iterator[str]:
-        """Texts that a token encodes: one, or one for each window of a long one."""
+        found: set[Held] = set()
         data = _from_base64(token)
         if data is None:
-            return
+            return found
+        seen: set[int] = set()
         try:
-            for part in self._plain(data):
-                yield from (text for text in _texts(part) if len(text) >= self.settings.shortest)
+            for part, exact in self._plain(data):
+                for text, place in _texts(part):
+                    if len(text) < self.settings.shortest or not exact and hash(text) in seen:
+                        continue
+                    seen.add(hash(text))
+                    for start, kind, end, source in (yield from self.scan(text, True)):
+                        if exact:
+                            low, high = place(start), place(end)
+                            found.add((low * 8 // 6, kind, len(token) if high == len(data) else -(-high * 8 // 6), source))
+                        else:
+                            found.add((0, kind, len(token), hash(text)))
         except TooLarge:
             self.cut = True
+        return found
 
-    def _plain(self, data: bytes) -> Iterator[bytes]:
-        """Windows of data that is decompressed as often as its first bytes name a format."""
+    def _plain(self, data: bytes) -> Iterator[tuple[bytes, bool]]:
+        """Data as it is, or windows of it decompressed as often as the first bytes name a format.
+
+        Each comes with whether it is the data as it is.
+        """
         seen, pieces = {data}, iter([data])
         head = data
         while _format(head):
@@ -398,9 +489,12 @@ class _Document:
             if head in seen:  # data that decompresses to itself, or is none of the formats
                 break
             seen.add(head)
-        for part, through in _windows(pieces, self.settings.inflated) if head is not data else [(data, False)]:
+        if head == data:
+            yield data, True
+            return
+        for part, through in _windows(pieces, self.settings.inflated):
             self.cut |= through
-            yield part
+            yield part, False
 
     def _charged(self, pieces: Iterator[bytes]) -> Iterator[bytes]:
         for piece in pieces:
@@ -413,25 +507,14 @@ class _Document:
 def all_finds(text: str, settings: Settings = Settings()) -> tuple[list[Find], list[Find], int, bool]:
     """Base finds, all finds, the number of different layers, and whether a layer was too large to open.
 
-    Finds of decoded layers have the span of the text that encodes them.  The
-    windows of a long text or layer count as layers.
+    Finds of decoded layers have the span of the characters that encode them.
+    The windows of a long text or layer count as layers.
     """
     base = base_finds(text)
     every = set(base)
     document = _Document(settings)
     for offset, part in _text_windows(text, settings.window):
-        document.layers.add(hash(part))
-        seen, work = {hash(part)}, [Layer(part)]
-        while work:
-            layer = work.pop()
-            finds = base_finds(layer.text) if layer.parent else []
-            for start, kind, end in (layer.found(*find) for find in chain(finds, document.opened_tokens(layer.text))):
-                every.add((start + offset, kind, end + offset))
-            for plain, back in _unescaped_forms(layer.text):
-                if hash(plain) not in seen:
-                    seen.add(hash(plain))
-                    work.append(Layer(plain, layer, back))
-        document.layers |= seen
+        every.update((start + offset, kind, end + offset) for start, kind, end, _ in document.finds(part))
     return base, sorted(every), len(document.layers), document.cut
 
 

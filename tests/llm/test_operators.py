@@ -429,11 +429,12 @@ def test_equal_layers_are_found_at_every_place():
     for packed in (b64(b"password = hunter2222"), b64(gzip.compress(b"password = hunter2222"))):
         escaped = "".join(f"%{ord(c):02x}" for c in packed)
         outer = [b64(f"{k} outer {packed} token".encode()) for k in range(2)]
-        places = [packed, packed, escaped, *outer]
+        inside = (8 * 8 // 6, -(-(8 + len(packed)) * 8 // 6))  # of the outer token's characters
         text, want = "", set()
-        for place in places:
+        for place in (packed, packed, escaped, *outer):
             text += " and then "
-            want.add((len(text), 0, len(text) + len(place)))
+            low, high = inside if place in outer else (0, len(place))
+            want.add((len(text) + low, 0, len(text) + high))
             text += place
         _, every, _, cut = secrets.all_finds(text)
         assert set(every) == want and not cut
@@ -491,10 +492,14 @@ def test_wrapped_binary_and_joined_forms():
     datas = [secret.decode().encode(e) for e in ("utf-16", "utf-16-le", "utf-16-be")] + [b"\xff\x00" + secret, gzip.compress(tar.getvalue()), tar.getvalue()]
     datas += [p(b"first") + p(secret) for p in (gzip.compress, bz2.compress, lzma.compress, zlib.compress, zstandard.compress)]
     datas += [gzip.compress(b"first") + bytes(512) + bz2.compress(secret), gzip.compress(b"first") + secret, b"x^2 and " + secret]
+    packed = [p(b"")[:2] for p in (gzip.compress, bz2.compress, lzma.compress, zlib.compress, zstandard.compress)]
     for data in datas:
         token = base64.b64encode(data).decode()
         _, every, _, cut = secrets.all_finds("see " + token + " here")
-        assert (4, 0, 4 + len(token)) in every and not cut, data
+        at, end = 0, len(token)
+        if data[:2] not in packed:  # compressed data has the token's span
+            at, end = re.search(rb"p\0?a\0?s", data).start(), -(-(data.rfind(b"2") + 1) * 8 // 6)
+        assert any(a == 4 + at * 8 // 6 and k == 0 and abs(b - 4 - end) <= 3 for a, k, b in every) and not cut, data
     for data in (long, gzip.compress(long)):
         for width in (60, 64, 76):
             token = base64.b64encode(data).decode()
@@ -502,13 +507,60 @@ def test_wrapped_binary_and_joined_forms():
             for head, brk, tail in (("see:\n", "\n", "\nend of it"), ("-----BEGIN CERTIFICATE-----\n", "\r\n", "\r\n-----END CERTIFICATE-----"), ("key: |\n  ", "\n  ", "\n")):
                 text = head + brk.join(rows) + tail
                 _, every, _, cut = secrets.all_finds(text)
-                assert not cut and any(k == 0 and a == len(head) and b >= len(text) - len(tail) for a, k, b in every)
+                low, high = (long.find(secret) * 8 // 6, -(-(long.find(secret) + len(secret)) * 8 // 6)) if data is long else (0, len(token))
+                place = lambda at: len(head) + at + at // width * len(brk)
+                assert not cut and (place(low), 0, place(high - 1) + 1) in every
     for at in range(len(long) - 60):  # wherever the wrap falls
         token = base64.b64encode(b"q" * (at % 60) + secret).decode()
         text = "\n".join(token[k : k + 20] for k in range(0, len(token), 20))
         assert any(k == 0 for _, k, _ in secrets.all_finds("see:\n" + text + "\n\nend")[1])
 
 
+def test_every_secret_of_a_token_has_its_own_span():
+    """Spans against a plain version, which carries the place of every byte through the layers."""
+    import base64
+    import gzip
+
+    rng = random.Random(8)
+    kinds = ["password = hunter%04d", "AKIA%016d", "api_key: 'k3y-of-%05d", "é token=ŝ", "%040x"]
+
+    def plain_layer(depth):
+        """A text, and the spans of its secrets."""
+        text, spans = "", set()
+        for _ in range(rng.randint(1, 5)):
+            text += rng.choice([" so ", " ünd ", ", ", " ∞ ", "\n"])
+            kind = rng.randrange(5 if depth == 3 else 6)
+            if kind < 5:
+                part = kinds[kind] % rng.randrange(9999) if "%" in kinds[kind] else kinds[kind]
+                for a, k, b in secrets.base_finds(part):
+                    spans.add((len(text) + a, k, len(text) + b))
+            else:
+                inner, held = plain_layer(depth + 1)
+                data = inner.encode()
+                part = base64.b64encode(data).decode()
+                for a, k, b in held:
+                    low, high = len(inner[:a].encode()), len(inner[:b].encode())
+                    end = len(part) if high == len(data) else -(-high * 8 // 6)
+                    spans.add((len(text) + low * 8 // 6, k, len(text) + end))
+            text += part + ";"
+        return text, spans
+
+    nested = 0
+    for _ in range(400):
+        text, want = plain_layer(0)
+        _, every, _, cut = secrets.all_finds(text)
+        assert want <= set(every) and not cut, text
+        nested += len(want) - len(secrets.base_finds(text))
+    assert nested > 100
+    three = b"password = hunter2222; token: abcdefgh99, and secret=zzzzzzzz1"
+    token = base64.b64encode(three).decode()
+    assert [f[1] for f in secrets.all_finds(token)[1]] == [0, 0, 0]
+    deep = three
+    for k in range(400):  # far deeper than the interpreter's stack
+        deep = base64.b64encode(gzip.compress(deep, 9))
+    assert secrets.all_finds(deep.decode())[1] == [(0, 0, len(deep))]
+
+
 def test_secret_rows(docs, nothing):
     assert secrets.scan(docs).count() == len(ROWS) and secrets.scan(nothing).collect() == []
 
