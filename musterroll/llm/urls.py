@@ -1,7 +1,9 @@
 """URL filter: rules by host and path, and a linear model on hashed character n-grams for the rest.
 
 DataFrame and SQL functions only; the model is the library's own logistic
-regression, which is fitted on a bounded sample of labelled URLs.
+regression, which is fitted on a bounded sample of labelled URLs.  The hosts of
+a part of the sample are kept out of the fit, and the probability from which a
+URL is blocked is the lowest that is precise enough on them.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from musterroll.llm.common import ascii_lower
+from musterroll.runtime import written
 
 ALLOW, BLOCK = "allow", "block"
 
@@ -81,7 +84,20 @@ class Settings:
     sample: int = 20_000  # labelled URLs the model is fitted on, at most
     iterations: int = 30
     penalty: float = 1e-3
-    threshold: float = 0.5  # probability from which a URL is blocked
+    held_out: int = 5  # one host in so many is kept out of the fit
+    cuts: tuple[float, ...] = (0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.99)  # probabilities from which a URL may be blocked
+    precision: float = 0.95  # share of the held-out URLs blocked that are rightly so
+
+
+@dataclass(frozen=True)
+class Fitted:
+    """A model with its cut, and what it did with the hosts that it was not fitted on."""
+
+    model: LogisticRegressionModel
+    cut: float
+    n_held_out: int = 0
+    precision: float | None = None  # None where nothing held out was blocked
+    recall: float | None = None
 
 
 def _marked(grams: str, mark: str) -> Column:
@@ -107,28 +123,72 @@ def _with_features(parts: DataFrame, settings: Settings) -> DataFrame:
     return HashingTF(numFeatures=settings.features, binary=True, inputCol="grams", outputCol="features").transform(out)
 
 
-def fit(labelled: DataFrame, settings: Settings = Settings()) -> LogisticRegressionModel | None:
-    """Model from ``host, path, label`` (1 for block); None without any labelled row.
+def sampled(labelled: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """The labelled rows with the smallest hashes of host and path, one for each host and path.
 
-    The sample is the rows with the smallest hashes of host and path, one row
-    per host and path, so that it doesn't depend on how rows are dealt out and
-    a host with many copies of a URL weighs no more than others.
+    So the sample doesn't depend on how rows are dealt out, and a host with many
+    copies of a URL weighs no more than others; a URL with both labels is to be
+    blocked.  An estimate of the number of URLs gives a bound of the hashes that
+    are needed, and no other row is shuffled.  Should the estimate have been too
+    low, all rows are.
     """
-    rows = labelled.groupBy("host", "path").agg(F.max("label").cast("double").alias("label"))
-    sample = rows.orderBy(F.xxhash64("host", "path"), "host", "path").limit(settings.sample)
-    ready = _with_features(sample, settings).select("features", "label")
-    if ready.isEmpty():
-        return None
-    learner = LogisticRegression(maxIter=settings.iterations, regParam=settings.penalty, standardization=False)
-    return learner.fit(ready)
+    keyed = labelled.select("host", "path", F.col("label").cast("double").alias("label"), F.xxhash64("host", "path").alias("at"))
+    urls = keyed.agg(F.approx_count_distinct("at")).first()[0]
+    share = 2 * settings.sample / max(urls, 1)
 
+    def smallest(rows: DataFrame) -> DataFrame:
+        each = rows.groupBy("host", "path").agg(F.max("label").alias("label"), F.first("at").alias("at"))
+        return written(each.orderBy("at", "host", "path").limit(settings.sample), "url-sample")
 
-def blocked_share(parts: DataFrame, model: LogisticRegressionModel | None, settings: Settings = Settings()) -> DataFrame:
+    if share >= 1:
+        return smallest(keyed)
+    sample = smallest(keyed.filter(F.col("at") <= int(share * (1 << 64)) - (1 << 63)))
+    return sample if sample.count() == settings.sample else smallest(keyed)
+
+
+def fit(labelled: DataFrame, settings: Settings = Settings()) -> Fitted | None:
+    """Model from ``host, path, label`` (1 for block); None without any labelled row.
+
+    Both labels weigh the same in the fit, however rare one is.  Where the hosts
+    that are not held out lack a label, all are used, nothing is measured, and
+    the lowest cut is taken.
+    """
+    held = F.pmod(F.xxhash64(F.lit("held out"), "host"), F.lit(settings.held_out)) == 0
+    sample = sampled(labelled, settings).withColumn("held", held)
+    counts = {(r.held, r.label): r["count"] for r in sample.groupBy("held", "label").count().collect()}
+    if not counts:
+        return None
+    measured = all(counts.get((False, label)) for _, label in counts)
+    used = {label: sum(n for (out, other), n in counts.items() if other == label and not (measured and out)) for _, label in counts}
+    weight = F.lit(0.0)
+    for label, n in used.items():
+        weight = F.when(F.col("label") == label, sum(used.values()) / len(used) / n).otherwise(weight)
+    seen = sample.filter(~F.col("held")) if measured else sample
+    ready = _with_features(seen.withColumn("weight", weight), settings).select("features", "label", "weight")
+    learner = LogisticRegression(maxIter=settings.iterations, regParam=settings.penalty, standardization=False, weightCol="weight")
+    model = learner.fit(ready)
+    return _with_cut(model, sample.filter("held"), settings) if measured else Fitted(model, settings.cuts[0])
+
+
+def _with_cut(model: LogisticRegressionModel, held: DataFrame, settings: Settings) -> Fitted:
+    """The lowest cut that is precise enough on URLs of other hosts, else the highest."""
+    scored = blocked_share(held, Fitted(model, settings.cuts[0]), settings)
+    bad = F.col("label") == 1
+    counts = [[F.count_if(F.col("score") >= c), F.count_if((F.col("score") >= c) & bad)] for c in settings.cuts]
+    n, n_bad, *found = scored.agg(F.count("*"), F.count_if(bad), *[c for pair in counts for c in pair]).first()
+    blocked, right = found[::2], found[1::2]
+    good = [i for i, b in enumerate(blocked) if b and right[i] / b >= settings.precision]
+    best = good[0] if good else len(blocked) - 1 if any(blocked) else 0
+    precision = right[best] / blocked[best] if blocked[best] else None
+    return Fitted(model, settings.cuts[best], n, precision, right[best] / n_bad if n_bad else None)
+
+
+def blocked_share(parts: DataFrame, fitted: Fitted | None, settings: Settings = Settings()) -> DataFrame:
     """Adds ``score``, the model's probability of block; 0 without a model."""
-    if model is None:
+    if fitted is None:
         return parts.withColumn("score", F.lit(0.0))
     kept = parts.columns
-    scored = model.transform(_with_features(parts, settings))
+    scored = fitted.model.transform(_with_features(parts, settings))
     chance = F.get(vector_to_array("probability"), F.lit(1))
     return scored.select(*kept, F.coalesce(chance, F.lit(0.0)).alias("score"))
 
@@ -137,7 +197,11 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, settings: Settings
     """Verdict on every page's URL: the rule's, else the model's.
 
     Without ``labelled`` (``url, label``, where 1 is block) the URLs that a
-    rule decides serve as the labelled table.  Null and broken URLs have an
+    rule decides serve as the labelled table; a model of these knows no more
+    than the rules, so give a table of your own where there is one.  ``cut`` is
+    the score from which the model blocks, and ``held_out_precision`` the share
+    of URLs rightly blocked among the labelled ones that it was not fitted on
+    (null where none was blocked).  Null and broken URLs have an
     empty host and path and go to the model; rows with equal ids are judged one
     by one.  If there is nothing to learn from, every other URL is allowed.
     """
@@ -148,8 +212,10 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, settings: Settings
     else:
         host, path = host_and_path(F.col("url"))
         known = labelled.filter(F.col("label").isNotNull()).select(host.alias("host"), path.alias("path"), "label")
-    scored = blocked_share(parts, fit(known, settings), settings)
-    learnt = F.when(F.col("score") >= settings.threshold, BLOCK).otherwise(ALLOW)
+    fitted = fit(known, settings)
+    scored = blocked_share(parts, fitted, settings)
+    cut = fitted.cut if fitted else settings.cuts[0]
+    learnt = F.when(F.col("score") >= cut, BLOCK).otherwise(ALLOW)
     return scored.select(
         "page_id",
         "host",
@@ -157,4 +223,6 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, settings: Settings
         F.col("by_rule.rule").alias("rule"),
         F.coalesce(F.col("by_rule.verdict"), learnt).alias("verdict"),
         "score",
+        F.lit(cut).alias("cut"),
+        F.lit(fitted and fitted.precision).cast("double").alias("held_out_precision"),
     )

@@ -380,6 +380,56 @@ def test_url_model_on_held_out_urls(spark):
     assert urls.judge(spark.createDataFrame(held[:2], "page_id bigint, url string"), rules=(), labelled=labelled.limit(0)).collect()[0].verdict == "allow"
 
 
+def test_url_cut_is_the_lowest_that_held_out_hosts_bear(spark):
+    rng = random.Random(5)
+    row = lambda kind: (f"{kind}{rng.randint(0, 400)}.{'top' if kind == 'win' else 'org'}", f"/{'bonus' if rng.random() < 0.8 else 'wiki'}/{rng.randint(0, 999)}")
+    rows = [(*row("win"), int(rng.random() < 0.8)) for _ in range(300)] + [(*row("lib"), int(rng.random() < 0.03)) for _ in range(1200)]
+    labelled = spark.createDataFrame([r for r in rows for _ in range(rng.choice([1, 1, 30]))], "host string, path string, label int")
+    settings = urls.Settings(precision=0.6)
+    fitted = urls.fit(labelled, settings)
+    held = labelled.groupBy("host", "path").agg(F.max("label").alias("label")).filter(F.pmod(F.xxhash64(F.lit("held out"), "host"), F.lit(5)) == 0)
+    scored = urls.blocked_share(held, fitted, settings).collect()
+    precise = {}
+    for cut in settings.cuts:
+        blocked = [r.label for r in scored if r.score >= cut]
+        precise[cut] = sum(blocked) / len(blocked) if blocked else 0
+    assert fitted.n_held_out == len(scored) > 100 and fitted.precision == precise[fitted.cut] >= 0.6
+    assert all(p < 0.6 for cut, p in precise.items() if cut < fitted.cut)
+    assert urls.fit(labelled.filter("label = 1"), settings).cut == settings.cuts[0]  # nothing to tell apart
+    alone = urls.fit(labelled.filter("label = 0").union(labelled.filter("label = 1").withColumn("host", F.lit("y.top"))), settings)
+    assert alone.cut in settings.cuts  # the only bad host may be the one held out
+    few = urls.Settings(sample=50)
+    want = sorted((r.at, r.host, r.path) for r in labelled.select("host", "path", F.xxhash64("host", "path").alias("at")).distinct().collect())[:50]
+    assert [(r.at, r.host, r.path) for r in urls.sampled(labelled, few).orderBy("at").collect()] == want
+
+
+URL_SQL = """
+with cut as (select page_id, instr(url, '://') as place, url from pages),
+rest as (select page_id, case when place > 0 then substr(url, place + 3) else '' end as u from cut),
+parts as (select page_id, regexp_extract(u, '^[^/?#]*') as h, regexp_extract(u, '^[^/?#]*([^?#]*)', 1) as path from rest),
+low as (select page_id, translate(coalesce(h, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, coalesce(path, '') as path from parts),
+rules(h, p) as (values ('com', '/'), ('example.com', '/en/'), ('www.example.com', '/en/'), ('net', '/es/'), ('net', '/fr/')),
+fits as (select page_id, arg_max(h || p, length(h || p)) as rule from low, rules
+         where (host = h or ends_with(host, '.' || h)) and starts_with(path, p) group by page_id)
+select page_id, host, path, rule from low left join fits using (page_id)
+"""
+
+
+def test_url_parts_and_rules_against_sql(spark, tmp_path):
+    import duckdb
+
+    rng = random.Random(6)
+    hosts = ["example.com", "WWW.Example.com", "a.example.com", "notexample.com", "b.net", "net", "x.org", "com", "É.net", ""]
+    paths = ["", "/", "/en/", "/en", "/es/1", "/fr/?q", "/EN/", "?x=/en/", "#/en/", "/en/a://b"]
+    made = [f"{rng.choice(['http', 'x', ''])}{rng.choice(['://', '://', ':/'])}{rng.choice(hosts)}{rng.choice(paths)}" for _ in range(2000)] + [None, ""]
+    spark.createDataFrame(list(enumerate(made)), "page_id bigint, url string").coalesce(1).write.parquet(str(tmp_path / "pages"))
+    with duckdb.connect() as con:
+        con.execute(f"create view pages as select * from '{tmp_path}/pages/*.parquet'")
+        want = {r[0]: r[1:] for r in con.execute(URL_SQL).fetchall()}
+    got = urls.judge(spark.read.parquet(str(tmp_path / "pages"))).collect()
+    assert {r.page_id: (r.host, r.path, r.rule) for r in got} == want and len(got) == len(made)
+
+
 # --- secrets ---------------------------------------------------------------------
 
 
