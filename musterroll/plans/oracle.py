@@ -539,6 +539,7 @@ QUERIES: dict[str, str] = {
     "(SELECT file, count(*) AS rows, count(*) FILTER (outcome = 'valid') AS valid_rows, count(*) FILTER (outcome = 'quarantine') AS bad_rows, CAST(sum(nf + np) AS BIGINT) AS total_changes FROM cnt GROUP BY file) t",
 }
 
+QUERIES["second_run"] = QUERIES["full_run"]
 QUERIES["row_accounting"] = "SELECT file, count(*) AS rows FROM cells GROUP BY file"
 QUERIES["summary_ragged"] = (
     "SELECT (SELECT count(*) FROM rd) AS rows, (SELECT count(*) FROM rd WHERE c IS NULL) AS skipped, "

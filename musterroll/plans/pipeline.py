@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass, field, replace
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +47,19 @@ class Answers:
     skips: DataFrame | None = None  # file, row_idx
 
 
+# What names the question that a row of each table answers.
+ASKED = {
+    "ranges": ["file"],
+    "mapping_decisions": ["file"],
+    "mappings": ["file", "header"],
+    "defaults": ["file", "field"],
+    "medical": KEY,
+    "decisions": [*KEY, "field"],
+    "patches": [*KEY, "field"],
+    "skips": KEY,
+}
+
+
 @dataclass(frozen=True)
 class Result:
     final: DataFrame  # every row of the right width, with errors, changes and outcome
@@ -59,6 +73,8 @@ class Result:
     cells: DataFrame
     header_lists: DataFrame
     answers: Answers
+    plan: DataFrame  # per file: bounds, positions and what it lacks
+    redone: DataFrame | None = None  # files of which a later run worked out something again
 
     @property
     def valid(self) -> DataFrame:
@@ -180,6 +196,38 @@ def _logged_merge(final: DataFrame) -> DataFrame:
     return final.withColumn("patched", F.concat(merge, F.col("patched"))).drop("_merged")
 
 
+def _rows_done(cells: DataFrame, plan: DataFrame, options: Options, answers: Answers) -> tuple[DataFrame, DataFrame]:
+    """Rows of the right width with their outcome, and those of a wrong width; no row looks at another."""
+    usable = plan.filter(F.col("unfilled").isNull()).drop("unfilled", "defaulted")
+    data = with_file_facts(cells, usable, "end_idx").filter(
+        (F.col("row_idx") > F.col("header_idx")) & (F.col("row_idx") <= F.col("last_idx"))
+    )
+    # A sheet's rows are all as wide as the sheet, so only text files have a width to keep.
+    contract_width = F.when(F.col("file").rlike(r"(?i)\.xlsx?\z"), F.col("width")).otherwise(F.lit(WIDTH))
+    mended = ragged.repair(
+        data,
+        F.col("width") if options.expected_width == "header" else contract_width,
+        options.guard,
+        answers.medical,
+        F.col("p_medical_conditions"),
+        F.col("p_date_of_birth"),
+        F.col("p_address1"),
+    )
+    rows = ragged.repaired_rows(mended).withColumnRenamed("suggestion", "_merged")
+    positions_kept = [c for c in usable.columns if c.startswith("p_")]
+    fields = rows.select(*KEY, "repaired_by", "_merged", *positions_kept, *[F.get("cells", F.col(f"p_{n}")).alias(n) for n in NAMES])
+    fields = align.with_missing_defaults(fields, options.overrides).drop(*positions_kept)
+    checked = written(
+        validate.validate_table(
+            normalize.normalize_table(fields, options.iso_dayfirst), options.overrides, options.iso_dayfirst, normalized=True
+        ),
+        "checked",
+    )
+    # By outcome, so that what is written and what is kept back are together one read.
+    final = written(_logged_merge(apply_answers(checked, options, answers)), "final", ["outcome"])
+    return final, written(ragged.width_quarantine(mended).select(*KEY, "reason", "cells", "suggestion"), "widths")
+
+
 def clean_cells(cells: DataFrame, options: Options = Options(), answers: Answers = Answers()) -> Result:
     """Run all stages on ``file, row_idx, cells``.
 
@@ -215,35 +263,10 @@ def clean_cells(cells: DataFrame, options: Options = Options(), answers: Answers
     reason = F.when(bare, folder.NO_DATA).otherwise(F.concat(F.lit("Missing mandatory field: "), F.col("unfilled")))
     rejected = plan.filter(F.col("unfilled").isNotNull() | bare).select("file", reason.alias("reason"))
 
-    usable = plan.filter(F.col("unfilled").isNull()).drop("unfilled", "defaulted")
-    data = with_file_facts(cells, usable, "end_idx").filter(
-        (F.col("row_idx") > F.col("header_idx")) & (F.col("row_idx") <= F.col("last_idx"))
-    )
-    # A sheet's rows are all as wide as the sheet, so only text files have a width to keep.
-    contract_width = F.when(F.col("file").rlike(r"(?i)\.xlsx?\z"), F.col("width")).otherwise(F.lit(WIDTH))
-    mended = ragged.repair(
-        data,
-        F.col("width") if options.expected_width == "header" else contract_width,
-        options.guard,
-        answers.medical,
-        F.col("p_medical_conditions"),
-        F.col("p_date_of_birth"),
-        F.col("p_address1"),
-    )
-    rows = ragged.repaired_rows(mended).withColumnRenamed("suggestion", "_merged")
-    positions_kept = [c for c in usable.columns if c.startswith("p_")]
-    fields = rows.select(*KEY, "repaired_by", "_merged", *positions_kept, *[F.get("cells", F.col(f"p_{n}")).alias(n) for n in NAMES])
-    fields = align.with_missing_defaults(fields, options.overrides).drop(*positions_kept)
-    checked = written(
-        validate.validate_table(
-            normalize.normalize_table(fields, options.iso_dayfirst), options.overrides, options.iso_dayfirst, normalized=True
-        ),
-        "checked",
-    )
+    final, widths = _rows_done(cells, plan, options, answers)
     return Result(
-        # By outcome, so that what is written and what is kept back are together one read.
-        final=written(_logged_merge(apply_answers(checked, options, answers)), "final", ["outcome"]),
-        widths=written(ragged.width_quarantine(mended).select(*KEY, "reason", "cells", "suggestion"), "widths"),
+        final=final,
+        widths=widths,
         bounds=bounds,
         headers=headers,
         mapping=mapping,
@@ -253,9 +276,73 @@ def clean_cells(cells: DataFrame, options: Options = Options(), answers: Answers
         cells=cells,
         header_lists=lists,
         answers=answers,
+        plan=plan,
     )
 
 
+def _all_answers(earlier: Answers, later: Answers) -> Answers:
+    """Both; a later answer takes the place of earlier ones to the same question."""
+    both = {}
+    for name, key in ASKED.items():
+        old, new = getattr(earlier, name), getattr(later, name)
+        if old is not None and new is not None:
+            new = old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
+        both[name] = old if new is None else new
+    return Answers(**both)
+
+
+def _asked(answers: Answers, by_row: bool) -> DataFrame | None:
+    """Files, or rows of files, that answers speak of."""
+    given = [(getattr(answers, name), key) for name, key in ASKED.items()]
+    named = [t.select(KEY if by_row else ["file"]) for t, key in given if t is not None and ("row_idx" in key) == by_row]
+    return reduce(DataFrame.unionByName, named).distinct() if named else None
+
+
+def answered(result: Result, answers: Answers) -> Result:
+    """The run with more answers, equal to a whole run with all of them.
+
+    Answers about a file (range, mapping, default) work out that file again from
+    its cells, and answers about a row that row alone; everything else is taken
+    from the earlier run.  A later answer takes the place of earlier ones to the
+    same question.  Answers about files and rows that the run doesn't have change
+    nothing.  ``redone`` has the files whose outputs may differ.
+    """
+    together = _all_answers(result.answers, answers)
+    files, rows = _asked(answers, False), _asked(answers, True)
+    out = replace(result, answers=together, redone=None)
+    redone = []
+    known = result.bounds.select("file")
+    if files is not None:
+        files = written(files.join(known, "file", "left_semi"), "answered-files")
+        again = clean_cells(_of(result.cells, files, ["file"]), result.options, together)
+        parts = ("final", "widths", "bounds", "headers", "mapping", "positions", "rejected", "header_lists", "plan")
+        out = _exchanged(out, parts, files, ["file"], again)
+        redone.append(files)
+    if rows is not None:
+        rows = rows.join(known, "file", "left_semi")
+        rows = written(rows if files is None else rows.join(files, "file", "left_anti"), "answered-rows")
+        final, widths = _rows_done(_of(result.cells, rows, KEY), out.plan, result.options, together)
+        out = _exchanged(out, ("final", "widths"), rows, KEY, replace(result, final=final, widths=widths))
+        redone.append(rows.select("file").distinct())
+    return replace(out, redone=reduce(DataFrame.unionByName, redone).distinct() if redone else None)
+
+
+def _of(cells: DataFrame, asked: DataFrame, key: list[str]) -> DataFrame:
+    """Cells of some files or rows.
+
+    The first and last of their names bound what is read: the row groups of
+    files outside are skipped by their statistics.
+    """
+    low, high = asked.agg(F.min("file"), F.max("file")).first()
+    near = cells.limit(0) if low is None else cells.filter(F.col("file").between(low, high))
+    return near.join(asked, key, "left_semi")
+
+
+def _exchanged(result: Result, names: Iterable[str], asked: DataFrame, key: list[str], new: Result) -> Result:
+    """A run with the rows of some tables replaced where ``key`` is among those asked."""
+    return replace(result, **{n: getattr(result, n).join(asked, key, "left_anti").unionByName(getattr(new, n)) for n in names})
+
+
 def clean_folder(spark: SparkSession, path: str, options: Options = Options(), answers: Answers = Answers()) -> Result:
     """Scan a folder and run all stages; unreadable and empty files are rejected.
 

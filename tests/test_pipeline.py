@@ -215,6 +215,36 @@ def test_write_result_and_second_run(run, spark, tmp_path_factory):
     assert rows[0] == HEADERS and [x[1] for x in rows[1:]] == ["Quill", "Ann", "Ben"]
 
 
+def test_later_answers_give_what_a_whole_run_gives(run, spark):
+    """Answers in three rounds, about rows and about files, against one run with all that hold."""
+    head = HEAD.replace("ClassifiedAsDisabled*", "Extra")
+    files = {"a.csv": [HEAD, *ERRORS, *SPLIT, "a,b"], "b.csv": [HEAD, *GOOD, "Total: 2"], "c.csv": [head, *GOOD], "d.csv": [HEAD, *GOOD]}
+    o = Options(guard="parity")
+    first = run(files, o)
+    f = lambda name: first.bounds.filter(F.col("file").endswith(name)).first().file
+    a = f("a.csv")
+    cell = KEY + ", field string, value string"
+    patch = lambda *rows: spark.createDataFrame([(a, *r) for r in rows], cell)
+    skip = lambda *rows: spark.createDataFrame(list(rows), KEY)
+    range_ = spark.createDataFrame([(f("b.csv"), 0, 1)], "file string, header_idx bigint, last_idx bigint")
+    medical = spark.createDataFrame([(a, 6, "Dust, mild")], KEY + ", text string")
+    declined = spark.createDataFrame([(f("c.csv"), "classified_as_disabled", False)], "file string, field string, accept boolean")
+    second = pipeline.answered(first, Answers(patches=patch((1, "phone_number", "1"), (4, "email", "a@b.org")), skips=skip((a, 5), ("none", 1))))
+    third = pipeline.answered(second, Answers(patches=patch((1, "phone_number", "07811000000")), skips=skip((f("b.csv"), 1)), medical=medical, ranges=range_, defaults=declined))
+    whole = pipeline.clean_cells(
+        first.cells, o,
+        Answers(patches=patch((1, "phone_number", "07811000000"), (4, "email", "a@b.org")), skips=skip((a, 5), ("none", 1), (f("b.csv"), 1)), medical=medical, ranges=range_, defaults=declined),
+    )
+    as_rows = lambda df: sorted(str(sorted(r.asDict().items())) for r in df.collect())
+    for name in ("final", "widths", "bounds", "mapping", "positions", "removed", "valid", "quarantine", "manual_log", "patch_conflicts"):
+        assert as_rows(getattr(third, name)) == as_rows(getattr(whole, name)), name
+    assert as_rows(third.rejected) == as_rows(whole.rejected) != as_rows(first.rejected)
+    assert as_rows(third.summary()) == as_rows(whole.summary()) != as_rows(second.summary())
+    assert {r.file for r in second.redone.collect()} == {a} and {r.file[-5:] for r in third.redone.collect()} == {"a.csv", "b.csv", "c.csv"}
+    same = pipeline.answered(first, Answers())
+    assert same.redone is None and same.final is first.final
+
+
 def test_every_row_of_every_file_is_accounted_for(run, spark, tmp_path):
     (tmp_path / "latin.csv").write_bytes((HEAD + "\n,Jos\u00e9,Sol\n").encode("latin-1"))
     (tmp_path / "broken.xlsx").write_bytes(b"PK not a workbook")
