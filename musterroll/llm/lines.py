@@ -144,14 +144,77 @@ def _batched(runs: Runs, lines: DataFrame, bounds: list[int | None]) -> DataFram
         if high is not None:
             batch = batch.filter(F.col("doc_id") <= high)
         found = written(add_batch(runs, batch, k == len(bounds) - 2), "line-shared")
-        hit = batch.join(found, _HASH).filter(F.col("doc_id") != F.col("owner")).select("doc_id", "text_hash", "line_no")
+        hit = _hits(batch, found)
         shared = hit if shared is None else shared.unionByName(hit)
     return shared
 
 
-def _rested(docs: DataFrame, settings: Settings) -> DataFrame:
+class KeptRuns(Runs):
+    """Runs under a folder of their own, to which later sessions add batches.
+
+    ``keep`` ends a batch by one row of a manifest: the levels, and the largest
+    id so far.  What a batch that was not kept has written is never read, so it
+    can be given again.  Ids of a batch must be above those of the kept ones.
+    """
+
+    MANIFEST = "version bigint, buckets int, fan_out int, top bigint, levels array<array<string>>"
+
+    def __init__(self, spark: SparkSession, folder: str, buckets: int, fan_out: int):
+        super().__init__(spark, buckets, fan_out)
+        self.folder = folder.rstrip("/")
+        self.version, self.top = 0, None
+
+    @classmethod
+    def new(cls, spark: SparkSession, folder: str, fan_out: int = 2) -> KeptRuns:
+        """No runs, in a folder that has none yet."""
+        runs = cls(spark, folder, int(spark.conf.get("spark.sql.shuffle.partitions")), fan_out)
+        runs._note("errorifexists")
+        return runs
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str) -> KeptRuns:
+        """The runs as they were last kept."""
+        rows = spark.read.schema(cls.MANIFEST).parquet(f"{folder.rstrip('/')}/manifest")
+        last = rows.orderBy(F.desc("version")).first()
+        runs = cls(spark, folder, last.buckets, last.fan_out)
+        runs.version, runs.top, runs.levels = last.version, last.top, last.levels
+        for name in (name for level in runs.levels for name in level):
+            runs.names.append(name)
+            spark.sql(
+                f"CREATE TABLE IF NOT EXISTS {name} (h1 BIGINT, h2 BIGINT, owner BIGINT) USING parquet "
+                f"CLUSTERED BY (h1) SORTED BY (h1, h2) INTO {runs.buckets} BUCKETS LOCATION '{runs.folder}/{name}'"
+            )
+        return runs
+
+    def _note(self, mode: str) -> None:
+        row = [(self.version, self.buckets, self.fan_out, self.top, self.levels)]
+        self.spark.createDataFrame(row, self.MANIFEST).coalesce(1).write.mode(mode).parquet(f"{self.folder}/manifest")
+
+    def batch(self, docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+        """``docs`` without the lines that earlier batches or smaller ids hold; see ``deduped``.
+
+        Write the result, and then ``keep`` the batch.
+        """
+        low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+        if low is not None and self.top is not None and low <= self.top:
+            raise ValueError(f"Ids of a batch must be above {self.top}, not {low}")
+        lines = written(hashed_lines(docs, settings.min_key), "line-hashes")
+        found = written(add_batch(self, lines), "line-shared")
+        self.top = self.top if high is None else high
+        return _kept_lines(docs, _hits(lines, found))
+
+    def keep(self) -> None:
+        self.version += 1
+        self._note("append")
+
+
+def _hits(lines: DataFrame, shared: DataFrame) -> DataFrame:
+    return lines.join(shared, _HASH).filter(F.col("doc_id") != F.col("owner")).select("doc_id", "text_hash", "line_no")
+
+
+def _rested(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """``docs`` with ``__rest``, ``__n_lines`` and ``__n_dropped``."""
-    gone = dropped_lines(docs, settings).groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.collect_set("line_no").alias("__gone"))
+    gone = dropped.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.collect_set("line_no").alias("__gone"))
     rows = docs.withColumn("__text_hash", F.xxhash64("text"))
     joined = rows.join(gone, (F.col("doc_id") == F.col("__id")) & (F.col("__text_hash") == F.col("__hash")), "left")
     # Lines and marks of the places to drop, sorted: a dropped line comes right after its mark.  Both columns
@@ -179,8 +242,11 @@ def deduped(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     Rows that repeat with the same id are one document: none loses a line to
     the other.  A null text is kept as an empty one.
     """
-    out = _rested(docs.select("doc_id", "text"), settings)
-    return out.select(
+    return _kept_lines(docs, dropped_lines(docs.select("doc_id", "text"), settings))
+
+
+def _kept_lines(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    return _rested(docs.select("doc_id", "text"), dropped).select(
         "doc_id",
         F.coalesce("__rest", F.lit("")).alias("kept_text"),
         F.col("__n_lines").alias("n_lines"),
@@ -194,7 +260,7 @@ def cleaned(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     Documents that lose no line are as they were; one whose lines all go
     keeps its row, with an empty text.
     """
-    out = _rested(docs, settings)
+    out = _rested(docs, dropped_lines(docs, settings))
     changed = F.col("__n_dropped") > 0
     out = out.withColumn("text", F.col("__rest"))
     if "n_chars" in docs.columns:

@@ -344,6 +344,38 @@ def test_threshold_stops_early_and_is_exact():
         assert [(-int(s), int(i)) for i, s in zip(at, scores)] == want
 
 
+# --- kept runs of lines ----------------------------------------------------------
+
+
+def test_batches_of_later_sessions_meet_the_kept_runs(spark, tmp_path):
+    rng = random.Random(4)
+    pool = [f"a line that many may hold {k}" for k in range(60)] + ["short", ""]
+    rows = [(i, "\n".join(rng.choices(pool, k=rng.randint(0, 12)))) for i in range(300)] + [(300, None), (300, pool[0]), (None, pool[1])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    as_rows = lambda df: sorted((str(tuple(x)) for x in df.collect()))
+    whole = as_rows(lines.deduped(docs))
+    folder = str(tmp_path / "runs")
+    lines.KeptRuns.new(spark, folder).close()
+    got = []
+    for k, (low, high) in enumerate([(-1, 40), (40, 100), (100, 101), (101, 200), (200, 250), (250, 400)]):
+        part = docs.filter((F.col("doc_id") > low) & (F.col("doc_id") <= high) | (F.col("doc_id").isNull() & (F.lit(k) == 2)))
+        lost = lines.KeptRuns.open(spark, folder)  # a driver that ends before the batch is kept
+        lost.batch(part).count()
+        lost.close()
+        runs = lines.KeptRuns.open(spark, folder)
+        got += as_rows(runs.batch(part))
+        runs.keep()
+        runs.close()
+    assert sorted(got) == whole
+    runs = lines.KeptRuns.open(spark, folder)
+    assert runs.version == 6 and runs.top == 300 and len(runs.levels) == 3 and sum(map(len, runs.levels)) == 2
+    assert sum(t.count() for t in runs.tables()) == sum(t.select("h1", "h2").distinct().count() for t in runs.tables())
+    assert runs.batch(docs.limit(0)).collect() == [] and runs.top == 300
+    with pytest.raises(ValueError):
+        runs.batch(docs)
+    runs.close()
+
+
 # --- URL filter ------------------------------------------------------------------
 
 
