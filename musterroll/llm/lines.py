@@ -4,7 +4,7 @@ Documents come in batches of ascending ids.  The keys of a batch are reduced
 to one row each, sorted, and merge-joined with the runs that earlier batches
 left; what no run holds becomes a new run.  When a level has ``fan_out`` runs
 they are merged into one run of the next level.  Runs are tables bucketed and
-sorted by hash, so a run is never shuffled again.  DataFrame functions only.
+sorted by both hashes, by which the keys are grouped, so a run is never shuffled again.  DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -70,8 +70,8 @@ class Runs:
     def _save(self, rows: DataFrame) -> str:
         name = f"line_run_{self.id}_{len(self.names)}"
         self.names.append(name)
-        spread = rows.repartition(self.buckets, "h1")
-        spread.write.bucketBy(self.buckets, "h1").sortBy(*_HASH).option("path", f"{self.folder}/{name}").saveAsTable(name)
+        spread = rows.repartition(self.buckets, *_HASH)
+        spread.write.bucketBy(self.buckets, *_HASH).sortBy(*_HASH).option("path", f"{self.folder}/{name}").saveAsTable(name)
         return name
 
     def tables(self) -> list[DataFrame]:
@@ -182,7 +182,7 @@ class KeptRuns(Runs):
             runs.names.append(name)
             spark.sql(
                 f"CREATE TABLE IF NOT EXISTS {name} (h1 BIGINT, h2 BIGINT, owner BIGINT) USING parquet "
-                f"CLUSTERED BY (h1) SORTED BY (h1, h2) INTO {runs.buckets} BUCKETS LOCATION '{runs.folder}/{name}'"
+                f"CLUSTERED BY (h1, h2) SORTED BY (h1, h2) INTO {runs.buckets} BUCKETS LOCATION '{runs.folder}/{name}'"
             )
         return runs
 

@@ -370,6 +370,10 @@ def test_batches_of_later_sessions_meet_the_kept_runs(spark, tmp_path):
     runs = lines.KeptRuns.open(spark, folder)
     assert runs.version == 6 and runs.top == 300 and len(runs.levels) == 3 and sum(map(len, runs.levels)) == 2
     assert sum(t.count() for t in runs.tables()) == sum(t.select("h1", "h2").distinct().count() for t in runs.tables())
+    keys = lines.hashed_lines(docs).groupBy("h1", "h2").count()
+    for some in (runs, lines.KeptRuns.open(spark, folder)):  # the keys are shuffled once, the runs never
+        plan = some.merged(keys)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and plan.count("SortMergeJoin") == 2
     assert runs.batch(docs.limit(0)).collect() == [] and runs.top == 300
     with pytest.raises(ValueError):
         runs.batch(docs)
