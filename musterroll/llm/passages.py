@@ -7,9 +7,10 @@ has the same anchors wherever it stands.  A paragraph is the ``length`` words
 from an anchor on.  A passage of ``length`` + ``spread`` - 1 words (51) holds
 a whole paragraph for certain.
 
-Anchors that only one document has can't begin a repeated paragraph and drop
-out first.  The others' paragraphs are reduced to distinct ones, banded by
-MinHash, verified by exact Jaccard where they collide, and clustered.
+Paragraphs that share too few of their smallest shingles with other documents
+have no similar one there and drop out first.  The others are reduced to
+distinct ones, banded by MinHash, verified by exact Jaccard where they
+collide, and clustered.
 """
 
 from __future__ import annotations
@@ -74,11 +75,32 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
+def _repeats(shingles: np.ndarray) -> bool:
+    ordered = np.sort(shingles)
+    return bool((ordered[1:] == ordered[:-1]).any())
+
+
+def _slid(values: np.ndarray, width: int, of: np.ufunc) -> np.ndarray:
+    """``of`` (minimum or maximum) of every ``width`` neighbours, by doubling."""
+    reach = 1
+    while reach < width:
+        step = min(reach, width - reach)
+        values = of(values[:-step], values[step:])
+        reach += step
+    return values
+
+
 def anchors_of(shingles: np.ndarray, spread: int, last: int) -> np.ndarray:
     """Places of the anchors up to ``last``, ascending; equal neighbours count once in ``spread``."""
     if len(shingles) < 1 or last < 0:
         return np.zeros(0, np.int64)
     width = min(spread, len(shingles))
+    if not _repeats(shingles):
+        # A shingle is the least of some window where the largest of its windows' minima is itself.
+        least = _slid(shingles, width, np.minimum)
+        around = np.concatenate([np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)])
+        chosen = np.flatnonzero(_slid(around, width, np.maximum) == shingles)
+        return chosen[chosen <= last]
     chosen = np.empty(0, np.int64)
     for low in range(0, len(shingles) - width + 1, 1 << 18):
         view = np.lib.stride_tricks.sliding_window_view(shingles[low : low + (1 << 18) + width - 1], width)
@@ -109,54 +131,181 @@ def word_spans(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     inside = np.zeros(len(data) + 2, np.int8)
     inside[1:-1] = (data != 0x20) & ((data < 0x09) | (data > 0x0D))
     edges = np.diff(inside)
+    if raw.isascii():
+        return np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
     points = np.zeros(len(data) + 1, np.int32)
     np.cumsum((data & 0xC0) != 0x80, out=points[1:])
     return points[np.flatnonzero(edges == 1)], points[np.flatnonzero(edges == -1)]
 
 
-_ANCHOR = "doc_id bigint, text_hash int, place int, anchor bigint, start int, end int, paragraph bigint"
+_DOCUMENT = (
+    "doc_id bigint, text_hash int, places array<int>, starts array<int>, ends array<int>, paragraphs array<bigint>,"
+    " groups array<int>, small array<boolean>, picks array<int>, keys array<bigint>, small_keys array<bigint>"
+)
 
 
-def _anchor_rows(docs: DataFrame, settings: Settings) -> DataFrame:
-    """Anchors of every document, each with the span in code points and the hash of its paragraph."""
+def least_shared(settings: Settings) -> tuple[int, int]:
+    """(kept, shared): of their ``kept`` smallest shingles, two similar paragraphs have ``shared`` in common.
+
+    A set of n shingles lacks at most n - ceil(similarity * n) of a similar
+    one's, so both have one among so many and one more (prefix filtering).  Sets
+    of all shingles but one at most have ``shared``; smaller ones, in which
+    shingles repeat, have one with any other.
+    """
+    n, s = settings.length - settings.shingle + 1, settings.similarity
+    up = lambda x: math.ceil(x - 1e-9)
+    kept = n - up(s * n) + 1
+    shared = min(kept - a + up(s / (1 + s) * (a + b)) for a, b in ((n, n), (n, n - 1), (n - 1, n - 1)))
+    return kept, max(1, shared)
+
+
+def _picked(shingles: np.ndarray, at: np.ndarray, n: int, kept: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the ``kept`` smallest distinct ones of the ``n`` shingles from each place on (-1: fewer), and whether two or more repeat."""
+    picks, small = np.full((len(at), kept), -1, np.int64), np.zeros(len(at), bool)
+    for low in range(0, len(at), 1 << 14):
+        some = at[low : low + (1 << 14)]
+        window = shingles[some[:, None] + np.arange(n)]
+        order = np.argsort(window, axis=1)
+        window = np.take_along_axis(window, order, axis=1)
+        again = window[:, 1:] == window[:, :-1]
+        picks[low : low + len(some)] = some[:, None] + order[:, :kept]
+        small[low : low + len(some)] = again.sum(axis=1) > 1
+        for k in np.flatnonzero(again.any(axis=1)).tolist():
+            own = order[k][np.append(True, ~again[k])][:kept]
+            picks[low + k] = -1
+            picks[low + k, : len(own)] = some[k] + own
+    return picks, small
+
+
+def _groups(shingles: np.ndarray, at: np.ndarray, settings: Settings) -> np.ndarray:
+    """A number for each anchor of a text; paragraphs of the text that are similar, or linked by such, have the same.
+
+    Where no shingle repeats, overlapping paragraphs are similar up to a known
+    distance.  All paragraphs with a shingle that the text repeats are one group.
+    """
+    n, s = settings.length - settings.shingle + 1, settings.similarity
+    repeats = _repeats(shingles)
+    reach = least_shared(settings)[0] - 1 if repeats else math.floor(n * (1 - s) / (1 + s) + 1e-9)
+    groups = np.append(0, np.cumsum(np.diff(at) > reach))
+    if repeats:
+        _, inverse, counts = np.unique(shingles, return_inverse=True, return_counts=True)
+        seen = np.append(0, np.cumsum(counts[inverse] > 1))
+        hit = np.zeros(groups[-1] + 1, bool)
+        hit[groups[seen[at + n] > seen[at]]] = True
+        if hit.any():
+            groups = np.where(hit[groups], np.argmax(hit), groups)
+    return groups
+
+
+def _document_rows(docs: DataFrame, settings: Settings) -> DataFrame:
+    """One row for each document that has anchors: the paragraphs from them, and the smallest shingles of these.
+
+    ``starts`` and ``ends`` are spans in code points, ``keys`` are shingles, and
+    ``picks`` tells where each paragraph's smallest shingles are in ``keys``.
+    """
+    n, kept = settings.length - settings.shingle + 1, least_shared(settings)[0]
+
+    def lists(values: np.ndarray, sizes: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(values, kind))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, hashes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            counts: list[int] = []
+            have, counts, widths, all_words, all_shingles = [], [], [], [], []
             found: list[tuple[np.ndarray, ...]] = []
-            for raw in batch.column(2):
+            before = before_words = 0
+            for k, raw in enumerate(batch.column(2)):
                 data = raw.as_py()
                 words = word_hashes(_words(data))
                 shingles = _rolled(words, settings.shingle)
                 at = anchors_of(shingles, settings.spread, len(words) - settings.length)
-                counts.append(len(at))
                 if len(at):
                     starts, ends = word_spans(data)
-                    whole = _at(words, at, settings.length).view(np.int64)
-                    found.append((at.astype(np.int32), shingles[at].view(np.int64), starts[at], ends[at + settings.length - 1], whole))
-            if found:
-                columns = [np.repeat(ids, counts), np.repeat(hashes, counts), *map(np.concatenate, zip(*found, strict=True))]
-                yield pa.record_batch([pa.array(c) for c in columns], names=["doc_id", "text_hash", "place", "anchor", "start", "end", "paragraph"])
+                    found.append((at, starts[at], ends[at + settings.length - 1], _groups(shingles, at, settings), at + before, at + before_words))
+                    have.append(k)
+                    counts.append(len(at))
+                    widths.append(len(shingles))
+                    all_words.append(words)
+                    all_shingles.append(shingles)
+                    before, before_words = before + len(shingles), before_words + len(words)
+            if not have:
+                continue
+            places, starts, ends, groups, at, in_words = map(np.concatenate, zip(*found, strict=True))
+            whole = _at(np.concatenate(all_words), in_words, settings.length).view(np.int64)
+            shingles, first = np.concatenate(all_shingles), np.cumsum(widths) - widths
+            picks, small = _picked(shingles, at, n, kept)
+            used = np.zeros(len(shingles) + 1, bool)
+            used[picks[picks >= 0]] = True
+            rank = np.append(0, np.cumsum(used[:-1]))  # keys before each place
+            index = np.where(picks >= 0, rank[picks] - np.repeat(rank[first], counts)[:, None], -1)
+            keys = shingles[np.flatnonzero(used)].view(np.int64)
+            owner = np.repeat(np.arange(len(have)), counts)
+            rare = picks[small] >= 0
+            rare_keys = shingles[picks[small][rare]].view(np.int64)
+            rare_sizes = np.bincount(np.repeat(owner[small], rare.sum(axis=1)), minlength=len(have))
+            columns = [batch.column(0).take(pa.array(have)), batch.column(1).take(pa.array(have))]
+            columns += [lists(c, counts, t) for c, t in ((places, pa.int32()), (starts, pa.int32()), (ends, pa.int32()), (whole, pa.int64()), (groups, pa.int32()), (small, pa.bool_()))]
+            columns.append(lists(index.ravel(), np.array(counts) * kept, pa.int32()))
+            columns.append(lists(keys, np.diff(np.append(rank[first], len(keys))), pa.int64()))
+            columns.append(lists(rare_keys, rare_sizes, pa.int64()))
+            yield pa.record_batch(columns, names=[c.split()[0] for c in _DOCUMENT.split(", ")])
 
     given = docs.select("doc_id", "text_hash", text_bytes(F.col("text")).alias("raw"))
-    return given.mapInArrow(rows, _ANCHOR)
+    return given.mapInArrow(rows, _DOCUMENT)
+
+
+def _that_can_link(met: DataFrame, settings: Settings) -> DataFrame:
+    """The paragraphs of ``met`` (rows of documents with ``hits``, their shared keys) that share enough keys, with their groups."""
+    kept, shared = least_shared(settings)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, hashes = batch.column("doc_id").to_numpy(), batch.column("text_hash").to_numpy()
+            lists = [batch.column(c) for c in ("places", "starts", "ends", "paragraphs", "groups", "small", "picks", "hits")]
+            edges = [c.offsets.to_numpy() for c in lists]
+            flat = [c.values.to_numpy(zero_copy_only=False) for c in lists]
+            out = []
+            for k in range(batch.num_rows):
+                *plain, groups, small, picks, hits = (f[e[k] : e[k + 1]] for f, e in zip(flat, edges, strict=True))
+                picks = picks.reshape(-1, kept)
+                # 1: a shared key, 2: one that a small set has; the last entry is for picks of -1.
+                marks = np.zeros(max(int(hits.max()) >> 1, int(picks.max())) + 2, np.int8)
+                marks[hits >> 1] = 1 + (hits & 1)
+                own = marks[picks]
+                n = (own > 0).sum(axis=1)
+                can = (n >= shared) | ((n > 0) & (small | (own > 1).any(axis=1)))
+                chosen = np.zeros(groups.max() + 1, bool)
+                chosen[groups[can]] = True
+                kept_ones = chosen[groups]
+                size = int(kept_ones.sum())
+                if size:
+                    out.append((np.full(size, ids[k]), np.full(size, hashes[k]), *(c[kept_ones] for c in plain)))
+            if out:
+                yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["doc_id", "text_hash", "place", "start", "end", "paragraph"])
+
+    return met.mapInArrow(rows, "doc_id bigint, text_hash int, place int, start int, end int, paragraph bigint")
 
 
 def _shingled(placed: DataFrame, settings: Settings) -> DataFrame:
     """``paragraph, shingles``: the distinct shingles of the paragraphs at the ``places`` of each text ``raw``."""
 
+    n = settings.length - settings.shingle + 1
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, sets = [], []
+            names, windows = [], []
             for raw, places in zip(batch.column(0), batch.column(1), strict=True):
                 hashes = word_hashes(_words(raw.as_py()))
                 shingles = (_rolled(hashes, settings.shingle) >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 at = places.values.to_numpy()
                 names.append(_at(hashes, at, settings.length).view(np.int64))
-                sets += [np.unique(shingles[k : k + settings.length - settings.shingle + 1]) for k in at.tolist()]
-            if sets:
-                yield pa.record_batch([pa.array(np.concatenate(names)), pa.array(sets, pa.list_(pa.int32()))], names=["paragraph", "shingles"])
+                windows.append(shingles[at[:, None] + np.arange(n)])
+            if windows:
+                window = np.sort(np.concatenate(windows), axis=1)
+                first = np.ones(window.shape, bool)
+                first[:, 1:] = window[:, 1:] != window[:, :-1]
+                ends = np.append(0, np.cumsum(first.sum(axis=1)))
+                sets = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(window[first]))
+                yield pa.record_batch([pa.array(np.concatenate(names)), sets], names=["paragraph", "shingles"])
 
     return placed.select("raw", "places").mapInArrow(rows, "paragraph bigint, shingles array<int>")
 
@@ -166,11 +315,22 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def paragraphs(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """``doc_id, text_hash, place, start, end, paragraph`` of paragraphs whose anchor at least two documents have."""
-    anchors = written(_anchor_rows(_rows(docs), settings), "passage-anchors")
-    holders = anchors.groupBy("anchor").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    shared = written(holders.filter(F.col("first") < F.col("last")).select("anchor"), "passage-shared")
-    return anchors.join(shared, "anchor", "left_semi").drop("anchor")
+    """``doc_id, text_hash, place, start, end, paragraph`` of all paragraphs that may link, by themselves or through others, to another document's.
+
+    Only paragraphs that can't are left out: two similar paragraphs have some
+    of their smallest shingles in common, so one that shares too few of them
+    with other documents has no link to any.  What is similar to a paragraph
+    within its own document stays with it.
+    """
+    made = written(_document_rows(_rows(docs), settings), "passage-anchors")
+    keys = made.select(F.explode("keys").alias("key"), "doc_id", F.lit(False).alias("small"))
+    rare = made.select(F.explode("small_keys").alias("key"), "doc_id", F.lit(True).alias("small"))
+    holders = keys.unionByName(rare).groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max("small").alias("small"))
+    shared = written(holders.filter(F.col("first") < F.col("last")).select("key", "small"), "passage-shared")
+    held = made.select("doc_id", "text_hash", F.posexplode("keys").alias("index", "key")).join(shared, "key")
+    hit = (F.col("index") * 2 + F.col("small").cast("int")).alias("hit")
+    hits = held.select("doc_id", "text_hash", hit).groupBy("doc_id", "text_hash").agg(F.collect_set("hit").alias("hits"))
+    return _that_can_link(made.drop("keys", "small_keys").join(hits, ["doc_id", "text_hash"]), settings)
 
 
 def shingle_sets(docs: DataFrame, distinct: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -212,10 +372,6 @@ def _banded(distinct: DataFrame, settings: Settings) -> DataFrame:
 
 def similar_in_list(ids: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
     """Links that hold together what a list's pairs of so much Jaccard similarity connect."""
-    if len(sets) == 2:
-        common = len(set(sets[0].tolist()).intersection(sets[1].tolist()))
-        close = common >= similarity * (len(sets[0]) + len(sets[1]) - common)
-        return ([int(ids[0])], [int(ids[1])]) if close else ([], [])
     sizes = np.array([len(s) for s in sets])
     flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
     waiting = np.ones(len(sets), bool)
@@ -237,6 +393,17 @@ def similar_in_list(ids: np.ndarray, sets: list[np.ndarray], similarity: float)
     return left, right
 
 
+def similar_pairs(ends: np.ndarray, flat: np.ndarray, first: np.ndarray, similarity: float) -> np.ndarray:
+    """Which sets ``flat[ends[k] : ends[k + 1]]``, for k in ``first``, are so similar to the next one."""
+    sizes = ends[first + 2] - ends[first]
+    pair = np.repeat(np.arange(len(first)), sizes)
+    at = np.arange(len(pair)) + np.repeat(ends[first] - (np.cumsum(sizes) - sizes), sizes)
+    both = np.sort((pair.astype(np.uint64) << np.uint64(32)) | flat[at].view(np.uint32).astype(np.uint64))
+    twice = both[1:][both[1:] == both[:-1]] >> np.uint64(32)
+    common = np.bincount(twice.astype(np.int64), minlength=len(first))
+    return common >= similarity * (sizes - common)
+
+
 def _verified(colliding: DataFrame, similarity: float) -> DataFrame:
     """Links ``a, b`` within the lists of ``colliding (key, paragraph, shingles)``."""
 
@@ -254,13 +421,25 @@ def _verified(colliding: DataFrame, similarity: float) -> DataFrame:
         for batch in batches:
             lists = batch.column(2)
             ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-            for k, (key, paragraph) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                if key != open_key:
+            keys, members = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if not len(keys):
+                continue
+            edges = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]])
+            sizes = np.diff(edges)
+            # Only the first and the last list of a batch can reach across it.
+            middle = np.arange(1, len(sizes) - 1)
+            two = edges[middle[sizes[middle] == 2]]
+            two = two[similar_pairs(ends, flat, two, similarity)]
+            left.extend(members[two].tolist())
+            right.extend(members[two + 1].tolist())
+            for e in [0, *middle[sizes[middle] > 2].tolist(), len(sizes) - 1][: 1 if len(sizes) == 1 else None]:
+                if keys[edges[e]] != open_key:
                     close()
-                    open_key, ids, sets = key, [], []
-                if not ids or ids[-1] != paragraph:
-                    ids.append(paragraph)
-                    sets.append(flat[ends[k] : ends[k + 1]])
+                    open_key, ids, sets = keys[edges[e]], [], []
+                for k in range(edges[e], edges[e + 1]):
+                    if not ids or ids[-1] != members[k]:
+                        ids.append(members[k])
+                        sets.append(flat[ends[k] : ends[k + 1]])
             yield pa.record_batch([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
             left.clear()
             right.clear()

@@ -698,7 +698,7 @@ def plain_passages(rows, settings):
             if k + settings.length <= len(words) and (values[k] != before or k - at >= settings.spread):
                 before, at = values[k], k
                 held[values[k]].add((i, text, spans[k][0], spans[k + settings.length - 1][1], tuple(words[k : k + settings.length])))
-    found = [p for group in held.values() if len({p[0] for p in group}) > 1 for p in group]
+    found = [p for group in held.values() for p in group]
     sets = {p[4]: {p[4][k : k + settings.shingle] for k in range(settings.length - settings.shingle + 1)} for p in found}
     root = {p: p for p in sets}
 
@@ -754,6 +754,30 @@ def test_passages_against_every_pair(spark):
     assert got == plain_passages(rows, settings) and len(got) > 40
 
 
+def test_similar_paragraphs_without_a_common_anchor_link(spark):
+    settings, rows = passages.Settings(), []
+    for i in range(40):  # pairs of texts that differ in the first word of an anchor
+        words = prose(f"first words {i}", 33).split()
+        at = passages.anchors_of(passages._rolled(passages.word_hashes([w.encode() for w in words]), settings.shingle), settings.spread, 1)
+        for k, other in enumerate(("", "changed")):
+            copy = list(words)
+            if other and len(at):
+                copy[at[0]] = other
+            rows.append((2 * i + k, " ".join(copy), None, None, None))
+    # The same word lists, in which shingles repeat.
+    rows += [(100, "again and " * 40, None, None, None), (101, "new again and " + "again and " * 30, None, None, None)]
+    sets = {}
+    for i, text, *_ in rows:
+        words = text.split()
+        shingles = passages._rolled(passages.word_hashes([w.encode() for w in words]), settings.shingle)
+        for at in passages.anchors_of(shingles, settings.spread, len(words) - settings.length).tolist():
+            sets[i, at] = set(shingles[at : at + settings.length - settings.shingle + 1].tolist())
+    # A document is found if it has a paragraph that is similar to another document's.
+    expected = {a[0] for a in sets for b in sets if a[0] != b[0] and len(sets[a] & sets[b]) >= settings.similarity * len(sets[a] | sets[b])}
+    found = {r.doc_id for r in passages.repeated_passages(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert expected <= found and len(expected) > 4
+
+
 def test_near_copies_of_paragraphs_link(spark):
     settings = passages.Settings(length=64, list_rows=4)
     base = prose("base", 64).split()
