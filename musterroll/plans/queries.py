@@ -307,8 +307,12 @@ def sink_by_file(spark, sf):
 
 @query("sink_guard")
 def sink_guard(spark, sf):
-    """What the sink wrote of each file, and the files of which it had nothing to write."""
-    checked = _checked(spark, sf)
+    """What the sink wrote of each file, and the files of which it had nothing to write.
+
+    The checked rows are written first: a filter on them would otherwise be
+    pushed, with all rules inside, below the redistribution of the input.
+    """
+    checked = _written_checked(spark, sf)
     where = new_folder(spark, "guarded")
     folder.write_contract_by_file(checked.filter(F.size("errors") == 0), where)
     wrote = named.manifest(spark, where).groupBy(F.col("name").alias("file")).agg(F.sum("rows").alias("valid_rows"))

@@ -87,3 +87,18 @@ def test_contract_by_file(spark, tmp_path):
     assert {(r.file, *[r[n] for n in NAMES]) for r in back.collect()} == {(r[0], *[v.replace("\r\n", "\n") for v in r[2:]]) for r in rows}  # Spark's reader joins line ends
     with pytest.raises(folder.NothingToWrite):
         folder.write_contract_by_file(df.limit(0), str(tmp_path / "p"))
+
+
+def test_sink_guard_gives_the_sink_rows_that_are_checked_already(spark, tmp_path, monkeypatch):
+    from musterroll.plans.queries import CATALOGUE
+
+    people = [(k, f"Customer {k}", k % 2, "BUILDING") for k in range(1, 400)]
+    spark.createDataFrame(people, "c_custkey bigint, c_name string, c_nationkey int, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(0, "PERU"), (1, "CHINA")], "n_nationkey int, n_name string").write.parquet(f"{tmp_path}/nation.parquet")
+    given, write = [], folder.write_contract_by_file
+    monkeypatch.setattr(folder, "write_contract_by_file", lambda valid, path: (given.append(valid), write(valid, path)))
+    rows = CATALOGUE["sink_guard"](spark, str(tmp_path)).collect()
+    # No rule is worked out again, let alone in a filter over the scan of the input.
+    assert "RLIKE" not in given[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert sum(r.valid_rows for r in rows) == given[0].count() > 0 and len(rows) == 6
+    assert all(r.refused == (r.valid_rows == 0) for r in rows)
