@@ -37,16 +37,17 @@ _MONTH = (
     r"(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?"
     r"|sep(?:t(?:ember)?)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
 )
-_WORD = r"(?<![a-z]){}(?![a-z])"
-_MONTH_WORD = _WORD.format(_MONTH) + r"\.?"
-_WEEKDAY_WORD = _WORD.format(r"(?:mon|tue(?:s)?|wed(?:nes)?|thu(?:rs?)?|fri|sat(?:ur)?|sun)(?:day)?") + r"\.?"
-_FILLER = r"(?<=[0-9])(?:st|nd|rd|th)(?![a-z])|" + _WORD.format("(?:of|at|on|and|ad|utc|gmt)")
+_WORD = r"(?=[{}])(?<![a-z]){}(?![a-z])"  # first the letters that such words begin with, which rule out most places
+_MONTH_WORD = _WORD.format("jfmasond", _MONTH) + r"\.?"
+_WEEKDAY_WORD = _WORD.format("mtwfs", r"(?:mon|tue(?:s)?|wed(?:nes)?|thu(?:rs?)?|fri|sat(?:ur)?|sun)(?:day)?") + r"\.?"
+_FILLER = r"(?=[snrt])(?<=[0-9])(?:st|nd|rd|th)(?![a-z])|" + _WORD.format("oaug", "(?:of|at|on|and|ad|utc|gmt)")
 _MINUTES = r":[0-5][0-9](?::[0-5][0-9](?:[.,][0-9]+)?)?"
 _CLOCK_WORD = (
     r"(?:(?<=[0-9])t|(?<=[ ,])|^)"
     rf"(?:(?:1[0-2]|0?[1-9])(?:{_MINUTES})? ?[ap]\.?m\.?|(?:[01]?[0-9]|2[0-3]){_MINUTES})"
     r"(?: ?(?:z|utc|gmt|[+-][0-9]{2}:?[0-9]{2}))?(?![0-9a-z:])"
 )
+_MAYBE_CLOCK = r":|[ap]\.?m"  # every clock has one of these
 _MARKS = r"[ .,;/'-]+"
 _SEEN = {"clock": "\x02", "weekday": "\x03", "month": "\x04"}  # characters that stand for words that were found
 _MONTH_ORDER = "janfebmaraprmayjunjulaugsepoctnovdec"
@@ -97,13 +98,19 @@ def _tokens(bare: Column, slashed: Column) -> Column:
     filling words are dropped.
     """
     clock, weekday, month = (f" {mark}" for mark in _SEEN.values())
-    t = F.regexp_replace(F.lower(bare), _CLOCK_WORD, clock + " ")
+
+    def once(t: Column) -> Column:
+        """Without the one clock and the one weekday, and the blanks that they leave."""
+        out = t
+        for mark in (clock, weekday):
+            out = F.regexp_replace(out, f"^([^{mark[1]}]*){mark}([^{mark[1]}]*)$", "$1$2")  # a second one stays, and is no part of a date
+        return F.when(t.contains(clock[1]) | t.contains(weekday[1]), F.regexp_replace(out, " +", " ")).otherwise(t)
+
+    t = X.let(F.lower(bare), lambda t: F.when(t.rlike(_MAYBE_CLOCK), F.regexp_replace(t, _CLOCK_WORD, clock + " ")).otherwise(t))
     t = F.regexp_replace(F.regexp_replace(t, _WEEKDAY_WORD, weekday + " "), _MONTH_WORD, month + "$1 ")
-    t = F.regexp_replace(F.regexp_replace(t, _FILLER, " "), _MARKS, " ")
-    for mark in (clock, weekday):
-        t = F.regexp_replace(t, f"^([^{mark[1]}]*){mark}([^{mark[1]}]*)$", "$1$2")  # a second one stays, and is no part of a date
+    t = X.let(F.regexp_replace(F.regexp_replace(t, _FILLER, " "), _MARKS, " "), once)
     usual = slashed.isNotNull() | bare.rlike(_YEAR_FIRST) | bare.rlike(_COMPACT)
-    return F.when(~usual & bare.rlike("^[^\\x00-\\x08]*[0-9][^\\x00-\\x08]*$"), F.split(F.trim(F.regexp_replace(t, " +", " ")), " "))
+    return F.when(~usual & bare.rlike("^[^\\x00-\\x08]*[0-9][^\\x00-\\x08]*$"), F.split(F.trim(t), " "))
 
 
 def _decided(tokens: Column, year_dayfirst: bool) -> Column:
