@@ -96,10 +96,15 @@ class Encoder:
         if len(self.known) + len(new) > self.cached:
             self.known, new = {}, parts
         rest = []
-        tokens, shown = self.model.tokenize, self.shown
+        tokens, shown, one = self.model.tokenize, self.shown, _ONE_MATCH.fullmatch
+        blank = chr(shown[0x20])
         for part in new:
-            if _ONE_MATCH.fullmatch(part):
-                self.known[part] = array("I", [t.id for t in tokens(part.encode().decode("latin-1").translate(shown))]).tobytes()
+            if one(part):
+                if part.isascii():  # letters are shown as they are
+                    seen = blank + part[1:] if part[0] == " " else part
+                else:
+                    seen = part.encode().decode("latin-1").translate(shown)
+                self.known[part] = array("I", [t.id for t in tokens(seen)]).tobytes()
             else:
                 rest.append(part)
         self.known.update(zip(rest, self._whole(rest), strict=True))
