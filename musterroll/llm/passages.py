@@ -370,81 +370,99 @@ def _banded(distinct: DataFrame, settings: Settings) -> DataFrame:
     return distinct.select("paragraph", "shingles").mapInArrow(keys, "key bigint, paragraph bigint")
 
 
-def similar_in_list(ids: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
-    """Links that hold together what a list's pairs of so much Jaccard similarity connect."""
-    sizes = np.array([len(s) for s in sets])
-    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-    waiting = np.ones(len(sets), bool)
+def similar_in_lists(edges: np.ndarray, ends: np.ndarray, flat: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links (row numbers) that hold together what pairs of so much Jaccard similarity connect within each list.
+
+    List k is the rows ``edges[k]`` to ``edges[k + 1]``, and row r the set
+    ``flat[ends[r] : ends[r + 1]]``.  All lists are walked at once: in a round,
+    every list compares one of its rows with those that nothing has reached yet.
+    """
+    n, rows = len(edges) - 1, int(edges[-1] - edges[0])
+    bits = rows.bit_length()
+    if n > 1 and n.bit_length() + bits > 32:  # list, value and row share 64 bits
+        halves = [similar_in_lists(e, ends, flat, similarity) for e in (edges[: n // 2 + 1], edges[n // 2 :])]
+        return np.concatenate([h[0] for h in halves]), np.concatenate([h[1] for h in halves])
+    ends = ends[edges[0] : edges[-1] + 1]
+    sizes = np.diff(ends)
+    owner = np.repeat(np.arange(n), np.diff(edges))
+    high = (owner.astype(np.uint64) << np.uint64(32 + bits)) | np.arange(rows, dtype=np.uint64)
+    both = np.sort(np.repeat(high, sizes) | (flat[ends[0] : ends[-1]].view(np.uint32).astype(np.uint64) << np.uint64(bits)))
+    # A number for each value of a list; values that one row alone has are in no pair.
+    new = np.append(True, (both[1:] ^ both[:-1]) >> np.uint64(bits) != 0)[: len(both)]
+    alone = new & np.append(new[1:], True)
+    value = (np.cumsum(new) - 1)[~alone]
+    row = (both[~alone] & np.uint64((1 << bits) - 1)).astype(np.int64)
+    by_row = np.argsort(row.astype(np.uint16) if bits <= 16 else row, kind="stable")
+    value, row = value[by_row], row[by_row]
+    first = np.searchsorted(row, np.arange(rows + 1))
+
     left, right = [], []
-    for root in range(len(sets)):
-        if not waiting[root]:
-            continue
-        waiting[root] = False
-        front = [root]
-        while front and waiting.any():
-            at = front.pop()
-            common = np.bincount(owner[np.isin(flat, sets[at])], minlength=len(sets))
-            near = waiting & (common >= similarity * (sizes + sizes[at] - common))
-            found = np.flatnonzero(near)
-            waiting[found] = False
-            left += [int(ids[at])] * len(found)
-            right += ids[found].tolist()
-            front += found.tolist()
-    return left, right
-
-
-def similar_pairs(ends: np.ndarray, flat: np.ndarray, first: np.ndarray, similarity: float) -> np.ndarray:
-    """Which sets ``flat[ends[k] : ends[k + 1]]``, for k in ``first``, are so similar to the next one."""
-    sizes = ends[first + 2] - ends[first]
-    pair = np.repeat(np.arange(len(first)), sizes)
-    at = np.arange(len(pair)) + np.repeat(ends[first] - (np.cumsum(sizes) - sizes), sizes)
-    both = np.sort((pair.astype(np.uint64) << np.uint64(32)) | flat[at].view(np.uint32).astype(np.uint64))
-    twice = both[1:][both[1:] == both[:-1]] >> np.uint64(32)
-    common = np.bincount(twice.astype(np.int64), minlength=len(first))
-    return common >= similarity * (sizes - common)
+    seen = np.full(len(both), -1, np.int32)  # the last round in which a value was in the compared row
+    reached = np.zeros(rows, bool)
+    open_rows, step = np.arange(rows), 0  # rows not compared yet, of lists with rows not reached yet
+    compared = np.full(n, -1)
+    while len(open_rows):
+        # Each list compares its first row that was reached, or else its first one.
+        starts = np.flatnonzero(np.append(True, np.diff(owner[open_rows]) > 0))
+        at = np.minimum.reduceat(np.where(reached[open_rows], 0, rows) + open_rows, starts) % rows
+        compared[owner[at]] = at
+        reached[at] = True
+        seen[value[_ranges(first[at], first[at + 1])]] = step
+        rest = open_rows[~reached[open_rows]]
+        held = np.append(0, np.cumsum(seen[value[_ranges(first[rest], first[rest + 1])]] == step))
+        each = np.append(0, np.cumsum(first[rest + 1] - first[rest]))
+        common, own = held[each[1:]] - held[each[:-1]], compared[owner[rest]]
+        near = common >= similarity * (sizes[rest] + sizes[own] - common)
+        left.append(own[near])
+        right.append(rest[near])
+        reached[rest[near]] = True
+        waiting = np.zeros(n, bool)
+        waiting[owner[rest[~near]]] = True
+        open_rows = open_rows[waiting[owner[open_rows]] & (open_rows != compared[owner[open_rows]])]
+        step += 1
+    return np.concatenate(left) + edges[0], np.concatenate(right) + edges[0]
+
+
+def _ranges(starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """The numbers from each start up to its stop, one range after the other."""
+    sizes = stops - starts
+    return np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
 
 
 def _verified(colliding: DataFrame, similarity: float) -> DataFrame:
     """Links ``a, b`` within the lists of ``colliding (key, paragraph, shingles)``."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_key, ids, sets = None, [], []
-        left: list[int] = []
-        right: list[int] = []
+        open_key = None
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # parts of the open list: members, their sizes, shingles
 
-        def close() -> None:
-            if len(ids) > 1:
-                a, b = similar_in_list(np.array(ids), sets, similarity)
-                left.extend(a)
-                right.extend(b)
+        def links(members: np.ndarray, edges: np.ndarray, ends: np.ndarray, flat: np.ndarray) -> pa.RecordBatch:
+            left, right = similar_in_lists(edges, ends, flat, similarity)
+            return pa.record_batch([pa.array(members[left]), pa.array(members[right])], names=["a", "b"])
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if held:
+                members, sizes, flat = map(np.concatenate, zip(*held, strict=True))
+                held.clear()
+                if len(members) > 1:
+                    yield links(members, np.array([0, len(members)]), np.append(0, np.cumsum(sizes)), flat)
 
         for batch in batches:
             lists = batch.column(2)
-            ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+            ends, flat = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy()
             keys, members = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             if not len(keys):
                 continue
             edges = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]])
-            sizes = np.diff(edges)
             # Only the first and the last list of a batch can reach across it.
-            middle = np.arange(1, len(sizes) - 1)
-            two = edges[middle[sizes[middle] == 2]]
-            two = two[similar_pairs(ends, flat, two, similarity)]
-            left.extend(members[two].tolist())
-            right.extend(members[two + 1].tolist())
-            for e in [0, *middle[sizes[middle] > 2].tolist(), len(sizes) - 1][: 1 if len(sizes) == 1 else None]:
-                if keys[edges[e]] != open_key:
-                    close()
-                    open_key, ids, sets = keys[edges[e]], [], []
-                for k in range(edges[e], edges[e + 1]):
-                    if not ids or ids[-1] != members[k]:
-                        ids.append(members[k])
-                        sets.append(flat[ends[k] : ends[k + 1]])
-            yield pa.record_batch([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
-            left.clear()
-            right.clear()
-        close()
-        yield pa.record_batch([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+            if len(edges) > 3:
+                yield links(members, edges[1:-1], ends, flat)
+            for low, high in ((0, edges[1]), (edges[-2], edges[-1]))[: len(edges) - 1]:
+                if keys[low] != open_key:
+                    yield from close()
+                    open_key = keys[low]
+                held.append((members[low:high], np.diff(ends[low : high + 1]), flat[ends[low] : ends[high]]))
+        yield from close()
 
     dealt = colliding.repartition("key").sortWithinPartitions("key", "paragraph")
     return dealt.mapInArrow(walk, "a bigint, b bigint")

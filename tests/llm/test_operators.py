@@ -4,6 +4,7 @@ import base64
 import math
 import random
 import re
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -795,6 +796,91 @@ def test_near_copies_of_paragraphs_link(spark):
     assert bands * rows <= 32 and 1 - (1 - 0.8**rows) ** bands >= 0.999
 
 
+def linked(n, pairs):
+    """The smallest of each member's component."""
+    root = list(range(n))
+    for _ in range(n):
+        before = list(root)
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+        if root == before:
+            return root
+    return root
+
+
+def lists_of_sets(rng, sizes):
+    """``edges, ends, flat, sets``: lists of so many sets, many of them similar along chains."""
+    sets = []
+    for size in sizes:
+        held = rng.sample(range(-60, 60), 28)
+        for _ in range(size):
+            if rng.random() < 0.15:
+                held = rng.sample(range(-60, 60), rng.randint(1, 28))
+            held = sorted({*held[1:], rng.randrange(-60, 60)})
+            sets.append(held)
+    ends = np.append(0, np.cumsum([len(s) for s in sets]))
+    return np.append(0, np.cumsum(sizes)), ends, np.array([x for s in sets for x in s], np.int32), [set(s) for s in sets]
+
+
+def test_lists_link_what_their_pairs_connect():
+    rng = random.Random(9)
+    for similarity in (0.5, 0.8, 1.0):
+        edges, ends, flat, sets = lists_of_sets(rng, [1, 2, 2, 3, 5, 1, 40, 2, 17, 1])
+        left, right = passages.similar_in_lists(edges, ends, flat, similarity)
+        near = lambda a, b: len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])
+        assert all(near(a, b) for a, b in zip(left.tolist(), right.tolist(), strict=True))
+        pairs = [(a, b) for low, high in zip(edges, edges[1:], strict=False) for a in range(low, high) for b in range(a) if b >= low and near(a, b)]
+        assert linked(len(sets), list(zip(left.tolist(), right.tolist(), strict=True))) == linked(len(sets), pairs)
+        # A part of the lists alone gives its own links.
+        some = passages.similar_in_lists(edges[4:8], ends, flat, similarity)
+        inside = [(a, b) for a, b in pairs if edges[4] <= b and a < edges[7]]
+        assert linked(len(sets), list(zip(*map(np.ndarray.tolist, some), strict=True))) == linked(len(sets), inside)
+    # More lists than share 64 bits with their rows and values.
+    n = 40_000
+    left, right = passages.similar_in_lists(np.arange(n + 1) * 2, np.arange(2 * n + 1), np.repeat(np.arange(n) % 3, 2).astype(np.int32), 0.8)
+    assert sorted(left.tolist()) == list(range(0, 2 * n, 2)) and (right == left + 1).all()
+
+
+def test_lists_are_not_walked_one_by_one():
+    def calls(lists):
+        edges, ends = np.arange(lists + 1) * 3, np.arange(3 * lists + 1) * 28
+        flat, n = np.arange(84 * lists, dtype=np.int32), 0
+
+        def count(_frame, event, _arg):
+            nonlocal n
+            n += event in ("call", "c_call")
+
+        sys.setprofile(count)
+        try:
+            passages.similar_in_lists(edges, ends, flat, 0.8)
+        finally:
+            sys.setprofile(None)
+        return n
+
+    assert calls(2000) == calls(20) > 0
+
+
+def test_lists_across_batches_link(spark):
+    rng = random.Random(21)
+    sets = []
+    for _ in range(30):
+        base = rng.sample(range(1 << 30), 28)
+        for _ in range(rng.randint(1, 9)):
+            base = [*base[1:], rng.randrange(1 << 30)]
+            sets.append(sorted(base))
+    frame = spark.createDataFrame(list(enumerate(sets)), "paragraph bigint, shingles array<int>")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    roots = []
+    for rows in ("10000", "3", "1"):
+        before = spark.conf.get(key)
+        spark.conf.set(key, rows)
+        try:
+            roots.append({r.node: r.root for r in components.components(passages.links_of(frame)).collect()})
+        finally:
+            spark.conf.set(key, before)
+    assert roots[0] == roots[1] == roots[2] and len(roots[0]) > 60
+
+
 # --- pipeline --------------------------------------------------------------------
 
 
