@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from musterroll.llm.common import text_bytes
 from musterroll.llm.components import components
-from musterroll.runtime import written
+from musterroll.runtime import short_lived, shuffles_released, written
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _MIXER = np.uint64(0xBF58476D1CE4E5B9)
@@ -322,15 +322,18 @@ def paragraphs(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     with other documents has no link to any.  What is similar to a paragraph
     within its own document stays with it.
     """
-    made = written(_document_rows(_rows(docs), settings), "passage-anchors")
-    keys = made.select(F.explode("keys").alias("key"), "doc_id", F.lit(False).alias("small"))
-    rare = made.select(F.explode("small_keys").alias("key"), "doc_id", F.lit(True).alias("small"))
-    holders = keys.unionByName(rare).groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max("small").alias("small"))
-    shared = written(holders.filter(F.col("first") < F.col("last")).select("key", "small"), "passage-shared")
-    held = made.select("doc_id", "text_hash", F.posexplode("keys").alias("index", "key")).join(shared, "key")
-    hit = (F.col("index") * 2 + F.col("small").cast("int")).alias("hit")
-    hits = held.select("doc_id", "text_hash", hit).groupBy("doc_id", "text_hash").agg(F.collect_set("hit").alias("hits"))
-    return _that_can_link(made.drop("keys", "small_keys").join(hits, ["doc_id", "text_hash"]), settings)
+    with short_lived(docs.sparkSession) as put:
+        made = put(_document_rows(_rows(docs), settings), "passage-anchors")
+        keys = made.select(F.explode("keys").alias("key"), "doc_id", F.lit(False).alias("small"))
+        rare = made.select(F.explode("small_keys").alias("key"), "doc_id", F.lit(True).alias("small"))
+        holders = keys.unionByName(rare).groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max("small").alias("small"))
+        shared = put(holders.filter(F.col("first") < F.col("last")).select("key", "small"), "passage-shared")
+        held = made.select("doc_id", "text_hash", F.posexplode("keys").alias("index", "key")).join(shared, "key")
+        hit = (F.col("index") * 2 + F.col("small").cast("int")).alias("hit")
+        hits = held.select("doc_id", "text_hash", hit).groupBy("doc_id", "text_hash").agg(F.collect_set("hit").alias("hits"))
+        # Written, so that the keys' shuffles end before the documents' rows are shuffled.
+        hits = put(hits, "passage-hits")
+        return written(_that_can_link(made.drop("keys", "small_keys").join(hits, ["doc_id", "text_hash"]), settings), "passage-paragraphs")
 
 
 def shingle_sets(docs: DataFrame, distinct: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -559,17 +562,18 @@ def repeated_passages(docs: DataFrame, settings: Settings = Settings()) -> DataF
     same id are one document, told apart by a 32-bit hash of their texts.  Shingles are 32-bit hashes and paragraphs
     64-bit ones.
     """
-    every = written(paragraphs(docs, settings), "passage-paragraphs")
-    # The three of a place come from one row, since a group's rows are met in one order.
-    place = [F.any_value(c).alias(c) for c in ("doc_id", "text_hash", "place")]
-    ends = [F.min("doc_id").alias("first"), F.max("doc_id").alias("last")]
-    distinct = written(every.groupBy("paragraph").agg(*ends, *place), "passage-distinct")
-    sets = written(shingle_sets(docs, distinct, settings), "passage-shingles")
-    roots = components(links_of(sets, settings))
-    rooted = distinct.select("paragraph", "first", "last").join(roots, F.col("paragraph") == F.col("node"), "left")
-    rooted = rooted.select("paragraph", "first", "last", F.coalesce("root", "paragraph").alias("root"))
-    keepers = rooted.groupBy("root").agg(F.min("first").alias("kept_doc_id"), F.max("last").alias("last")).filter(F.col("kept_doc_id") < F.col("last"))
-    kept = written(rooted.select("paragraph", "root").join(keepers.drop("last"), "root").select("paragraph", "kept_doc_id"), "passage-keepers")
+    with shuffles_released(docs.sparkSession):
+        every = paragraphs(docs, settings)
+        # The three of a place come from one row, since a group's rows are met in one order.
+        place = [F.any_value(c).alias(c) for c in ("doc_id", "text_hash", "place")]
+        ends = [F.min("doc_id").alias("first"), F.max("doc_id").alias("last")]
+        distinct = written(every.groupBy("paragraph").agg(*ends, *place), "passage-distinct")
+        sets = written(shingle_sets(docs, distinct, settings), "passage-shingles")
+        roots = components(links_of(sets, settings))
+        rooted = distinct.select("paragraph", "first", "last").join(roots, F.col("paragraph") == F.col("node"), "left")
+        rooted = rooted.select("paragraph", "first", "last", F.coalesce("root", "paragraph").alias("root"))
+        keepers = rooted.groupBy("root").agg(F.min("first").alias("kept_doc_id"), F.max("last").alias("last")).filter(F.col("kept_doc_id") < F.col("last"))
+        kept = written(rooted.select("paragraph", "root").join(keepers.drop("last"), "root").select("paragraph", "kept_doc_id"), "passage-keepers")
     found = every.select("doc_id", "text_hash", "start", "end", "paragraph").join(kept, "paragraph")
     along = Window.partitionBy("doc_id", "text_hash", "kept_doc_id").orderBy("start", "end")
     apart = F.col("start") > F.coalesce(F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))

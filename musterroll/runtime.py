@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,6 +75,46 @@ def written(df: DataFrame, label: str, partition_by: list[str] | None = None) ->
     return spark.read.schema(df.schema).parquet(folder)
 
 
+@contextmanager
+def shuffles_released(spark: SparkSession) -> Iterator[None]:
+    """Inside, the shuffle files of an action are removed when it ends.
+
+    Otherwise they stay until the driver happens to collect its garbage.  For
+    steps that end in written tables, whose shuffles nothing reads again.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+@contextmanager
+def short_lived(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """A ``written`` whose tables are deleted on leaving.
+
+    For steps that end in another written table: what is made of the tables
+    inside has to be written inside too.
+    """
+    folder = new_folder(spark, "short-lived")
+
+    def put(df: DataFrame, label: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{label}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{label}")
+
+    try:
+        yield put
+    finally:
+        context = spark.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Redistribute a table that is cut in fewer pieces than there are cores.
 

@@ -5,6 +5,7 @@ import math
 import random
 import re
 import sys
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -13,6 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from musterroll import runtime
 from musterroll.llm import components, lines, mixing, passages, quality, secrets, shards, simhash, topk, urls
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -669,6 +671,24 @@ def test_passages(docs, nothing):
     assert passages.repeated_passages(nothing).collect() == []
 
 
+def test_passages_leave_neither_shuffles_nor_the_table_of_anchors(spark, docs, tmp_path, monkeypatch):
+    def shuffles():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+        return {f for f in files.split("\n") if "/shuffle_" in f}
+
+    monkeypatch.setattr(runtime, "shared_dir", lambda spark: str(tmp_path))
+    before = shuffles()
+    found = passages.repeated_passages(docs)
+    for _ in range(50):  # they are removed in the background
+        if not shuffles() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffles() - before
+    assert not [p for p in tmp_path.rglob("*") if "anchors" in p.name]
+    assert {r.doc_id for r in found.collect()} == {8, 9}
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_every_long_passage_is_found_wherever_it_stands(spark):
     rng = random.Random(5)
     rows, holders = [], set()
